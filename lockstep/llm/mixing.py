@@ -5,7 +5,8 @@ A source's share is ``ratio = target / size``; each of its documents is taken ``
 of two balancing equations (expected documents and expected words) until nearly all are 0 or 1. Three undecided documents are moved
 at a time, so a step is a cross product. Flights run in blocks of one source; the at most two documents that each leaves meet in
 the next round's blocks, until one block is left for each source, whose last documents land on the side that keeps the words closest.
-Large documents fly first, so that small ones are left to land.
+Before that, a block's largest documents are decided one by one, each against all smaller ones at once (a dense direction of the
+same null space): a window of three would carry the largest to the end, and small ones shall be left to land.
 
 All random choices are seeded by source rank, round and block, and blocks are dealt by hash of doc_id and size, so reruns agree.
 Defined results: null text has size 0 and is never taken; a null source is a source, last in order; a source without words has
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return ranked.select("source", "source_rank", "source_size", "rows", target.alias("target"))
 
 
+def settle_large(size: list[int], p: list[float], seed: str, most: int = 256, tries: int = 20) -> list[float]:
+    """Decides the first ``most`` units (half of all at most) of a descending order, moving all later ones a little each time."""
+    chance, sizes, at = random.Random(seed).random, np.array(size, float), np.array(p, float)
+    k = min(most, len(p) // 2)
+    for i in range(k):
+        for attempt in range(tries):
+            rest = k + np.flatnonzero((at[k:] > 0) & (at[k:] < 1))
+            if not 0 < at[i] < 1 or len(rest) < 3:
+                break
+            s, give = sizes[rest], at[rest] * (1 - at[rest])  # a unit near an end moves little, so steps are long
+            n, s1, s2 = give.sum(), (give * s).sum(), (give * s * s).sum()
+            if attempt < tries // 2 and n * s2 - s1 * s1 > 1e-9 * n * s2:
+                slope = (n * sizes[i] - s1) / (n * s2 - s1 * s1)
+                move = -give * ((1 - slope * s1) / n + slope * s)
+            else:  # where balancing documents too leaves no long step: words alone
+                move = -give * s * (sizes[i] / s2)
+            who, way = np.append(rest, i), np.append(move, 1.0)
+            use = np.abs(way) > 1e-15
+            who, way = who[use], way[use]
+            ahead = np.where(way > 0, (1 - at[who]) / way, -at[who] / way).min()
+            back = np.where(way > 0, at[who] / way, (at[who] - 1) / way).min()
+            at[who] += way * (ahead if chance() * (ahead + back) < back else -back)
+            at[at < 1e-9], at[at > 1 - 1e-9] = 0.0, 1.0
+    return at.tolist()
+
+
 def fly(size: list[int], p: list[float], seed: str) -> list[float]:
     """The flight phase over units in their order: at most two stay between 0 and 1."""
     chance, p = random.Random(seed).random, list(p)
@@ -107,7 +135,8 @@ def _round(units: DataFrame, seed: int, turn: int) -> DataFrame:
         ids, keys = block.column("doc_id").to_pylist(), block.column("_key").to_pylist()
         order = sorted(range(len(size)), key=lambda i: (-size[i], keys[i], ids[i] is None, ids[i] or 0))
         size, p = [size[i] for i in order], [p[i] for i in order]
-        p = fly(size, p, f"{seed} {turn} {block.column('source_rank')[0]} {block.column('block')[0]}")
+        chances = f"{seed} {turn} {block.column('source_rank')[0]} {block.column('block')[0]}"
+        p = fly(size, settle_large(size, p, chances), chances)
         if block.column("blocks")[0].as_py() == 1:
             p = land(size, p)
         block = block.take(pa.array(order))
