@@ -57,12 +57,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def settle_large(size: list[int], p: list[float], seed: str, most: int = 256, tries: int = 20) -> list[float]:
-    """Decides the first ``most`` units (half of all at most) of a descending order, moving all later ones a little each time."""
+    """Decides the first ``most`` units of a descending order, moving all later ones a little each time."""
     chance, sizes, at = random.Random(seed).random, np.array(size, float), np.array(p, float)
-    k = min(most, len(p) // 2)
-    for i in range(k):
+    for i in range(min(most, len(p) - 3)):
         for attempt in range(tries):
-            rest = k + np.flatnonzero((at[k:] > 0) & (at[k:] < 1))
+            rest = i + 1 + np.flatnonzero((at[i + 1 :] > 0) & (at[i + 1 :] < 1))
             if not 0 < at[i] < 1 or len(rest) < 3:
                 break
             s, give = sizes[rest], at[rest] * (1 - at[rest])  # a unit near an end moves little, so steps are long
