@@ -8,7 +8,8 @@ Nearness is the inner product, and hashing is by angle. So vectors are hashed in
 coordinate that gives all of a band one norm, unless they have it; then the larger inner product is the smaller angle. Equal vectors are
 one class, known by its 21 smallest ids, so a vector that a third of all rows share costs one entry. Buckets are salted by class
 so that a part holds a bounded share, and parts are dealt to groups of about ``GROUP_ROWS`` entries; each group keeps a query's best
-``top + 6`` only. Vectors travel once for each table.
+``top + 6`` only. A first search in ``scouts`` of the tables gives each query a score that its answer reaches in any case; the search in all
+tables returns only what reaches it, so what is sent for a query does not grow with the number of groups.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null vec_id take no part; repeated
 rows count once; only vectors of one length are compared; of rows with one vec_id and other vectors each is a row; equal scores are ordered
@@ -91,8 +92,8 @@ def _stacked(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[tuple[np
         yield rows, values[starts[rows][:, None] + np.arange(d)].astype(np.float64)
 
 
-def index_entries(classes: DataFrame, bands: dict, tables: int, seed: int) -> DataFrame:
-    """``bucket, cid, vec``: each class once in every table."""
+def index_entries(classes: DataFrame, bands: dict, tables: int, used: int, seed: int) -> DataFrame:
+    """``bucket, cid, vec``: each class once in each of the first ``used`` tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +111,7 @@ def index_entries(classes: DataFrame, bands: dict, tables: int, seed: int) -> Da
                     y = x[at] / top
                     wide = _widened(y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1))) if unlike else None)
                     picked = pa.array(rows[at])
-                    for t in range(tables):
+                    for t in range(used):
                         z = turned(wide, t, tables, seed)
                         axis = np.abs(z).argmax(1)
                         signed = 2 * axis + (z[np.arange(len(z)), axis] < 0)
@@ -119,8 +120,8 @@ def index_entries(classes: DataFrame, bands: dict, tables: int, seed: int) -> Da
     return classes.select("cid", "vec").mapInArrow(run, "bucket long, cid long, vec array<double>")
 
 
-def probe_entries(queries: DataFrame, bands: dict, tables: int, share: float, seed: int) -> DataFrame:
-    """``bucket, cid, vec``: each query once for every bucket it probes."""
+def probe_entries(queries: DataFrame, bands: dict, tables: int, used: int, share: float, seed: int) -> DataFrame:
+    """``bucket, cid, vec, bound``: each query once for every bucket it probes in the first ``used`` tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +130,14 @@ def probe_entries(queries: DataFrame, bands: dict, tables: int, share: float, se
                 for b, (_, unlike) in bands.get(x.shape[1], {}).items():
                     wide = _widened(q, np.zeros(len(q)) if unlike else None)
                     most = max(1, round(share * 2 * wide.shape[1]))
-                    for t in range(tables):
+                    for t in range(used):
                         z = turned(wide, t, tables, seed)
                         near = np.stack([z, -z], 2).reshape(len(z), -1)
                         axes = np.argpartition(-near, most - 1, axis=1)[:, :most]
                         picked = pa.array(np.repeat(rows, most))
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket_name(b, t, axes.ravel())), batch.column("cid").take(picked), batch.column("vec").take(picked)], names=["bucket", "cid", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket_name(b, t, axes.ravel())), *(batch.column(c).take(picked) for c in ("cid", "vec", "bound"))], names=["bucket", "cid", "vec", "bound"])
 
-    return queries.select("cid", "vec").mapInArrow(run, "bucket long, cid long, vec array<double>")
+    return queries.select("cid", "vec", "bound").mapInArrow(run, "bucket long, cid long, vec array<double>, bound double")
 
 
 def _best(own: pa.Table, asking: pa.Table, most: int) -> pa.Table:
@@ -144,6 +145,7 @@ def _best(own: pa.Table, asking: pa.Table, most: int) -> pa.Table:
     found: dict[int, dict[int, float]] = {}
     if own.num_rows and asking.num_rows:
         parts = [(t.column("part").to_numpy(), t.column("cid").to_numpy()) for t in (own, asking)]
+        bounds = asking.column("bound").to_numpy()
         for rows, x in _stacked(own, "vec"):
             for asks, q in _stacked(asking, "vec"):
                 if x.shape[1] != q.shape[1]:
@@ -156,46 +158,55 @@ def _best(own: pa.Table, asking: pa.Table, most: int) -> pa.Table:
                     for a in range(0, len(xs), 4096):
                         block = x[xs[a : a + 4096]]
                         for c in range(0, len(qs), 512):
-                            _keep(found, q[qs[c : c + 512]], qc[qs[c : c + 512]], block, xc[xs[a : a + 4096]], most)
+                            some = qs[c : c + 512]
+                            _keep(found, q[some], qc[some], bounds[asks[some]], block, xc[xs[a : a + 4096]], most)
     rows = [(k, cid, s) for k, best in found.items() for cid, s in best.items()]
     columns = list(zip(*rows, strict=True)) or [[], [], []]
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query", "cid", "score"])
 
 
-def _keep(found: dict, q: np.ndarray, names: np.ndarray, x: np.ndarray, cids: np.ndarray, most: int) -> None:
+def _keep(found: dict, q: np.ndarray, names: np.ndarray, bounds: np.ndarray, x: np.ndarray, cids: np.ndarray, most: int) -> None:
     rough = q @ x.T
     near = np.argpartition(-rough, most - 1, axis=1)[:, :most] if len(x) > most else np.broadcast_to(np.arange(len(x)), rough.shape)
-    for i, name in enumerate(names.tolist()):
+    for i, (name, bound) in enumerate(zip(names.tolist(), bounds.tolist(), strict=True)):
         best = found.setdefault(name, {})
+        floor = max(bound, min(best.values())) if len(best) >= most else bound
         at = near[i]
-        if len(best) >= most:
-            at = at[rough[i, at] >= min(best.values()) - 1e-9 * (1 + abs(rough[i, at]))]
-            if not len(at):
-                continue
+        at = at[rough[i, at] >= floor - 1e-9 * (1 + abs(rough[i, at]))]
+        if not len(at):
+            continue
         # row by row in one order of summing, so that a class has one score wherever it is met
-        best.update(zip(cids[at].tolist(), (x[at] * q[i]).sum(1).tolist(), strict=True))
+        best.update((c, s) for c, s in zip(cids[at].tolist(), (x[at] * q[i]).sum(1).tolist(), strict=True) if s >= bound)
         if len(best) > most:
             for cid in sorted(best, key=lambda c: -best[c])[most:]:
                 del best[cid]
 
 
-def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, share: float = 0.125, seed: int = 4) -> DataFrame:
+def _search(classes: DataFrame, n: int, asking: DataFrame, bands: dict, tables: int, used: int, share: float, most: int, seed: int) -> DataFrame:
+    """``query, cid, score``: what the queries (``cid, vec, bound``) meet in the first ``used`` tables and what reaches their bound."""
+    salts, groups = max(1, -(-n // (PART_ROWS * 128))), max(1, -(-n * used // GROUP_ROWS))
+    salt = F.pmod(F.xxhash64("cid"), F.lit(salts))
+    dealt = lambda e, s: e.withColumn("part", F.pmod(F.xxhash64("bucket", s), F.lit(1 << 62))).withColumn("dealt", F.pmod("part", F.lit(groups)))
+    held = dealt(index_entries(classes, bands, tables, used, seed), salt)
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    probes = dealt(probe_entries(asking, bands, tables, used, share, seed).withColumn("salt", spread), F.col("salt"))
+    own, asked = held.select("dealt", "part", "cid", "vec").groupBy("dealt"), probes.select("dealt", "part", "cid", "vec", "bound").groupBy("dealt")
+    return own.cogroup(asked).applyInArrow(lambda a, b: _best(a, b, most), "query long, cid long, score double")
+
+
+def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scouts: int = 2, share: float = 0.125, seed: int = 4) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vec_id, embedding`` whose id ``every`` divides."""
     rows = written(rows_of_vectors(df), "vectors")
     by_class = Window.partitionBy("vec", "cid").orderBy("vec_id")
     classes = rows.withColumn("k", F.row_number().over(by_class)).filter(F.col("k") <= top + 1).groupBy("vec", "cid").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     classes = written(classes, "classes")
     asking = rows.filter(F.col("vec_id") % every == 0)
-    bands = bands_of(classes)
-    n = classes.count()
-    salts, groups = max(1, -(-n // (PART_ROWS * 128))), max(1, -(-n * tables // GROUP_ROWS))
-    salt = F.pmod(F.xxhash64("cid"), F.lit(salts))
-    dealt = lambda e, s: e.withColumn("part", F.pmod(F.xxhash64("bucket", s), F.lit(1 << 62))).withColumn("dealt", F.pmod("part", F.lit(groups)))
-    held = dealt(index_entries(classes, bands, tables, seed), salt)
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    probes = dealt(probe_entries(asking.select("cid", "vec").distinct(), bands, tables, share, seed).withColumn("salt", spread), F.col("salt"))
-    most = top + 6
-    met = held.select("dealt", "part", "cid", "vec").groupBy("dealt").cogroup(probes.select("dealt", "part", "cid", "vec").groupBy("dealt")).applyInArrow(lambda a, b: _best(a, b, most), "query long, cid long, score double")
+    bands, n, most = bands_of(classes), classes.count(), top + 6
+    free = asking.select("cid", "vec").distinct().withColumn("bound", F.lit(float("-inf")))
+    scouted = _search(classes, n, free, bands, tables, scouts, share, most, seed).distinct()
+    last = scouted.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") == top + 1)
+    bounded = free.drop("bound").join(last.select(F.col("query").alias("cid"), F.col("score").alias("bound")), "cid", "left").fillna({"bound": float("-inf")})
+    met = _search(classes, n, written(bounded.select("cid", "vec", "bound"), "bounds"), bands, tables, tables, share, most, seed)
     ranked = met.distinct().withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= top + 1)
     members = ranked.join(classes.select("cid", "members"), "cid").select("query", "cid", "score", F.explode("members").alias("vec_id"))
     place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
