@@ -1,0 +1,66 @@
+import edge
+import numpy as np
+import pytest
+
+from lockstep.llm import neighbours
+from lockstep.llm.queries import QUERIES
+
+
+def exact(rows, every=20, top=20):
+    good = sorted({(i, tuple(np.float64(v))) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.float64(v)).all() and np.any(np.float64(v))})
+    out = {}
+    for i, v in good:
+        if i % every == 0:
+            near = sorted((-float((np.array(w) * np.array(v)).sum()), j) for j, w in good if len(w) == len(v) and (j, w) != (i, v))[:top]
+            out[i, v] = [(j, -s) for s, j in near]
+    return out
+
+
+def test_hadamard():
+    h = neighbours.hadamard(np.eye(8))
+    assert np.allclose(h @ h.T, np.eye(8)) and np.allclose(np.abs(h), 8**-0.5)
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_against_brute_force(spark, norms):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms:
+        x *= np.float32(2.0) ** rng.integers(-3, 4, (1500, 1)) * rng.uniform(0.6, 1, (1500, 1)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = {}
+    for r in edge.plain(neighbours.nearest(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int"))):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    recall = []
+    for (i, _), near in exact(rows).items():
+        got = sorted(found[i])
+        assert [g[0] for g in got] == list(range(1, 21)) and all(a[2] >= b[2] for a, b in zip(got, got[1:]))
+        recall.append(len({g[1] for g in got} & {j for j, _ in near}) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_odd_rows_ties_and_copies(spark):
+    rng = np.random.default_rng(4)
+    copy = rng.normal(size=8).tolist()
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(100 + i, copy) for i in range(400)]
+    rows += [(1000, None), (1020, []), (1040, [0.0] * 8), (1060, [float("nan")] + [1.0] * 7), (1080, [float("inf")] * 8), (1100, [None] + [1.0] * 7), (None, [1.0] * 8), (1120, [1.0, 2.0]), (0, rows[0][1]), (1140, [-0.0, 1.0] + [0.0] * 6), (1141, [0.0, 1.0] + [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in edge.plain(neighbours.nearest(df, share=1.0, tables=2, scouts=1)):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {i: near for (i, _), near in exact(rows).items() if near}
+    assert set(found) == set(want)
+    for i, near in want.items():
+        got = sorted(found[i])
+        assert [g[1] for g in got] == [j for j, _ in near] and np.allclose([g[2] for g in got], [s for _, s in near], rtol=1e-14, atol=1e-14)
+    assert edge.plain(neighbours.nearest(edge.empty(spark, df))) == []
+
+
+def test_recall_on_the_given_vectors(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    found = {}
+    for r in edge.plain(QUERIES["op4_nearest_neighbours"](spark, sf)):
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(found[i] & {j for j, _ in near}) / 20 for (i, _), near in exact(rows).items()]) >= 0.9
