@@ -22,7 +22,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(chat.read_back(chat.format_chat(turns, RANKS), RANKS))
+    return chat.digest(chat.read_back(chat.format_chat(turns, RANKS), RANKS)).drop("n_tokens", "loss_tokens")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_quality_classifier, op4_nearest_neighbours, op5_html_extraction, op6_sharding, op7_simhash_near_dedup, op8_url_filters, op9_mixing, op10_document_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|(im_start|im_end|endoftext)\|>', '<\1\\|\2|>', 'g')"
+_FITS = "from rules where host <> '' and (host = rh or suffix(host, '.' || rh)) and starts_with(path, rp)"
+
+#: Only where SQL has the means: no other query's hashes, token ids, models or packings exist in DuckDB.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": f"""with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+        union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+      select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
+        coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (r = 'assistant'), '')) loss_sha256,
+        sum(24 + length({_ESCAPED.format("replace(replace(r, '" + chr(92) + "', '" + chr(92) * 2 + "'), chr(10), '" + chr(92) + "n')")}) + length({_ESCAPED.format("x")}))::bigint formatted_chars from t group by conv_id""",
+    "op8_url_filters": f"""with rules(verdict, rh, rp) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+      u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end r from pages),
+      h as (select page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path from u)
+      select page_id, host, path, (select arg_max(rh || rp, length(rh || rp)) {_FITS}) "rule", coalesce((select arg_max(verdict, length(rh || rp)) {_FITS}), 'allow') verdict from h""",
+}
