@@ -21,6 +21,7 @@ such rows has a null id; repeated rows share their node; other columns are ignor
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -211,52 +212,82 @@ def wide_fingerprints(documents: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "_key long, doc_id long, fp long, wide array<bigint>, keys array<bigint>")
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a partition's buckets whose last 128 bits are near: each probing or own entry with each own one, and in buckets
-    of over 64 entries, each node with the one that reached it first."""
+def _top(up: dict[int, int], n: int) -> int:
+    """The root of a node in a union-find forest; new nodes are their own."""
+    while up.setdefault(n, n) != n:
+        up[n] = n = up[up[n]]
+    return n
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Links between the entries of a partition's buckets, by the last 192 bits: ``sure`` ones as stars over what they connect, and
+    pairs within ``reach`` to be looked at more closely. Of the latter, nearest first, those that join what is not joined yet, and all
+    in groups of up to sixteen. In a bucket of over eight, an entry surely near an earlier one is not compared further. So a
+    dense group costs and gives about its size."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    key, node, own, x, y = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "node", "own", "x", "y"))
-    order = np.lexsort((~own, key))
-    key, node, own, x, y = key[order], node[order], own[order], x[order].view(np.uint64), y[order].view(np.uint64)
+    key, node, own, *words = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "node", "own", "x", "y", "z"))
+    order = np.lexsort((node, ~own, key))
+    key, node, own = key[order], node[order], own[order]
+    words = [w[order].view(np.uint64) for w in words]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
-    owners = np.add.reduceat(own.astype(np.int64), starts)
-    near = lambda i, j: np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j]) <= reach
-    found = []
-    for size in range(2, 65):
-        for first in np.array_split(starts[(sizes == size) & (owners > 0)], 1 + len(starts) // 20_000):
-            for i in range(size - 1):
-                a = first[own[first + i]] + i
-                for j in range(i + 1, size):
-                    hit = near(a, a + j - i)
-                    found.append(np.stack([node[a[hit]], node[a[hit] + j - i]], 1))
-    for start, size in zip(starts[(sizes > 64) & (owners > 0)], sizes[(sizes > 64) & (owners > 0)]):
-        _, kept = np.unique(node[start : start + size], return_index=True)
-        left = np.sort(kept) + start
-        while len(left):
-            waiting, left = [left[0]], left[1:]
-            while waiting and len(left):
-                at = waiting.pop()
-                hit = near(np.full(len(left), at), left)
-                found.append(np.stack([np.full(int(hit.sum()), node[at]), node[left[hit]]], 1))
-                waiting += left[hit].tolist()
-                left = left[~hit]
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    shared = np.logical_and(own[starts], sizes > 1)  # own entries come first
+    apart = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+    found = {True: [np.empty((0, 3), np.int64)], False: [np.empty((0, 3), np.int64)]}
+
+    def sort_out(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        for is_sure, hit in ((True, d <= sure), (False, (d > sure) & (d <= reach))):
+            if hit.any():
+                a, b = node[i[hit]], node[j[hit]]
+                found[is_sure].append(np.stack([d[hit], np.minimum(a, b), np.maximum(a, b)], 1))
+
+    for size in range(2, 9):
+        first = starts[shared & (sizes == size)]
+        for i in range(size - 1):
+            at = first[own[first + i]] + i
+            for j in range(1, size - i):
+                sort_out(at, at + j, apart(at, at + j))
+    for start, size in zip(starts[shared & (sizes > 8)], sizes[shared & (sizes > 8)]):
+        left = np.arange(start, start + size)
+        while len(left) > 1:
+            at, left = left[0], left[1:]
+            d = apart(at, left)
+            sort_out(np.full(len(left), at), left, d)
+            left = left[d > sure]
+    sure_up: dict[int, int] = {}
+    for _, p, q in np.unique(np.concatenate(found[True]), axis=0).tolist():
+        p, q = _top(sure_up, p), _top(sure_up, q)
+        sure_up[max(p, q)] = min(p, q)
+    rows = [(n, _top(sure_up, n), True) for n in list(sure_up) if _top(sure_up, n) != n]
+    up, size = {}, Counter(_top(sure_up, n) for n in list(sure_up))
+    for _, p, q in np.unique(np.concatenate(found[False]), axis=0).tolist():  # nearest first
+        a, b = _top(sure_up, p), _top(sure_up, q)
+        if a == b:
+            continue
+        a, b = _top(up, a), _top(up, b)
+        if a != b:
+            up[a], size[b] = b, max(1, size[a]) + max(1, size[b])
+        elif size[b] > 16:
+            continue
+        rows.append((p, q, False))
+    columns = list(zip(*rows)) or [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
 
 
 def wide_links(nodes: DataFrame, reach: float = 0.172) -> DataFrame:
-    """``a, b``: nodes (``node, wide, keys``) that a band brings together and whose fingerprints differ in at most that share of bits."""
+    """``a, b``: nodes (``node, wide, keys``) that a band brings together and whose fingerprints differ in at most that share of
+    bits. By 192 bits, three standard errors more are let pass to the comparison of all 512, and far fewer are enough."""
     word = lambda k: F.get("wide", F.lit(k))
-    entries = nodes.select("node", word(WIDE_WORDS - 2).alias("x"), word(WIDE_WORDS - 1).alias("y"), F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") % 4 == 0).alias("own"), "x", "y")
-    rough = round((reach + 0.1) * 128)  # over three standard errors of 128 bits
-    pairs = entries.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, rough), "a long, b long").distinct()
+    entries = nodes.select("node", *(word(WIDE_WORDS - 3 + k).alias(name) for k, name in enumerate("xyz")), F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") % 4 == 0).alias("own"), *"xyz")
+    error = 3 * (reach * (1 - reach) / 192) ** 0.5
+    sure, rough = round((reach - 0.8 * error) * 192), round((reach + error) * 192)
+    pairs = written(entries.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough), "a long, b long, sure boolean").distinct(), "pairs")
     left, right = (nodes.select(F.col("node").alias(name), F.col("wide").alias(f"w{name}")) for name in "ab")
     differing = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, z: s + z)
-    return pairs.join(left, "a").join(right, "b").filter(differing <= round(reach * 64 * WIDE_WORDS)).select("a", "b")
+    near = pairs.filter("not sure").select("a", "b").join(left, "a").join(right, "b").filter(differing <= round(reach * 64 * WIDE_WORDS))
+    return pairs.filter("sure").select("a", "b").unionByName(near.select("a", "b"))
 
 
 def near_copies(documents: DataFrame, radius: int = 4, reach: float = 0.172) -> DataFrame:

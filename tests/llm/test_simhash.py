@@ -123,8 +123,8 @@ def test_large_buckets_keep_their_links():
 
     words = rng.integers(-(1 << 62), 1 << 62, 2)
     n = 300
-    batch = pa.record_batch({"key": np.zeros(n, np.int64), "node": np.arange(n), "own": np.arange(n) % 2 == 0, "x": np.full(n, words[0]) ^ (1 << rng.integers(0, 62, n)), "y": np.full(n, words[1])})
-    (out,) = simhash._bucket_pairs(iter([batch]), 10)
+    batch = pa.record_batch({"key": np.zeros(n, np.int64), "node": np.arange(n), "own": np.arange(n) % 2 == 0, "x": np.full(n, words[0]) ^ (1 << rng.integers(0, 62, n)), "y": np.full(n, words[1]), "z": np.full(n, words[1])})
+    (out,) = simhash._bucket_pairs(iter([batch]), 3, 10)
     union = Union()
     for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist()):
         union.link(a, b)
