@@ -1 +1 @@
-"""See the modules."""
+"""Positions, differences, layouts and sinks."""

@@ -12,11 +12,10 @@ def wide(positions: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """``Index`` and one column for each ``label`` of ``seq_index, label, Index, letter``; a repeated label gets its sequence index."""
     if labels is None:
         found = positions.select("seq_index", "label").distinct().orderBy("seq_index").collect()
-        names = [r["label"] for r in found]
         seen: set[str] = set()
         renamed = {}
         for r in found:
-            renamed[r["seq_index"]] = f"{r['label']}_{r['seq_index']}" if r["label"] in seen or names.count(r["label"]) > 1 and r["label"] in seen else r["label"]
+            renamed[r["seq_index"]] = f"{r['label']}_{r['seq_index']}" if r["label"] in seen else r["label"]
             seen.add(r["label"])
         labels = list(renamed.values())
         positions = positions.drop("label").join(F.broadcast(positions.sparkSession.createDataFrame(list(renamed.items()), "seq_index long, label string")), "seq_index")

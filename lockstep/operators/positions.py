@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.functions.text import letters
+from lockstep.functions.text import label, letters
 
 
 def explode_positions(sequences: DataFrame) -> DataFrame:
@@ -39,6 +39,4 @@ def pad_positions(members: DataFrame, keys: list[str]) -> DataFrame:
 
 def label_members(members: DataFrame) -> DataFrame:
     """Members with ``label``; headerless ones are numbered in order inside their group's side."""
-    from lockstep.functions.text import label
-
     return members.withColumn("label", label(F.col("seq_id"), F.col("ordinal") + 1))

@@ -1 +1 @@
-"""See the modules."""
+"""What is compared with what."""

@@ -1 +1 @@
-"""See the modules."""
+"""Manifests, FASTA files, string columns and the shared folder."""

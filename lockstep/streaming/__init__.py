@@ -1 +1 @@
-"""See the modules."""
+"""Sequences that arrive over time."""
