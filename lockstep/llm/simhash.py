@@ -21,7 +21,6 @@ such rows has a null id; repeated rows share their node; other columns are ignor
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -162,6 +161,7 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, seed:
 
 
 WIDE_WORDS, BANDS, BAND_BITS = 8, 16, 20
+BROADCAST_KEYS = 100_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, (WIDE_WORDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -219,75 +219,126 @@ def _top(up: dict[int, int], n: int) -> int:
     return n
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> Iterator[pa.RecordBatch]:
-    """Links between the entries of a partition's buckets, by the last 192 bits: ``sure`` ones as stars over what they connect, and
-    pairs within ``reach`` to be looked at more closely. Of the latter, nearest first, those that join what is not joined yet, and all
-    in groups of up to sixteen. In a bucket of over eight, an entry surely near an earlier one is not compared further. So a
-    dense group costs and gives about its size."""
+def _sorted_out(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+    """A partition's columns in order of bucket, then own entries first, then node; each bucket's start and size."""
     held = [b for b in batches if b.num_rows]
     if not held:
-        return
-    key, node, own, *words = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "node", "own", "x", "y", "z"))
+        return None
+    key, node, own, *rest = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "node", "own", *names))
     order = np.lexsort((node, ~own, key))
-    key, node, own = key[order], node[order], own[order]
-    words = [w[order].view(np.uint64) for w in words]
+    key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    shared = np.logical_and(own[starts], sizes > 1)  # own entries come first
-    apart = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
-    found = {True: [np.empty((0, 3), np.int64)], False: [np.empty((0, 3), np.int64)]}
+    return [key, node[order], own[order], *(r[order] for r in rest)], starts, np.diff(np.append(starts, len(key)))
 
-    def sort_out(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        for is_sure, hit in ((True, d <= sure), (False, (d > sure) & (d <= reach))):
-            if hit.any():
-                a, b = node[i[hit]], node[j[hit]]
-                found[is_sure].append(np.stack([d[hit], np.minimum(a, b), np.maximum(a, b)], 1))
 
+def _pair_batch(pairs: np.ndarray, dense: np.ndarray | None = None) -> pa.RecordBatch:
+    """``a, b`` with the smaller first, each pair once; after them, for each dense bucket, its key in ``dense``, with ``a = b``."""
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    if dense is None:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    marks = np.zeros(len(dense), np.int64)
+    keys = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(dense, pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(np.append(pairs[:, 0], marks)), pa.array(np.append(pairs[:, 1], marks)), keys], names=["a", "b", "dense"])
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Pairs within ``reach``, by the last 192 bits, of the entries of a partition's buckets: all of them, but for dense buckets, where
+    an entry has over eight. There an entry surely near an earlier one is not compared further, and of the pairs found only those are given,
+    nearest first, that join what the nearer ones do not. This is a first look that costs and gives about a dense bucket's size; such
+    buckets are named, and :func:`_crossing_pairs` compares in them whatever the pairs that were confirmed have not joined."""
+    found = _sorted_out(batches, ("x", "y", "z"))
+    if not found:
+        return
+    (key, node, own, *words), starts, sizes = found
+    words = [w.view(np.uint64) for w in words]
+    shared = np.logical_and(own[starts], sizes > 1)  # own entries come first
+    apart = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+    every, first_look, dense = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)], []
     for size in range(2, 9):
         first = starts[shared & (sizes == size)]
         for i in range(size - 1):
             at = first[own[first + i]] + i
             for j in range(1, size - i):
-                sort_out(at, at + j, apart(at, at + j))
+                hit = at[apart(at, at + j) <= reach]
+                every.append(np.stack([node[hit], node[hit + j]], 1))
     for start, size in zip(starts[shared & (sizes > 8)], sizes[shared & (sizes > 8)]):
-        left = np.arange(start, start + size)
+        left, is_dense, pairs = np.arange(start, start + size), False, []
         while len(left) > 1:
             at, left = left[0], left[1:]
             d = apart(at, left)
-            sort_out(np.full(len(left), at), left, d)
-            left = left[d > sure]
-    sure_up: dict[int, int] = {}
-    for _, p, q in np.unique(np.concatenate(found[True]), axis=0).tolist():
-        p, q = _top(sure_up, p), _top(sure_up, q)
-        sure_up[max(p, q)] = min(p, q)
-    rows = [(n, _top(sure_up, n), True) for n in list(sure_up) if _top(sure_up, n) != n]
-    up, size = {}, Counter(_top(sure_up, n) for n in list(sure_up))
-    for _, p, q in np.unique(np.concatenate(found[False]), axis=0).tolist():  # nearest first
-        a, b = _top(sure_up, p), _top(sure_up, q)
-        if a == b:
-            continue
-        a, b = _top(up, a), _top(up, b)
+            hit = d <= reach
+            if hit.any():
+                pairs.append(np.stack([d[hit], np.full(hit.sum(), node[at]), node[left[hit]]], 1))
+            is_dense = is_dense or hit.sum() > 8
+            if is_dense:
+                left = left[d > sure]
+        if is_dense:
+            dense.append(key[start])
+            first_look += pairs
+        else:
+            every += [p[:, 1:] for p in pairs]
+    up: dict[int, int] = {}
+    for _, p, q in np.unique(np.concatenate(first_look), axis=0).tolist():  # nearest first
+        a, b = _top(up, p), _top(up, q)
         if a != b:
-            up[a], size[b] = b, max(1, size[a]) + max(1, size[b])
-        elif size[b] > 16:
-            continue
-        rows.append((p, q, False))
-    columns = list(zip(*rows)) or [[], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+            up[a] = b
+            every.append(np.array([[p, q]]))
+    yield _pair_batch(np.concatenate(every), np.array(dense, np.int64))
+
+
+def _crossing_pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """All pairs within ``reach`` of 512 bits of the entries of a partition's buckets, but for those in one ``group``, which are joined."""
+    found = _sorted_out(batches, ("group", *(f"w{k}" for k in range(WIDE_WORDS))))
+    if not found:
+        return
+    (_, node, _, group, *words), starts, sizes = found
+    words = np.stack([w.view(np.uint64) for w in words], 1)
+    held, n = [], 0
+    for start, size in zip(starts.tolist(), sizes.tolist()):
+        _, name, count = np.unique(group[start : start + size], return_inverse=True, return_counts=True)
+        order = start + np.lexsort((name, count[name]))  # the largest group last, so its entries are only looked at by others
+        ends = np.cumsum(np.sort(count)).tolist()
+        for a, b in zip([0, *ends], ends[:-1]):
+            others = order[b:]
+            for at in order[a:b]:
+                hit = others[np.bitwise_count(words[others] ^ words[at]).sum(1, dtype=np.int64) <= reach]
+                if len(hit):
+                    held.append(np.stack([np.full(len(hit), node[at]), node[hit]], 1))
+                    n += len(hit)
+            if n > 1 << 20:
+                yield _pair_batch(np.concatenate(held))
+                held, n = [], 0
+    if held:
+        yield _pair_batch(np.concatenate(held))
+
+
+def _within(pairs: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose 512 bits differ in at most ``reach``."""
+    left, right = (nodes.select(F.col("node").alias(name), F.col("wide").alias(f"w{name}")) for name in "ab")
+    differing = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, z: s + z)
+    return pairs.join(left, "a").join(right, "b").filter(differing <= reach).select("a", "b")
 
 
 def wide_links(nodes: DataFrame, reach: float = 0.172) -> DataFrame:
     """``a, b``: nodes (``node, wide, keys``) that a band brings together and whose fingerprints differ in at most that share of
-    bits. By 192 bits, three standard errors more are let pass to the comparison of all 512, and far fewer are enough."""
+    bits. By 192 bits, three standard errors more are let pass to the comparison of all 512, and far fewer are enough for a first look.
+    A pair is left out only where links that were confirmed join both its ends already."""
     word = lambda k: F.get("wide", F.lit(k))
-    entries = nodes.select("node", *(word(WIDE_WORDS - 3 + k).alias(name) for k, name in enumerate("xyz")), F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") % 4 == 0).alias("own"), *"xyz")
+    slim = nodes.select("node", "wide", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") % 4 == 0).alias("own"), *(word(WIDE_WORDS - 3 + k).alias(name) for k, name in enumerate("xyz")))
     error = 3 * (reach * (1 - reach) / 192) ** 0.5
-    sure, rough = round((reach - 0.8 * error) * 192), round((reach + error) * 192)
-    pairs = written(entries.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough), "a long, b long, sure boolean").distinct(), "pairs")
-    left, right = (nodes.select(F.col("node").alias(name), F.col("wide").alias(f"w{name}")) for name in "ab")
-    differing = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, z: s + z)
-    near = pairs.filter("not sure").select("a", "b").join(left, "a").join(right, "b").filter(differing <= round(reach * 64 * WIDE_WORDS))
-    return pairs.filter("sure").select("a", "b").unionByName(near.select("a", "b"))
+    sure, rough, whole = round((reach - 0.8 * error) * 192), round((reach + error) * 192), round(reach * 64 * WIDE_WORDS)
+    looked = written(slim.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough), "a long, b long, dense long").distinct(), "pairs")
+    near = written(_within(looked.filter("dense is null").select("a", "b"), nodes, whole), "near")
+    dense = looked.filter("dense is not null").select(F.col("dense").alias("key"))
+    n_dense = dense.count()
+    if not n_dense:
+        return near
+    joined = components(near).select(F.col("a").alias("node"), F.col("b").alias("group"))
+    grouped = nodes.join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    again = grouped.select("node", "group", "wide", F.posexplode("keys").alias("at", "key")).join(F.broadcast(dense) if n_dense <= BROADCAST_KEYS else dense, "key", "left_semi")
+    wide = again.select("key", "node", (F.col("at") % 4 == 0).alias("own"), "group", *(word(k).alias(f"w{k}") for k in range(WIDE_WORDS)))
+    crossing = written(wide.repartition("key").mapInArrow(lambda batches: _crossing_pairs(batches, whole), "a long, b long").distinct(), "crossing")
+    return near.unionByName(crossing)
 
 
 def near_copies(documents: DataFrame, radius: int = 4, reach: float = 0.172) -> DataFrame:

@@ -129,3 +129,24 @@ def test_large_buckets_keep_their_links():
     for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist()):
         union.link(a, b)
     assert {union.root(i) for i in range(n)} == {0} and out.num_rows < 2 * n
+
+
+def test_chained_copies_against_brute_force(spark):
+    """Near copies of near copies in one bucket: components are those of all pairs in reach, whatever a dense bucket's first look leaves out."""
+    rng = np.random.default_rng(12)
+    bits = [rng.integers(0, 2, 512)]
+    for _ in range(300):
+        v = bits[rng.integers(len(bits))].copy()
+        v[rng.choice(512, rng.integers(30, 80), replace=False)] ^= 1
+        bits.append(v)
+    wide = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    names = rng.permutation(len(bits)).tolist()
+    nodes = spark.createDataFrame([(n, w.tolist(), [5]) for n, w in zip(names, wide)], "node long, wide array<long>, keys array<long>")
+    want, got = Union(), Union()
+    for i, a in enumerate(names):
+        for j in range(i):
+            if (bits[i] != bits[j]).sum() <= 88:
+                want.link(a, names[j])
+    for r in edge.plain(simhash.wide_links(nodes, 0.172)):
+        got.link(r["a"], r["b"])
+    assert [got.root(n) for n in names] == [want.root(n) for n in names]
