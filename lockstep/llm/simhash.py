@@ -9,10 +9,10 @@ dense group costs about its size and gives a spanning star, not all its pairs, a
 The trees of all shards together grow with the corpus, so they are sent by a shuffle and not broadcast.
 
 Four of 64 bits is a narrow reach: it stands for a similarity of about 0.95. :func:`near_copies` reaches texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8, by a fingerprint of 512 bits: at 0.8, 15 % of bits differ on average, and the reach is 17.2 %.
+shingles have a Jaccard similarity of 0.8. A fingerprint of 512 bits gives candidates: at 0.8, 15 % of bits differ on average, and the reach is 20 %.
 No pigeonhole helps there, so candidates come from bands of 20 bits, and each text also probes the buckets that it would have if one or
-both of a band's two most nearly tied votes had fallen the other way: it is such bits that an edit turns. This search is approximate;
-the README gives its measured recall.
+both of a band's two most nearly tied votes had fallen the other way: it is such bits that an edit turns; the tables above give more. This
+search is approximate, but each link is confirmed by the exact similarity of the two sets of shingles. The README gives its measured recall.
 
 Defined results: null and empty texts (and those of white space alone) have fingerprint zero and are linked like any others; with
 fewer words than a shingle has, the whole sequence is one shingle; rows with a null doc_id take part, and a component of only
@@ -162,19 +162,30 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, seed:
 
 WIDE_WORDS, BANDS, BAND_BITS = 8, 16, 20
 BROADCAST_KEYS = 100_000
+SIMILAR, REACH = (4, 5), 0.2  # the threshold of the similarity; the share of 512 bits in which candidates may differ
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, (WIDE_WORDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_votes(text: str, width: int = 5, seed: int = 42) -> np.ndarray:
-    """For each of 512 bits, how many more of the text's distinct shingles set it than do not."""
+def shingles(text: str, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of the text's distinct shingles, in order; none of a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return np.zeros(64 * WIDE_WORDS, np.int64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words)))
     last = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(list({digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[last:])}), np.uint64)
+    return np.sort(np.array(list({digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[last:])}), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have at least the threshold's similarity."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - common)
+
+
+def wide_votes(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 bits, how many more of the shingles set it than do not."""
     counts = np.zeros((WIDE_WORDS, 64), np.int64)
     for i in range(0, len(hashes), _PART):
         part = hashes[i : i + _PART]
@@ -196,20 +207,22 @@ def band_keys(votes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(documents: DataFrame) -> DataFrame:
-    """``_key, doc_id, fp`` as :func:`fingerprints` gives, with ``wide`` (eight longs) and ``keys`` (four a band)."""
+    """``_key, doc_id, fp`` as :func:`fingerprints` gives, with ``wide`` (eight longs), ``keys`` (four a band) and a ``digest`` of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-                votes = [wide_votes(t) for t in texts]
+                sets = [shingles(t) for t in texts]
+                digests = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+                votes = [wide_votes(x) for x in sets]
                 wide = [np.packbits(v > 0, bitorder="little").view("<i8") for v in votes]
                 lists = [pa.ListArray.from_arrays(np.arange(0, n * len(texts) + 1, n, np.int32), np.concatenate(x)) for n, x in ((WIDE_WORDS, wide), (4 * BANDS, [band_keys(v).ravel() for v in votes]))]
-                yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("doc_id"), pa.array(fps), *lists], names=["_key", "doc_id", "fp", "wide", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("doc_id"), pa.array(fps), *lists, digests], names=["_key", "doc_id", "fp", "wide", "keys", "digest"])
 
     slim = documents.select(row_key(documents).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "_key long, doc_id long, fp long, wide array<bigint>, keys array<bigint>")
+    return slim.mapInArrow(run, "_key long, doc_id long, fp long, wide array<bigint>, keys array<bigint>, digest long")
 
 
 def _top(up: dict[int, int], n: int) -> int:
@@ -219,6 +232,11 @@ def _top(up: dict[int, int], n: int) -> int:
     return n
 
 
+def _own(at: Column) -> Column:
+    """Whether a node's key of that place is its own: the first of each band's four, and all tables' after them."""
+    return (at % 4 == 0) | (at >= 4 * BANDS)
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
     """A partition's columns in order of bucket, then own entries first, then node; each bucket's start and size."""
     held = [b for b in batches if b.num_rows]
@@ -319,16 +337,48 @@ def _within(pairs: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(differing <= reach).select("a", "b")
 
 
-def wide_links(nodes: DataFrame, reach: float = 0.172) -> DataFrame:
-    """``a, b``: nodes (``node, wide, keys``) that a band brings together and whose fingerprints differ in at most that share of
-    bits. By 192 bits, three standard errors more are let pass to the comparison of all 512, and far fewer are enough for a first look.
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose texts (``node, text``) have the threshold's similarity by their sets of five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for half in slices(whole, "ta"):
+                for batch in slices(half, "tb"):
+                    a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+                    sets: dict[int, np.ndarray] = {}
+                    for names, column in ((a, "ta"), (b, "tb")):
+                        for name, text in zip(names, batch.column(column).to_pylist(), strict=True):
+                            if name not in sets:
+                                sets[name] = shingles(text or "")
+                    kept = pa.array([similar(sets[x], sets[y]) for x, y in zip(a, b, strict=True)], pa.bool_())
+                    yield batch.select(["a", "b"]).filter(kept)
+
+    left, right = (texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}")) for name in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _texts_of(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes (``node``), from one row of each."""
+    found = written(nodes.join(wanted, "node", "left_semi").select("node", "row._key", F.col("row.doc_id").alias("doc_id")), "wanted")
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    slim = documents.select(row_key(documents).alias("_k"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    joined = slim.join(found, (F.col("_k") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    return written(joined.select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def wide_links(nodes: DataFrame, reach: float = REACH, documents: DataFrame | None = None) -> DataFrame:
+    """``a, b``: nodes (``node, wide, keys``) that a bucket brings together and whose fingerprints differ in at most that share of
+    bits; with ``documents`` (and a ``row`` of theirs, ``_key, doc_id``, with each node) only those that :func:`_confirmed` confirms.
+    By 192 bits, three standard errors more are let pass to the comparison of all 512, and far fewer are enough for a first look.
     A pair is left out only where links that were confirmed join both its ends already."""
     word = lambda k: F.get("wide", F.lit(k))
-    slim = nodes.select("node", "wide", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") % 4 == 0).alias("own"), *(word(WIDE_WORDS - 3 + k).alias(name) for k, name in enumerate("xyz")))
+    slim = nodes.select("node", "wide", F.posexplode("keys").alias("at", "key")).select("key", "node", _own(F.col("at")).alias("own"), *(word(WIDE_WORDS - 3 + k).alias(name) for k, name in enumerate("xyz")))
     error = 3 * (reach * (1 - reach) / 192) ** 0.5
     sure, rough, whole = round((reach - 0.8 * error) * 192), round((reach + error) * 192), round(reach * 64 * WIDE_WORDS)
     looked = written(slim.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough), "a long, b long, dense long").distinct(), "pairs")
+    confirmed = lambda pairs: pairs if documents is None else _confirmed(pairs, _texts_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), documents))
     near = written(_within(looked.filter("dense is null").select("a", "b"), nodes, whole), "near")
+    near = written(confirmed(near), "links")
     dense = looked.filter("dense is not null").select(F.col("dense").alias("key"))
     n_dense = dense.count()
     if not n_dense:
@@ -336,24 +386,21 @@ def wide_links(nodes: DataFrame, reach: float = 0.172) -> DataFrame:
     joined = components(near).select(F.col("a").alias("node"), F.col("b").alias("group"))
     grouped = nodes.join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
     again = grouped.select("node", "group", "wide", F.posexplode("keys").alias("at", "key")).join(F.broadcast(dense) if n_dense <= BROADCAST_KEYS else dense, "key", "left_semi")
-    wide = again.select("key", "node", (F.col("at") % 4 == 0).alias("own"), "group", *(word(k).alias(f"w{k}") for k in range(WIDE_WORDS)))
+    wide = again.select("key", "node", _own(F.col("at")).alias("own"), "group", *(word(k).alias(f"w{k}") for k in range(WIDE_WORDS)))
     crossing = written(wide.repartition("key").mapInArrow(lambda batches: _crossing_pairs(batches, whole), "a long, b long").distinct(), "crossing")
-    return near.unionByName(crossing)
-
-
-def near_copies(documents: DataFrame, radius: int = 4, reach: float = 0.172) -> DataFrame:
-    """``_key, doc_id, root`` of each row: rows of one root are linked by four of 64 bits or by the reach of 512 bits."""
-    prints = wide_fingerprints(documents).withColumn("node", F.xxhash64("fp", "wide"))
-    prints = written(prints, "fingerprints")
-    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "nodes")
-    vertex = lambda c: F.xxhash64(F.lit("fp"), c)
-    narrow = links(nodes.select("fp").distinct(), radius).select(vertex(F.col("a")).alias("a"), vertex(F.col("b")).alias("b"))
-    own = nodes.select(F.col("node").alias("a"), vertex(F.col("fp")).alias("b"))
-    linked = components(wide_links(nodes, reach).unionByName(narrow).unionByName(own))
+    return near.unionByName(confirmed(crossing))
+
+
+def near_copies(documents: DataFrame, radius: int = 4, reach: float = REACH) -> DataFrame:
+    """``_key, doc_id, root`` of each row: rows of one root are linked by confirmed pairs. Candidates share a band or, as in :func:`links`, blocks of 64 bits."""
+    prints = wide_fingerprints(documents).withColumn("node", F.xxhash64("fp", "wide", "digest"))
+    prints = written(prints.withColumn("keys", F.concat("keys", _tables(F.col("fp"), 6, 6 - radius))), "fingerprints")
+    nodes = written(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.first(F.struct("_key", "doc_id")).alias("row")), "nodes")
+    linked = components(wide_links(nodes, reach, documents))
     return prints.join(linked, prints["node"] == linked["a"], "left").select("_key", "doc_id", F.coalesce("b", "node").alias("root"))
 
 
-def without_near_duplicates(documents: DataFrame, radius: int = 4, reach: float = 0.172) -> DataFrame:
+def without_near_duplicates(documents: DataFrame, radius: int = 4, reach: float = REACH) -> DataFrame:
     """One whole row of each group of near copies: that of the smallest doc_id."""
     first = near_copies(documents, radius, reach).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("r"))
     return times(documents, first.select("r._key", "r.doc_id", F.lit(1).alias("_n")))

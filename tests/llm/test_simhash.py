@@ -150,3 +150,23 @@ def test_chained_copies_against_brute_force(spark):
     for r in edge.plain(simhash.wide_links(nodes, 0.172)):
         got.link(r["a"], r["b"])
     assert [got.root(n) for n in names] == [want.root(n) for n in names]
+
+
+def test_links_have_the_similarity(spark):
+    """Texts of similarity 0.6 to 0.79 to each other stay, and those of 0.8 or more go, in whatever bucket they meet."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows, close, apart = [], 0, 0
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(200)]
+        rows.append((k, " ".join(words)))
+        for at in rng.sample(range(10, 190, 6), rng.choice((4, 6, 8))):
+            words[at] = rng.choice(vocabulary)
+        rows.append((1000 + k, " ".join(words)))
+    rows += [(3000, "a b c d"), (3001, "a b c e"), (3002, "A  b c d")]
+    kept = {r["doc_id"] for r in edge.plain(simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))}
+    for (_, a), (k, b) in zip(rows[:300:2], rows[1:300:2]):
+        similarity = jaccard(a, b)
+        close, apart = close + (similarity >= 0.8), apart + (similarity < 0.8)
+        assert similarity >= 0.8 or k in kept
+    assert apart > 50 and close > 30 and len([k for k in kept if 1000 <= k < 3000]) <= apart + 0.05 * close and {3000, 3001} <= kept and 3002 not in kept
