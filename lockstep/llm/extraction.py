@@ -234,16 +234,33 @@ def _weight(node: Node) -> float:
     return 5 * total if re.match(r"(article|main)\b", node.label) else total
 
 
+def _varies(node: Node) -> bool:
+    """Whether a node holds text that is not closed and not the same on several pages."""
+    if node.label.endswith("!"):
+        return False
+    return node.chars > 0 and (node.text is None or node.pages < 2) or any(map(_varies, node.children))
+
+
 def region(wrapper: Node) -> list[str]:
-    """The labels that lead to the smallest element, not repeated, that holds most of the varying text."""
+    """The labels that lead to the smallest element, not repeated, outside which no text varies. Outside an article or main that most
+    pages have and that holds most of the text, other text may vary; nothing inside one is left out."""
     path, node = [], wrapper
-    while True:
+    while not re.match(r"(article|main)\b", node.label):
         inner = [c for c in node.children if not c.label.endswith("!")]
         best = max(inner, key=_weight, default=None)
-        if best is None or best.many in "+*" or best.label.split(".")[0] in _TEXT_BLOCKS or _weight(best) < 0.7 * sum(map(_weight, inner)):
+        if best is None or best.many in "+*" or best.label.split(".")[0] in _TEXT_BLOCKS:
+            return path
+        named = _named(best) and 2 * best.pages > wrapper.pages and _weight(best) >= 0.7 * sum(map(_weight, inner))
+        if not named and any(_varies(c) for c in inner if c is not best):
             return path
         path.append(best.label)
         node = best
+    return path
+
+
+def _named(node: Node) -> bool:
+    """Whether a node is an article or main, or holds one."""
+    return bool(re.match(r"(article|main)\b", node.label)) or any(_named(c) for c in node.children if not c.label.endswith("!"))
 
 
 def _texts(node: Node) -> Iterator[str]:
@@ -257,16 +274,16 @@ def _texts(node: Node) -> Iterator[str]:
 def article(page: str, path: list[str] | None) -> str:
     """The article's blocks, joined by an empty line."""
     root = read_page(page)
-    node: Node | None = root
-    for label in path if path is not None else ["\0"]:
-        node = max((c for c in node.children if c.label == label), key=lambda c: sum(map(len, _texts(c))), default=None)
-        if node is None:
-            break
-    if node is None:
-        node = root
-        for label in region(skeleton(root)):
-            node = next(c for c in node.children if c.label == label)
-    return "\n\n".join(_texts(node))
+    found = _reached(root, path) if path is not None else []
+    return "\n\n".join(t for node in found or _reached(root, region(skeleton(root))) for t in _texts(node))
+
+
+def _reached(root: Node, path: list[str]) -> list[Node]:
+    """All elements that the path's labels lead to, in the page's order."""
+    nodes = [root]
+    for label in path:
+        nodes = [c for node in nodes for c in node.children if c.label == label]
+    return nodes
 
 
 def _combined(rows: Iterator[tuple[str, Node]]) -> pa.RecordBatch:

@@ -71,3 +71,13 @@ def test_given_pages(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", page_html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert found[k] == "\n\n".join(b for b in blocks if b)
+
+
+def test_nothing_beside_the_longest_child_is_dropped():
+    article = lambda k: f"<article><h1>T{k}</h1><div class=lead>Lead {k}</div><div class=body><p>{'word ' * 50}{k}</p></div></article>"
+    pages = [article(k) for k in range(4)]
+    assert ex.article(pages[2], ex.region(wrapper(pages))) == f"T2\n\nLead 2\n\n{'word ' * 50}2"
+    plain = [f"<div><p>Text {k}</p></div>" for k in range(4)] + [f"<div><p>Text 4</p><table><tr><td>{'cell ' * 500}</table></div>"]
+    assert ex.article(plain[4], ex.region(wrapper(plain))).startswith("Text 4\n\ncell")
+    twice = [f"<div class=part>First {k}</div><div class=part>Second {k} is longer</div>" for k in range(3)]
+    assert ex.article(twice[1], ["div.part"]) == "First 1\n\nSecond 1 is longer"
