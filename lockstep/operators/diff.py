@@ -10,14 +10,14 @@ Strategies for all pairs, which give the same rows:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.functions.text import any_differs, equal_as_sign, letters
 from lockstep.operators.positions import explode_positions
 
 PAIR_COLUMNS = ("first_index", "second_index", "Index", "first_letter", "second_letter")
-BLOCK = 256
+BLOCK, HELD = 256, 1 << 20
 
 
 def diff_pairs(sequences: DataFrame, strategy: str = "allele", plan: DataFrame | None = None) -> DataFrame:
@@ -67,34 +67,59 @@ def _by_allele(sequences: DataFrame) -> DataFrame:
     return pairs.filter("i <> j").select(pick("i", "j").alias("first_index"), pick("j", "i").alias("second_index"), "Index", pick("la", "lb").alias("first_letter"), pick("lb", "la").alias("second_letter"))
 
 
+def blocks(sequences: DataFrame, key: str = "seq_index", size: int = BLOCK) -> DataFrame:
+    """``key, block, part``: each sequence cut once into blocks of ``size`` letters; an empty one has none."""
+    return sequences.select(key, F.posexplode(F.regexp_extract_all("seq", F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))).alias("block", "part"))
+
+
 def _by_block(sequences: DataFrame, size: int = BLOCK) -> DataFrame:
-    n = F.ceil(F.length("seq") / size).cast("int")
-    numbered = sequences.filter("seq <> ''").select("seq_index", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-    blocks = numbered.select("seq_index", "block", F.substring(F.col("seq"), F.col("block") * size + 1, F.lit(size)).alias("part"))
-    a, b = blocks.alias("a"), blocks.alias("b")
+    a, b = (blocks(sequences, size=size).alias(x) for x in "ab")
     on = (F.col("a.block") == F.col("b.block")) & (F.col("a.seq_index") < F.col("b.seq_index")) & (F.col("a.part") != F.col("b.part"))
     met = a.join(b, on).select(F.col("a.seq_index").alias("first_index"), F.col("b.seq_index").alias("second_index"), "a.block", F.arrays_zip(letters(F.col("a.part")).alias("x"), letters(F.col("b.part")).alias("y")).alias("both"))
     each = met.select("first_index", "second_index", "block", F.posexplode("both").alias("at", "z")).filter(F.col("z.x") != F.col("z.y"))
     return each.select("first_index", "second_index", (F.col("block").cast("long") * size + F.col("at")).alias("Index"), F.col("z.x").alias("first_letter"), F.col("z.y").alias("second_letter"))
 
 
-def one_vs_many(sequences: DataFrame, max_s: int | None = None, layout: str = "canonical", sign: bool = True) -> DataFrame:
+def one_vs_many(sequences: DataFrame, max_s: int | None = None, layout: str = "canonical", sign: bool = True, size: int | None = None) -> DataFrame:
     """``first_index, chunk, Index, first_letter, letters``: positions on which a second letter of the chunk differs from the first.
 
-    Equal letters are written ``=``; missing ones are null, or left out in the ``compact`` layout. ``seq_index`` must run from 0 without gaps.
+    Chunks are of the later sequences in the order of ``seq_index``, which need not be without gaps but must not repeat. Equal letters are written
+    ``=``; missing ones are null, or left out in the ``compact`` layout.
+
+    Positions on which all sequences agree are dropped first. What is left of each block of ``size`` letters is one short text a
+    sequence; texts of a block meet, and a row holds a chunk's texts of one block: about ``HELD`` letters at most.
     """
-    held = F.map_from_entries(F.col("held"))
-    n = sequences.agg(F.count("*").alias("n"))
-    dense = varying_positions(sequences).withColumn("by", held).join(F.broadcast(n)).select("Index", "n", "held", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.col("by")[i]).alias("all"))
-    step = F.greatest(F.col("n") - 1, F.lit(1)) if max_s is None else F.lit(max_s).cast("long")
-    each = dense.withColumn("step", step).select("Index", "n", "step", "all", F.explode("held").alias("x")).filter(F.col("x.seq_index") < F.col("n") - 1)
-    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2 - F.col("x.seq_index")) / F.col("step")))
-    rows = each.select("Index", "step", "all", "x", F.explode(chunks).alias("chunk"))
-    seconds = F.slice("all", (F.col("x.seq_index") + 2 + F.col("chunk") * F.col("step")).cast("int"), F.col("step").cast("int"))
-    kept = keep_differing(rows.select(F.col("x.seq_index").alias("first_index"), "chunk", "Index", F.col("x.letter").alias("first_letter"), seconds.alias("letters")))
+    if max_s is not None and max_s < 1:
+        raise ValueError("max_s must be at least 1")
+    n = sequences.count()
+    step = max(1, n - 1) if max_s is None else max_s
+    size = size or max(1, min(BLOCK, HELD // step))
+    # the indices alone are numbered in one task: n numbers, where the result has the order of n squared rows
+    ranks = sequences.select("seq_index").withColumn("rank", F.row_number().over(Window.orderBy("seq_index")).cast("long") - 1)
+    cut = blocks(sequences.join(ranks, "seq_index").select(F.struct("rank", "seq_index").alias("who"), "seq"), "who", size)
+    single = cut.select("block", F.posexplode(letters(F.col("part"))).alias("at", "letter"))
+    varying = single.groupBy("block", "at").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).filter("low <> high")
+    places = varying.groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    # places beyond a sequence's end come last, so the letters that are there are a beginning
+    there = cut.join(places, "block").withColumn("_letters", letters(F.col("part")))
+    kept = there.select("who", "block", "places", F.array_join(F.transform("places", lambda p: F.get("_letters", p)), "").alias("part")).filter("part <> ''")
+    a, b = kept.alias("a"), kept.select("who", "block", "part").alias("b")
+    behind = F.col("b.who.rank") - F.col("a.who.rank") - 1
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.who.rank") < F.col("b.who.rank")))
+    met = met.select("a.who", "a.block", "a.places", F.col("a.part").alias("first"), F.floor(behind / step).alias("chunk"), F.struct((behind % step).alias("ordinal"), F.col("b.part").alias("part")).alias("second"))
+    groups = met.groupBy("who", "chunk", "block").agg(F.first("places").alias("places"), F.first("first").alias("first"), F.sort_array(F.collect_list("second")).alias("held"))
+    many = F.least(F.lit(step).cast("long"), n - 1 - F.col("who.rank") - F.col("chunk") * step)
+    none = F.lit(None).cast("string")
+    parts = F.when(F.size("held") == many, F.transform("held", lambda x: x["part"])).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), many - 1), lambda o: F.coalesce(F.get(F.filter("held", lambda x: x["ordinal"] == o), F.lit(0))["part"], none))
+    )
+    wide = groups.select("who", "chunk", "block", "places", letters(F.col("first")).alias("first"), F.transform(parts, letters).alias("seconds"))
+    row = F.transform("places", lambda p, k: F.struct(p.alias("at"), F.get("first", k).alias("first_letter"), F.transform("seconds", lambda s: F.get(s, k)).alias("letters")))
+    rows = wide.select("who", "chunk", "block", F.explode(F.filter(row, lambda x: any_differs(x["first_letter"], x["letters"]))).alias("x"))
+    found = rows.select(F.col("who.seq_index").alias("first_index"), "chunk", (F.col("block").cast("long") * size + F.col("x.at")).alias("Index"), "x.first_letter", "x.letters")
     if sign:
-        kept = substitute_equal(kept)
-    return kept.withColumn("letters", F.filter("letters", lambda x: x.isNotNull())) if layout == "compact" else kept
+        found = substitute_equal(found)
+    return found.withColumn("letters", F.filter("letters", lambda x: x.isNotNull())) if layout == "compact" else found
 
 
 def keep_differing(groups: DataFrame) -> DataFrame:
@@ -106,11 +131,21 @@ def substitute_equal(groups: DataFrame) -> DataFrame:
     return groups.withColumn("letters", equal_as_sign(F.col("first_letter"), F.col("letters")))
 
 
-def diff_by_group(padded: DataFrame) -> DataFrame:
-    """Differences of tagged sides (``first_index, chunk, side, ordinal, Index, letter``) by one aggregation on group and position."""
+def diff_by_group(positions: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
+    """Differences of tagged sides (``first_index, chunk, side, ordinal, Index, letter``) by one aggregation on group and position.
+
+    ``positions`` are padded; or they are not, and ``seconds`` (``first_index, chunk, n``) says how many second sequences a group has,
+    as a letter that is missing changes nothing but its place in the row."""
     keys = ["first_index", "chunk", "Index"]
-    merged = padded.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("letter"))).alias("first_letter"), F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.struct("ordinal", "letter")))).alias("held"))
-    return substitute_equal(keep_differing(merged.select(*keys, "first_letter", F.transform("held", lambda x: x["letter"]).alias("letters"))))
+    held = F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.struct("ordinal", "letter"))))
+    merged = positions.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("letter"))).alias("first_letter"), held.alias("held"))
+    found = F.transform("held", lambda x: x["letter"])
+    merged = merged.filter(any_differs(F.col("first_letter"), found))
+    if seconds is not None:
+        merged = merged.join(seconds.select("first_index", "chunk", "n"), ["first_index", "chunk"])
+        at = lambda o: F.get(F.filter("held", lambda x: x["ordinal"] == o), F.lit(0))["letter"]
+        found = F.when(F.size("held") == F.col("n"), found).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), at))
+    return substitute_equal(merged.select(*keys, "first_letter", found.alias("letters")))
 
 
 def diff_counts(pairs: DataFrame, plan: DataFrame) -> DataFrame:

@@ -32,6 +32,13 @@ def as_lines(groups: DataFrame) -> DataFrame:
     return groups.select("first_index", "chunk", "Index", row_text(F.col("Index"), F.col("first_letter"), F.col("letters")).alias("line"))
 
 
+def header_lines(labelled: DataFrame, plan: DataFrame) -> DataFrame:
+    """``first_index, chunk, group_name, line``: the header of each group of a chunk plan, from its members' labels."""
+    heads = labelled.groupBy("first_index", "chunk").agg(F.sort_array(F.collect_list(F.struct("side", "ordinal", "label"))).alias("of"))
+    line = F.concat(F.lit("Index,"), F.array_join(F.transform("of", lambda x: x["label"]), ","))
+    return heads.join(named_groups(plan), ["first_index", "chunk"]).select("first_index", "chunk", "group_name", line.alias("line"))
+
+
 def in_order(df: DataFrame, keys: tuple[str, ...] = ("first_index", "second_index")) -> DataFrame:
     """Sorted by group, then by position, nulls last."""
     return df.orderBy(*keys, F.col("Index").asc_nulls_last())

@@ -30,11 +30,18 @@ def union_sides(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def member_positions(members: DataFrame) -> DataFrame:
+    """The letters of each group member, without padding."""
+    return members.select(*(c for c in members.columns if c != "seq"), F.posexplode(letters(F.col("seq"))).alias("Index", "letter")).withColumn("Index", F.col("Index").cast("long"))
+
+
 def pad_positions(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions of each group member up to the group's longest sequence; beyond its own end a letter is null."""
-    sized = members.join(longest_sequence(members, keys), keys).filter("longest > 0")
-    padded = sized.withColumn("_letters", letters(F.col("seq"))).withColumn("Index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("longest") - 1)))
-    return padded.withColumn("letter", F.get("_letters", F.col("Index").cast("int"))).drop("_letters", "longest", "seq")
+    """Positions of each group member up to the group's longest sequence; beyond its own end a letter is null.
+
+    Only the missing tail is made up, so no row carries a whole sequence's letters."""
+    sized = members.withColumn("_n", F.length("seq").cast("long")).join(longest_sequence(members, keys), keys).filter("_n < longest")
+    tail = sized.withColumn("Index", F.explode(F.sequence(F.col("_n"), F.col("longest") - 1))).withColumn("letter", F.lit(None).cast("string"))
+    return member_positions(members).unionByName(tail.drop("_n", "longest", "seq"))
 
 
 def label_members(members: DataFrame) -> DataFrame:

@@ -23,13 +23,21 @@ def write_distributed(df: DataFrame, path: str, mode: str = "append", by: str |
 
 
 def write_merged(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One CSV file, sorted by position. For results that one task can write; else use :func:`write_distributed`."""
-    df.coalesce(1).sortWithinPartitions(F.col("Index").asc_nulls_last()).write.mode(mode).options(**_CSV).csv(path)
-
-
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Text parts of the column ``line``; fails if the path exists."""
-    lines.sortWithinPartitions("Index").select("line").write.mode("errorifexists").text(path)
+    """One CSV file, sorted by position. For results that one task can write (all before the writing stays spread); else :func:`write_distributed`."""
+    df.repartition(1).sortWithinPartitions(F.col("Index").asc_nulls_last()).write.mode(mode).options(**_CSV).csv(path)
+
+
+def write_lines(lines: DataFrame, path: str, headers: DataFrame | None = None) -> None:
+    """Text parts of the column ``line``, sorted by position; fails if the path exists. With ``headers`` (``first_index, chunk,
+    group_name, line``) each group has a folder of one part, which begins with the header; a group without rows has it too.
+    A group has no more lines than its first sequence has letters."""
+    if headers is None:
+        lines.sortWithinPartitions("Index").select("line").write.mode("errorifexists").text(path)
+        return
+    heads = headers.select("group_name", F.lit(None).cast("long").alias("Index"), "line")
+    named = lines.join(headers.select("first_index", "chunk", "group_name"), ["first_index", "chunk"]).select("group_name", "Index", "line")
+    parts = heads.unionByName(named).repartition("group_name").sortWithinPartitions("group_name", F.col("Index").asc_nulls_first())
+    parts.select("line", "group_name").write.mode("errorifexists").partitionBy("group_name").text(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -15,6 +15,7 @@ from lockstep.functions.text import interval
 from lockstep.operators import diff, layout, positions, sinks
 from lockstep.plans import groups
 from lockstep.sources import fasta, manifest
+from lockstep.sources.files import existing_files
 from lockstep.sources.shared import fresh_path
 from lockstep.streaming import incremental
 
@@ -162,7 +163,8 @@ def equal_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _letters(diff.diff_by_group(positions.pad_positions(_members(spark, sf_dir), ["first_index", "chunk"])))
+    seconds = groups.chunk_plan(_count(spark, sf_dir), MAX_S).select("first_index", "chunk", F.size("second_indices").alias("n"))
+    return _letters(diff.diff_by_group(positions.member_positions(_members(spark, sf_dir)), seconds))
 
 
 def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,36 +196,71 @@ def sink_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder a group, all written by one job."""
     found = sinks.flat(diff.one_vs_many(benchmark_sequences(spark, sf_dir)))
     path, names = fresh_path(spark, "distributed"), layout.named_groups(groups.chunk_plan(_count(spark, sf_dir)))
-    sinks.write_distributed(found.join(F.broadcast(names), ["first_index", "chunk"]).repartition("group_name"), path, by="group_name")
+    sinks.write_distributed(found.join(names, ["first_index", "chunk"]).repartition("group_name"), path, by="group_name")
     return sinks.read_csv(spark, path, "first_index long, chunk long, Index long, first_letter string, letters string, group_name string")
 
 
 def sink_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, path = diff.diff_pairs(_part_sequences(spark, sf_dir)), fresh_path(spark, "merged")
+    pairs, path = diff.diff_pairs(benchmark_sequences(spark, sf_dir)), fresh_path(spark, "merged")
     sinks.write_merged(pairs, path)
     return sinks.read_csv(spark, path, pairs.schema)
 
 
-def _part_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sequence a region: its nations' names, in order of key."""
-    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), "/").alias("names"))
-    return fasta.sequences_from_table(names, "n_regionkey", "names", "region")
-
-
 def sink_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.collect_phase(diff.diff_pairs(benchmark_sequences(spark, sf_dir)), "None")
 
 
 def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark texts arrive and are compared with the regions' sequences."""
+    """The benchmark texts arrive and are compared with the suppliers' names."""
     schema = table(spark, sf_dir, "benchmark").schema
-    arriving = fasta.sequences_from_table(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/benchmark*.parquet"), "item_id", "text")
+    arriving = fasta.sequences_from_table(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir)), "item_id", "text")
     out = fresh_path(spark, "arrived")
-    found = incremental.diff_against(arriving, _part_sequences(spark, sf_dir))
+    found = incremental.diff_against(arriving, fasta.sequences_from_table(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name"))
     incremental.write_available(found, out, fresh_path(spark, "progress"))
     return spark.read.schema(found.schema).parquet(out)
 
 
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """The benchmark texts in a folder, as a stream reads only folders."""
+    path = fresh_path(spark, "arriving")
+    table(spark, sf_dir, "benchmark").write.parquet(path)
+    return path
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """A FASTA file for each document, in a folder whose name has a blank, a plus and a percent sign; ``seq_index, path`` and the folder."""
+    folder = fresh_path(spark, "fasta") + "/a b+c%25"
+    docs = table(spark, sf_dir, "documents")
+    head = F.concat(F.lit(">doc "), F.col("doc_id").cast("string"), F.lit(" |"), F.col("lang"), F.lit("\n"))
+    docs.select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("value")).write.partitionBy("doc_id").text(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return listed.select(F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("long").alias("seq_index"), F.concat(F.lit(folder), F.regexp_extract("path", "/doc_id=.*$", 0)).alias("path")), folder
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of a manifest of real files: every tenth path is wrong."""
+    files, _ = _files(spark, sf_dir)
+    path = F.concat("path", F.when(F.col("seq_index") % 10 == 0, ".gone").otherwise(""))
+    lines = files.select("seq_index", F.concat(path, F.lit(", [0,L-1]")).alias("line"))
+    return manifest.manifest_violations(lines, existing_files(spark, manifest.parse_manifest(lines)))
+
+
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest lines written, read again, checked, and their files read, parsed and cut."""
+    files, _ = _files(spark, sf_dir)
+    listed = files.select("seq_index", "path", (F.col("seq_index") % 7).cast("string").alias("start_pos"), F.when(F.col("seq_index") % 2 == 0, "L-1").otherwise((F.col("seq_index") % 300).cast("string")).alias("end_pos"))
+    return fasta.read_sequences(spark, listed)
+
+
+def sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder a group of text lines under a header."""
+    plan, path = groups.chunk_plan(_count(spark, sf_dir), MAX_S), fresh_path(spark, "lines")
+    headers = layout.header_lines(positions.label_members(_members(spark, sf_dir)), plan)
+    one_line = benchmark_sequences(spark, sf_dir).withColumn("seq", F.translate("seq", "\n", "/"))  # a line end as a letter would end a line of the file
+    sinks.write_lines(layout.as_lines(diff.one_vs_many(one_line, MAX_S)), path, headers)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("group_name").cast("string"))
+
+
 _SEQ = "s as (select item_id i, text q from benchmark), p as (select i, unnest(range(length(q))) \"Index\", unnest(string_split(q, '')) c from s where q <> '')"
 _N = "n as (select count(*) n from benchmark)"
 _CHUNKS = f"{_N}, e as (select a.item_id first_index, (b.item_id - a.item_id - 1) // {MAX_S} chunk, b.item_id second_index, (b.item_id - a.item_id - 1) % {MAX_S} ordinal from benchmark a join benchmark b on a.item_id < b.item_id)"
@@ -241,14 +278,17 @@ _MEMBERS = f"{_CHUNKS}, m as (select distinct first_index, chunk, 0 side, 0::big
 _REST = "e as (select a.item_id first_index, 0::bigint chunk, b.item_id second_index, b.item_id - a.item_id - 1 ordinal from benchmark a join benchmark b on a.item_id < b.item_id)"
 _NAMES = """case when max(second_index) = min(second_index) then 'sequence_' || first_index || '_diff_sequence_' || min(second_index)
   else 'sequence_' || first_index || '_diff_sequences_' || min(second_index) || '_to_' || max(second_index) end"""
-_REGION = "r as (select n_regionkey::bigint i, string_agg(n_name, '/' order by n_nationkey) q from nation group by 1), t as (select i, unnest(range(length(q))) \"Index\", unnest(string_split(q, '')) c from r)"
+_SUPPLIERS = "t as (select s_suppkey i, unnest(range(length(s_name))) \"Index\", unnest(string_split(s_name, '')) c from supplier)"
+_LINES = f"""{_SEQ}, {_CHUNKS}, j as (select e.first_index, e.chunk, e.ordinal, a."Index", a.c first_letter, b.c from e join p a on a.i = e.first_index left join p b on b.i = e.second_index and b."Index" = a."Index"),
+      w as (select first_index, chunk, "Index", translate("Index" || ',' || first_letter || ',' || string_agg(case when c = first_letter then '=' else c end, ',' order by ordinal), ''' ()[]', '') line
+      from j group by first_index, chunk, "Index", first_letter having bool_or(c <> first_letter))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         manifest_parse, manifest_violations, sequence_count, fasta_parse, select_sequences, sequences_from_table, interval_slice, sequence_labels, positional_explode, null_padding, equal_substitution,
         keep_differing_rows, wide_layout, row_text_format, pair_plan, chunk_plan, plan_statistics, diff_one_vs_many, diff_one_vs_many_compact, diff_one_vs_rest, diff_pairs_outer_form, diff_pairs_of_plan, union_sides, diff_by_group,
-        longest_sequence, diff_counts, sorted_diff, sink_distributed, sink_merged, sink_none, destination_names, incremental_diff,
+        longest_sequence, diff_counts, sorted_diff, sink_distributed, sink_merged, sink_none, sink_lines, destination_names, incremental_diff, manifest_files, fasta_files,
     )
 } | {"diff_pairs": _pairs("allele")} | {f"diff_pairs_{s}": _pairs(s) for s in ("join", "group", "block")}
 
@@ -276,9 +316,13 @@ ORACLE_SQL: dict[str, str] = {
     "keep_differing_rows": _groups_sql("coalesce(c, '-')"),
     "wide_layout": "with t as (select r_name, row_number() over (partition by r_regionkey order by c_custkey) - 1 \"Index\", c_mktsegment[1] c from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey) select \"Index\", "
     + ", ".join(f"max(c) filter (r_name = '{r}') \"Seq_{r}\"" for r in REGIONS) + " from t group by 1",
-    "row_text_format": f"""with {_SEQ}, {_CHUNKS}, j as (select e.first_index, e.chunk, e.ordinal, a."Index", a.c first_letter, b.c from e join p a on a.i = e.first_index left join p b on b.i = e.second_index and b."Index" = a."Index")
-      select first_index, chunk, "Index", translate("Index" || ',' || first_letter || ',' || string_agg(case when c = first_letter then '=' else c end, ',' order by ordinal), ''' ()[]', '') line
-      from j group by first_index, chunk, "Index", first_letter having bool_or(c <> first_letter)""",
+    "row_text_format": f"with {_LINES} select * from w",
+    "sink_lines": f"""with {_LINES.replace("text q", "translate(text, chr(10), '/') q")}, g as (select first_index, chunk, {_NAMES} group_name, 'Index,Seq_item' || first_index || ',' || string_agg('Seq_item' || second_index, ',' order by ordinal) line from e group by first_index, chunk)
+      select line, group_name from g union all select w.line, group_name from w join g using (first_index, chunk)""",
+    "fasta_files": r"""with t as (select doc_id, lang, doc_id % 7 s, doc_id % 300 z, string_split(regexp_replace('>doc ' || doc_id || ' |' || lang || chr(10) || coalesce(text, '') || chr(10), '\r\n?', chr(10), 'g'), chr(10)) ls from documents),
+      u as (select *, array_to_string(list_transform(ls[2:], lambda y: regexp_replace(y, '\s+$', '')), '') q from t)
+      select doc_id seq_index, 'doc' || doc_id seq_id, case when doc_id % 2 = 0 then substring(q, s + 1) else substring(q, s + 1, greatest(least(z, length(q)) - s, 0)) end seq from u""",
+    "manifest_files": "select doc_id seq_index, 'file not found' violation from documents where doc_id % 10 = 0",
     "pair_plan": "select a.item_id first_index, b.item_id second_index from benchmark a join benchmark b on a.item_id < b.item_id",
     "chunk_plan": f"with {_CHUNKS} select first_index, chunk, string_agg(second_index::varchar, ',' order by ordinal) second_indices from e group by all",
     "plan_statistics": f"""with {_N}, z as (select n, unnest([1, 2, 3, 7, 30, 1000])::bigint m from n),
@@ -297,7 +341,6 @@ ORACLE_SQL: dict[str, str] = {
         "case when c is null then '' when c = first_letter then '=' else c end || ','", _REST,
         f"select g.first_index, g.chunk, \"Index\", first_letter, left(letters, length(letters) - 1) letters, group_name from g join (select first_index, chunk, {_NAMES} group_name from e group by first_index, chunk) using (first_index, chunk)",
     ),
-    "sink_merged": f'with {_REGION} select a.i first_index, b.i second_index, a."Index", a.c first_letter, b.c second_letter from t a join t b on a."Index" = b."Index" and a.i < b.i and a.c <> b.c',
     "destination_names": f"with {_CHUNKS} select first_index, chunk, {_NAMES} group_name from e group by first_index, chunk",
-    "incremental_diff": f'with {_SEQ}, {_REGION} select p.i new_index, t.i known_index, p."Index", p.c new_letter, t.c known_letter from p join t on p."Index" = t."Index" and p.c <> t.c',
-} | {name: _PAIRS for name in ("diff_pairs", "diff_pairs_join", "diff_pairs_group", "diff_pairs_block", "diff_pairs_outer_form", "sorted_diff", "sink_none")}
+    "incremental_diff": f'with {_SEQ}, {_SUPPLIERS} select p.i new_index, t.i known_index, p."Index", p.c new_letter, t.c known_letter from p join t on p."Index" = t."Index" and p.c <> t.c',
+} | {name: _PAIRS for name in ("diff_pairs", "diff_pairs_join", "diff_pairs_group", "diff_pairs_block", "diff_pairs_outer_form", "sorted_diff", "sink_none", "sink_merged")}

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.functions.text import fasta_body, fasta_id, interval
+from lockstep.sources.files import existing_files
 
 
 def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``path, text``: one row a file."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """``path, text``: one row a file that is not empty; the path as a URI."""
+    return spark.read.text(paths, wholetext=True).select(_uri(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+
+
+def _uri(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def parse_fasta(texts: DataFrame) -> DataFrame:
@@ -24,11 +31,22 @@ def slice_sequences(sequences: DataFrame) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The sequences of a parsed manifest; only the paths pass through the driver."""
-    paths = sorted({r["path"] for r in manifest.select("path").distinct().toLocalIterator()})
-    texts = read_texts(spark, paths).withColumn("name", F.regexp_replace("path", "^file:/+", "/"))
-    named = manifest.join(texts.select("name", "text"), manifest["path"] == F.col("name"))
-    cut = named.select("seq_index", fasta_id(F.col("text")).alias("seq_id"), fasta_body(F.col("text")).alias("seq"), "start_pos", "end_pos")
+    """The sequences of a parsed manifest; only the list of paths passes through the driver.
+
+    Relative paths start at the working folder of their file system, as everywhere in Spark. FileNotFoundError for a path that
+    is no file; a file whose text then is not found ends the job with an error, so no sequence is ever left out.
+    """
+    files = existing_files(spark, manifest)
+    missing = sorted(r["path"] for r in manifest.select("path").distinct().join(files, "path", "left_anti").limit(10).collect())
+    if missing:
+        raise FileNotFoundError(f"not found: {', '.join(missing)}")
+    full = [r["uri"] for r in files.filter("length > 0").select("uri").distinct().collect()]
+    path_of = lambda uri: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path_of(u)) for u in full]  # Spark takes these as patterns else
+    texts = read_texts(spark, plain) if plain else spark.createDataFrame([], "path string, text string")
+    named = manifest.join(files, "path").join(texts.withColumnRenamed("path", "_path"), _uri(F.col("uri")) == F.col("_path"), "left")
+    text = F.when(F.col("length") == 0, "").when(F.col("text").isNull(), F.raise_error(F.concat(F.lit("no text read for "), "path"))).otherwise(F.col("text"))
+    cut = named.withColumn("text", text).select("seq_index", fasta_id(F.col("text")).alias("seq_id"), fasta_body(F.col("text")).alias("seq"), "start_pos", "end_pos")
     return slice_sequences(cut)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.functions.text import strip, text_lines
+from lockstep.sources.files import existing_files
 
 _FIELDS = ", "
 
@@ -35,12 +36,14 @@ def manifest_violations(lines: DataFrame, files: DataFrame) -> DataFrame:
     return wrong.unionByName(missing).unionByName(few)
 
 
-def check_manifest(lines: DataFrame, files: DataFrame) -> None:
-    """Raises ValueError for the first violation, in the order: field count, existence, number of lines."""
-    order = F.array_position(F.array(*map(F.lit, ("bad field count", "file not found", "fewer than 2 sequences"))), F.col("violation"))
-    worst = manifest_violations(lines, files).orderBy(order, "seq_index").first()
+def check_manifest(lines: DataFrame, files: DataFrame | None = None) -> None:
+    """Raises ValueError (FileNotFoundError for a missing file) for the first violation: line by line, field count before existence,
+    the number of lines last. Without ``files`` the library looks the paths up itself."""
+    files = existing_files(lines.sparkSession, parse_manifest(lines)) if files is None else files
+    worst = manifest_violations(lines, files).orderBy(F.col("seq_index").asc_nulls_last(), "violation").first()
     if worst:
-        raise ValueError(f"line {worst['seq_index']}: {worst['violation']}")
+        where = "the manifest" if worst["seq_index"] is None else f"line {worst['seq_index']}"
+        raise (FileNotFoundError if worst["violation"] == "file not found" else ValueError)(f"{where}: {worst['violation']}")
 
 
 def sequence_count(sequences: DataFrame) -> DataFrame:

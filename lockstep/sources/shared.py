@@ -1,26 +1,35 @@
 """The folder that the driver and all executors share.
 
 Long jobs cut their lineage by writing a table there and reading it again, so that a lost executor costs one stage and not
-the whole job. The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one
-machine) a temporary folder of our own is used.
+the whole job. The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in local mode, where driver and tasks
+are one process, a temporary folder of our own takes its place if that is unset; elsewhere a missing setting is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_OURS = re.compile(r".+-[0-9a-f]{32}")
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lockstep-")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's path, without a slash at its end."""
     found = spark.conf.get(_SETTING, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lockstep-")
-        spark.conf.set(_SETTING, found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} must name a folder that the driver and all executors share")
+        found = _local_dir()
     return found.rstrip("/")
 
 
@@ -37,9 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Removes a folder written by this module, when nothing reads it any more."""
-    if not path.startswith(shared_dir(spark)):
-        raise ValueError(f"{path} is not in the shared folder")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables made by :func:`written`, when nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if not _OURS.fullmatch(folder.rpartition("/")[2]):
+                raise ValueError(f"{folder} was not written here")
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -26,7 +26,7 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", sorted(positional.QUERIES))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "part", "documents", "benchmark", "labels"):
+    for t in ("region", "nation", "customer", "supplier", "part", "documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = positional.QUERIES[name](spark, SF)
     cursor = con.execute(positional.ORACLE_SQL[name])

@@ -1,14 +1,16 @@
 """The positional operators on the worked example, on edge cases, and against plain Python."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lockstep.compare import compare_files
 from lockstep.functions import text as tx
 from lockstep.operators import diff, layout, positions, sinks
 from lockstep.plans import groups
-from lockstep.sources import fasta, manifest
+from lockstep.sources import fasta, manifest, shared
 from lockstep.streaming import incremental
 
 MICRO = ["AAAAA", "ACGAA", "GAGCA", "ATAAAT"]
@@ -129,12 +131,101 @@ def test_manifest(spark, tmp_path):
     assert rows(manifest.parse_manifest(bad).filter("seq_index = 5")) == [(5, "a.fasta", "1", "-2")]
     single = spark.createDataFrame([(0, "a.fasta, [0,L-1]")], "seq_index long, line string")
     assert [tuple(r) for r in manifest.manifest_violations(single, known).collect()] == [(None, "fewer than 2 sequences")]
-    with pytest.raises(ValueError, match="file not found"):
+    with pytest.raises(FileNotFoundError, match="file not found"):
         manifest.check_manifest(bad.filter("seq_index >= 4"), known)
     twice = spark.createDataFrame([(0, "a.fasta, [0,L-1]"), (1, "a.fasta, [0,L-1]")], "seq_index long, line string")
     manifest.check_manifest(twice, known)
 
 
+@pytest.mark.parametrize("name", ["f.fasta", "a b.fasta", "50%25 a+b.fasta", "é[1]{x}*.fasta"])
+def test_odd_and_relative_paths(spark, tmp_path, name):
+    for i, t in enumerate(MICRO):
+        (tmp_path / f"{i + 1}{name}").write_text(f">{i + 1}.fasta\n{t}\n")
+    (tmp_path / f"0{name}").write_text("")
+    here = os.path.relpath(tmp_path, spark._jvm.java.lang.System.getProperty("user.dir"))
+    paths = [f"{here}/1{name}", f"{tmp_path}/2{name}", f"file://{tmp_path}/3{name}", f"{here}/1{name}", f"{tmp_path}/0{name}"]
+    parsed = spark.createDataFrame([(i, p, "0", "L-1") for i, p in enumerate(paths)], "seq_index long, path string, start_pos string, end_pos string")
+    expected = [(0, "1.fasta", MICRO[0]), (1, "2.fasta", MICRO[1]), (2, "3.fasta", MICRO[2]), (3, "1.fasta", MICRO[0]), (4, "Seq", "")]
+    assert rows(fasta.read_sequences(spark, parsed)) == expected
+    with pytest.raises(FileNotFoundError, match="gone"):
+        fasta.read_sequences(spark, parsed.union(spark.createDataFrame([(9, f"{here}/gone", "0", "L-1")], parsed.schema)))
+
+
+def test_from_manifest_to_written_results(spark, tmp_path):
+    here = os.path.relpath(tmp_path, spark._jvm.java.lang.System.getProperty("user.dir"))
+    for i, t in enumerate(MICRO):
+        (tmp_path / f"{i + 1}.fasta").write_text(f">{i + 1}.fasta |x\n{t}\n")
+    (tmp_path / "list.txt").write_text("".join(f"{here}/{i + 1}.fasta, [0,L-1]\n" for i in range(4)))
+    path = str(tmp_path / "list.txt")
+    written = compare_files(spark, path, "MW", str(tmp_path / "out"), max_s=None)
+    assert {r.group_name for r in written.collect()} == {"sequence_0_diff_sequences_1_to_3", "sequence_1_diff_sequences_2_to_3", "sequence_2_diff_sequence_3"}
+    (part,) = (tmp_path / "out" / "group_name=sequence_0_diff_sequences_1_to_3").glob("part-*.txt")
+    assert part.read_text().splitlines() == ["Index,Seq_1.fasta,Seq_2.fasta,Seq_3.fasta,Seq_4.fasta", "0,A,=,G,=", "1,A,C,=,T", "2,A,G,G,=", "3,A,=,C,="]
+    pairs = [(r.first_index, r.Index, r.first_letter, r.letters[0]) for r in compare_files(spark, path).collect()]
+    assert sorted(pairs) == sorted((i, k, a, b) for i, _, k, a, b in plain_pairs(MICRO))
+    (tmp_path / "list.txt").write_text(f"{here}/1.fasta, [0,L-1]\n{here}/gone.fasta, [0,L-1]\nbad\n")
+    with pytest.raises(FileNotFoundError, match="line 1"):
+        compare_files(spark, path)
+
+
+def test_indices_with_gaps(spark):
+    seqs = spark.createDataFrame([(i, "x", t) for i, t in zip((0, 5, 9, 70), MICRO)], "seq_index long, seq_id string, seq string")
+    found = [(r.first_index, r.chunk, r.Index, r.first_letter, r.letters) for r in diff.one_vs_many(seqs, 2).collect()]
+    assert sorted(found, key=str) == sorted((((0, 5, 9, 70)[x[0]], *x[1:]) for x in plain_groups(MICRO, 2)), key=str)
+
+
+def test_long_uneven_sequences(spark):
+    rng = random.Random(5)
+    base = [rng.choice("ACGT") for _ in range(3000)]
+    texts = []
+    for k in range(6):
+        letters = list(base)
+        for at in rng.sample(range(3000), 12):
+            letters[at] = rng.choice("ACGTN")
+        texts.append("".join(letters[: 3000 - 400 * (k % 3)]))
+    seqs = sequences(spark, texts)
+    for size in (None, 7):
+        found = [tuple(r) for r in diff.one_vs_many(seqs, 2, size=size).select("first_index", "chunk", "Index", "first_letter", "letters").collect()]
+        assert sorted(found, key=str) == sorted(plain_groups(texts, 2), key=str)
+    for strategy in STRATEGIES:
+        assert rows(diff.diff_pairs(seqs, strategy)) == plain_pairs(texts)
+
+
+def test_unpadded_groups(spark):
+    texts = ["ACGTA", "AC", "", "ACTA", "GCGTTT", "A"]
+    seqs = sequences(spark, texts)
+    plan = groups.chunk_plan(manifest.sequence_count(seqs), 3)
+    members = positions.members_of(groups.exploded(plan), seqs)
+    bare = diff.diff_by_group(positions.member_positions(members), plan.select("first_index", "chunk", F.size("second_indices").alias("n")))
+    padded = diff.diff_by_group(positions.pad_positions(members, ["first_index", "chunk"]))
+    columns = ["first_index", "chunk", "Index", "first_letter", "letters"]
+    want = sorted(plain_groups(texts, 3), key=str)
+    assert sorted((tuple(r) for r in bare.select(*columns).collect()), key=str) == want == sorted((tuple(r) for r in padded.select(*columns).collect()), key=str)
+
+
+def test_no_row_carries_a_whole_sequences_letters(spark):
+    seqs = sequences(spark, MICRO)
+    members = positions.members_of(groups.exploded(groups.chunk_plan(counted(spark, 4), 3)), seqs)
+    for df in (positions.pad_positions(members, ["first_index", "chunk"]), diff.diff_pairs(seqs, "block")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and "_letters" not in plan
+        assert not any("explode(sequence(0" in line and "seq#" in line.partition("explode")[0] for line in plan.splitlines())
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster())
+    table = shared.written(counted(spark, 3), "x")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    shared.dropped(table)
+    assert not os.path.exists(path)
+
+
 def test_plans(spark):
     checks = {(10, 3): (19, 18), (10, 4): (15, 15), (10, 5): (13, 13), (5, 2): (7, 6), (4, 3): (3, 3), (4, 2): (4, 4), (4, 9): (0, 3)}
     for (n, s), (estimate, actual) in checks.items():
