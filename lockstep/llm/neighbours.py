@@ -4,16 +4,24 @@ A vector is turned by pseudo-rotations (random signs and a fast Hadamard transfo
 is nearest to: one bucket in each of ``tables`` tables. A query probes its nearest axes, a fixed share of them, in every table; what it
 meets is ranked by the exact inner product, so a score is exact and only membership is approximate.
 
+The share is chosen by the data: a bounded sample of queries (``SAMPLE``) is answered exactly, by comparison with all vectors in blocks, and the smallest
+share of ``SHARES`` is taken under which the sample's true neighbours would have been met with the recall aimed at. Clustered vectors need few
+axes; random directions need many, as their nearest are hardly nearer than others, with any hashing.
+
 Nearness is the inner product, and hashing is by angle. So vectors are hashed in bands of similar norm (powers of two), with one more
 coordinate that gives all of a band one norm, unless they have it; then the larger inner product is the smaller angle. Equal vectors are
-one class, known by its 21 smallest ids, so a vector that a third of all rows share costs one entry. Buckets are salted by class
-so that a part holds a bounded share, and parts are dealt to groups of about ``GROUP_ROWS`` entries; each group keeps a query's best
-``top + 6`` only. A first search in ``scouts`` of the tables gives each query a score that its answer reaches in any case; the search in all
-tables returns only what reaches it, so what is sent for a query does not grow with the number of groups.
+one class, known by its 21 smallest ids, so a vector that a third of all rows share costs one entry.
+
+Entries and queries of a bucket are sorted to one task and streamed: it holds the queries of one bucket and a block of vectors, whatever the bucket's size.
+A bucket of over ``PART_ROWS`` entries is split into parts, and its queries are sent to each; one of over ``PART_QUERIES`` queries likewise. So a query is sent
+``tables * share * 2 * width`` times, in proportion to the number of queries, until buckets pass that size. A first search in ``scouts``
+tables gives each query a score that its answer reaches in any case; the search in all tables returns only what reaches it. Where a query has met
+fewer classes than it asks for, all its buckets of one table are searched, which is exact.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null vec_id take no part; repeated
 rows count once; only vectors of one length are compared; of rows with one vec_id and other vectors each is a row; equal scores are ordered
-by vec_id; other columns are ignored; an empty table gives no rows.
+by vec_id, in every cut; norms may be as large or small as a double (inner products that overflow are infinite); other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +36,17 @@ from pyspark.sql import functions as F
 
 from lockstep.sources.shared import written
 
-GROUP_ROWS, PART_ROWS = 16_384, 2048
+PART_ROWS, PART_QUERIES = 1 << 18, 1 << 14
+SAMPLE, SHARES, AIM = 128, (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2), 0.95
+MET = "query long, cid long, least long, score double"
 
 
 def rows_of_vectors(df: DataFrame) -> DataFrame:
     """Distinct ``vec_id, vec, cid`` (the class) of the rows that take part."""
-    vec = F.col("embedding").cast("array<double>")
+    kind = "float" if dict(df.dtypes)["embedding"] == "array<float>" else "double"  # floats travel as they are, and are counted with as doubles
+    vec = F.col("embedding").cast(f"array<{kind}>")
     usable = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    plain = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vec, lambda x: x + F.lit(0.0)).alias("vec"))
+    plain = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vec, lambda x: x + F.lit(0.0).cast(kind)).alias("vec"))
     return plain.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & usable).withColumn("cid", F.xxhash64("vec")).distinct()
 
 
@@ -71,16 +82,42 @@ def bucket_name(band: int, table: int, axis: np.ndarray) -> np.ndarray:
     return ((band + 2048) << 40) + (table << 32) + axis
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """The norm of each row, without overflow on the way."""
+    most = np.abs(x).max(axis=1, initial=0)
+    safe = np.where(most > 0, most, 1.0)
+    return most * np.sqrt(((x / safe[:, None]) ** 2).sum(axis=1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    y = x / np.abs(x).max(axis=1, keepdims=True)
+    return y / np.sqrt((y * y).sum(1, keepdims=True))
+
+
 def bands_of(vectors: DataFrame) -> dict[int, dict[int, tuple[float, bool]]]:
     """By length and band: the largest norm, and whether norms are unlike. At most some two thousand bands a length exist."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    found = vectors.select(F.size("vec").alias("d"), norm.alias("norm")).filter("norm > 0").groupBy("d", F.round(F.log2("norm")).cast("int").alias("band")).agg(F.max("norm").alias("top"), F.min("norm").alias("low")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, x in _stacked(batch, "vec"):
+                norm = _norms(x)
+                band = _bands(norm)
+                for b in np.unique(band):
+                    at = norm[band == b]
+                    yield pa.RecordBatch.from_pydict({"d": pa.array([x.shape[1]], pa.int32()), "band": pa.array([int(b)], pa.int32()), "top": [float(at.max())], "low": [float(at.min())]})
+
+    found = vectors.select("vec").mapInArrow(run, "d int, band int, top double, low double").groupBy("d", "band").agg(F.max("top").alias("top"), F.min("low").alias("low")).collect()
     out: dict[int, dict[int, tuple[float, bool]]] = {}
     for r in found:
         out.setdefault(r["d"], {})[r["band"]] = (r["top"], r["low"] < 0.99 * r["top"])
     return out
 
 
+def _bands(norm: np.ndarray) -> np.ndarray:
+    """The power of two of each norm; one whose norm is beyond a double is in the last band."""
+    return np.round(np.log2(np.clip(norm, 5e-324, np.finfo(float).max))).astype(np.int64)
+
+
 def _stacked(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The rows' numbers and their vectors, by vector length."""
     lists = batch.column(column)
@@ -92,122 +129,236 @@ def _stacked(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[tuple[np
         yield rows, values[starts[rows][:, None] + np.arange(d)].astype(np.float64)
 
 
+def _entries(x: np.ndarray, own: dict, tables: int, seed: int, used: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows' numbers and their bucket, table by table and band by band."""
+    norm = _norms(x)
+    band = _bands(norm)
+    for b, (top, unlike) in own.items():
+        at = np.flatnonzero(band == b)
+        if not len(at):
+            continue
+        y = x[at] / min(top, np.finfo(float).max)
+        wide = _widened(y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1))) if unlike else None)
+        for t in range(used):
+            z = turned(wide, t, tables, seed)
+            axis = np.abs(z).argmax(1)
+            yield at, bucket_name(b, t, 2 * axis + (z[np.arange(len(z)), axis] < 0))
+
+
+def _probes(x: np.ndarray, own: dict, tables: int, seed: int, used: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows' numbers, repeated, and the buckets they probe."""
+    q = _unit(x)
+    for b, (_, unlike) in own.items():
+        wide = _widened(q, np.zeros(len(q)) if unlike else None)
+        most = max(1, round(share * 2 * wide.shape[1]))
+        for t in range(used):
+            z = turned(wide, t, tables, seed)
+            axes = np.argpartition(-np.stack([z, -z], 2).reshape(len(z), -1), most - 1, axis=1)[:, :most]
+            yield np.repeat(np.arange(len(x)), most), bucket_name(b, t, axes.ravel())
+
+
 def index_entries(classes: DataFrame, bands: dict, tables: int, used: int, seed: int) -> DataFrame:
-    """``bucket, cid, vec``: each class once in each of the first ``used`` tables."""
+    """``bucket, d, cid, least, vec``: each class once in each of the first ``used`` tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _stacked(batch, "vec"):
-                own, norm = bands.get(x.shape[1], {}), np.sqrt((x * x).sum(1))
-                if not own:
-                    continue
-                with np.errstate(divide="ignore"):
-                    band = np.round(np.log2(norm))
-                for b in own:
-                    at = np.flatnonzero(band == b) if len(own) > 1 else np.arange(len(x))
-                    if not len(at):
-                        continue
-                    top, unlike = own[b]
-                    y = x[at] / top
-                    wide = _widened(y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1))) if unlike else None)
-                    picked = pa.array(rows[at])
-                    for t in range(used):
-                        z = turned(wide, t, tables, seed)
-                        axis = np.abs(z).argmax(1)
-                        signed = 2 * axis + (z[np.arange(len(z)), axis] < 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket_name(b, t, signed)), batch.column("cid").take(picked), batch.column("vec").take(picked)], names=["bucket", "cid", "vec"])
+                for at, bucket in _entries(x, bands.get(x.shape[1], {}), tables, seed, used):
+                    taken = batch.take(pa.array(rows[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(at), x.shape[1], np.int32)), *taken.columns], names=["bucket", "d", "cid", "least", "vec"])
 
-    return classes.select("cid", "vec").mapInArrow(run, "bucket long, cid long, vec array<double>")
+    return classes.select("cid", "least", "vec").mapInArrow(run, f"bucket long, d int, cid long, least long, vec {dict(classes.dtypes)['vec']}")
 
 
 def probe_entries(queries: DataFrame, bands: dict, tables: int, used: int, share: float, seed: int) -> DataFrame:
-    """``bucket, cid, vec, bound``: each query once for every bucket it probes in the first ``used`` tables."""
+    """``bucket, d, cid, bound, vec``: each query once for every bucket it probes in the first ``used`` tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _stacked(batch, "vec"):
-                q = x / np.sqrt((x * x).sum(1, keepdims=True))
-                for b, (_, unlike) in bands.get(x.shape[1], {}).items():
-                    wide = _widened(q, np.zeros(len(q)) if unlike else None)
-                    most = max(1, round(share * 2 * wide.shape[1]))
-                    for t in range(used):
-                        z = turned(wide, t, tables, seed)
-                        near = np.stack([z, -z], 2).reshape(len(z), -1)
-                        axes = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                        picked = pa.array(np.repeat(rows, most))
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket_name(b, t, axes.ravel())), *(batch.column(c).take(picked) for c in ("cid", "vec", "bound"))], names=["bucket", "cid", "vec", "bound"])
-
-    return queries.select("cid", "vec", "bound").mapInArrow(run, "bucket long, cid long, vec array<double>, bound double")
-
-
-def _best(own: pa.Table, asking: pa.Table, most: int) -> pa.Table:
-    """For each query of a group, its ``most`` best classes there, with exact scores."""
-    found: dict[int, dict[int, float]] = {}
-    if own.num_rows and asking.num_rows:
-        parts = [(t.column("part").to_numpy(), t.column("cid").to_numpy()) for t in (own, asking)]
-        bounds = asking.column("bound").to_numpy()
-        for rows, x in _stacked(own, "vec"):
-            for asks, q in _stacked(asking, "vec"):
-                if x.shape[1] != q.shape[1]:
-                    continue
-                (xp, xc), (qp, qc) = ((p[r], c[r]) for (p, c), r in zip(parts, (rows, asks), strict=True))
-                xo, qo = np.argsort(xp, kind="stable"), np.argsort(qp, kind="stable")
-                for part in np.intersect1d(xp, qp):
-                    xs = xo[slice(*np.searchsorted(xp[xo], [part, part + 1]))]
-                    qs = qo[slice(*np.searchsorted(qp[qo], [part, part + 1]))]
-                    for a in range(0, len(xs), 4096):
-                        block = x[xs[a : a + 4096]]
-                        for c in range(0, len(qs), 512):
-                            some = qs[c : c + 512]
-                            _keep(found, q[some], qc[some], bounds[asks[some]], block, xc[xs[a : a + 4096]], most)
-    rows = [(k, cid, s) for k, best in found.items() for cid, s in best.items()]
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query", "cid", "score"])
-
-
-def _keep(found: dict, q: np.ndarray, names: np.ndarray, bounds: np.ndarray, x: np.ndarray, cids: np.ndarray, most: int) -> None:
-    rough = q @ x.T
-    near = np.argpartition(-rough, most - 1, axis=1)[:, :most] if len(x) > most else np.broadcast_to(np.arange(len(x)), rough.shape)
-    for i, (name, bound) in enumerate(zip(names.tolist(), bounds.tolist(), strict=True)):
-        best = found.setdefault(name, {})
-        floor = max(bound, min(best.values())) if len(best) >= most else bound
-        at = near[i]
-        at = at[rough[i, at] >= floor - 1e-9 * (1 + abs(rough[i, at]))]
-        if not len(at):
-            continue
-        # row by row in one order of summing, so that a class has one score wherever it is met
-        best.update((c, s) for c, s in zip(cids[at].tolist(), (x[at] * q[i]).sum(1).tolist(), strict=True) if s >= bound)
-        if len(best) > most:
-            for cid in sorted(best, key=lambda c: -best[c])[most:]:
-                del best[cid]
-
-
-def _search(classes: DataFrame, n: int, asking: DataFrame, bands: dict, tables: int, used: int, share: float, most: int, seed: int) -> DataFrame:
-    """``query, cid, score``: what the queries (``cid, vec, bound``) meet in the first ``used`` tables and what reaches their bound."""
-    salts, groups = max(1, -(-n // (PART_ROWS * 128))), max(1, -(-n * used // GROUP_ROWS))
-    salt = F.pmod(F.xxhash64("cid"), F.lit(salts))
-    dealt = lambda e, s: e.withColumn("part", F.pmod(F.xxhash64("bucket", s), F.lit(1 << 62))).withColumn("dealt", F.pmod("part", F.lit(groups)))
-    held = dealt(index_entries(classes, bands, tables, used, seed), salt)
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    probes = dealt(probe_entries(asking, bands, tables, used, share, seed).withColumn("salt", spread), F.col("salt"))
-    own, asked = held.select("dealt", "part", "cid", "vec").groupBy("dealt"), probes.select("dealt", "part", "cid", "vec", "bound").groupBy("dealt")
-    return own.cogroup(asked).applyInArrow(lambda a, b: _best(a, b, most), "query long, cid long, score double")
-
-
-def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scouts: int = 2, share: float = 0.125, seed: int = 4) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for the rows of ``vec_id, embedding`` whose id ``every`` divides."""
+                for at, bucket in _probes(x, bands.get(x.shape[1], {}), tables, seed, used, share):
+                    taken = batch.take(pa.array(rows[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(at), x.shape[1], np.int32)), *taken.columns], names=["bucket", "d", "cid", "bound", "vec"])
+
+    return queries.select("cid", "bound", "vec").mapInArrow(run, f"bucket long, d int, cid long, bound double, vec {dict(queries.dtypes)['vec']}")
+
+
+class _Asking:
+    """The queries of one part of a bucket, and the best ``most`` classes that each has met there."""
+
+    def __init__(self, names: np.ndarray, bounds: np.ndarray, x: np.ndarray, most: int):
+        self.names, self.floor, self.x, self.most = names, bounds.copy(), x, most
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def meet(self, x: np.ndarray, cids: np.ndarray, least: np.ndarray) -> None:
+        for a in range(0, len(self.x), 512):
+            q = self.x[a : a + 512]
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = q @ x.T
+                floor = self.floor[a : a + 512, None]
+                row, col = np.nonzero(~(rough < floor - 1e-9 * (1 + np.abs(floor))))
+            for c in range(0, len(row), 1 << 17):
+                i, j = row[c : c + (1 << 17)], col[c : c + (1 << 17)]
+                # row by row in one order of summing, so that a class has one score wherever it is met
+                score = scores(q[i], x[j])
+                good = score >= self.floor[a + i]
+                self.held.append((a + i[good], score[good], least[j[good]], cids[j[good]]))
+                self.n += int(good.sum())
+                if self.n > 2 * self.most * len(self.x) + (1 << 17):
+                    self.cut()
+
+    def cut(self) -> None:
+        row, score, least, cid = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((least, -score, row))
+        row, score, least, cid = row[order], score[order], least[order], cid[order]
+        start = np.searchsorted(row, np.arange(len(self.x)))
+        keep = np.arange(len(row)) - start[row] < self.most
+        self.held = [(row[keep], score[keep], least[keep], cid[keep])]
+        self.n = int(keep.sum())
+        last = np.flatnonzero(np.arange(len(row)) - start[row] == self.most - 1)
+        self.floor[row[last]] = np.maximum(self.floor[row[last]], score[last])
+
+    def result(self) -> pa.RecordBatch:
+        if self.held:
+            self.cut()
+            row, score, least, cid = self.held[0]
+        else:
+            row, score, least, cid = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.names[row]), pa.array(cid), pa.array(least), pa.array(score)], names=["query", "cid", "least", "score"])
+
+
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row, each summed in the same order; -inf where infinities cancel."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = (q * x).sum(1)
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by part, queries before entries."""
+    part, waiting, asking = None, [], None
+
+    def opened() -> _Asking | None:
+        if not waiting:
+            return None
+        names, bounds, vecs = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        return _Asking(names, bounds, vecs, most)
+
+    for batch in batches:
+        parts, asks = batch.column("part").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+        borders = np.flatnonzero((parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for a, b in zip([0, *borders], [*borders, len(parts)]):
+            if a == b:
+                continue
+            if parts[a] != part:
+                if asking:
+                    yield asking.result()
+                part, waiting, asking = parts[a], [], None
+            piece = batch.slice(a, b - a)
+            ((_, x),) = _stacked(piece, "vec")  # a part is of one length
+            if asks[a]:
+                waiting.append((piece.column("cid").to_numpy(), piece.column("bound").to_numpy(), x))
+                continue
+            asking = asking or opened()
+            if asking:
+                for k in range(0, len(x), 4096):
+                    asking.meet(x[k : k + 4096], piece.column("cid").to_numpy()[k : k + 4096], piece.column("least").to_numpy()[k : k + 4096])
+    if asking:
+        yield asking.result()
+
+
+def _search(classes: DataFrame, asking: DataFrame, bands: dict, tables: int, used: int, share: float, most: int, seed: int, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
+    """``query, cid, least, score``: what the queries (``cid, vec, bound``) meet in the first ``used`` tables and what reaches their bound."""
+    entries, probes = index_entries(classes, bands, tables, used, seed), probe_entries(asking, bands, tables, used, share, seed)
+    # one row for each bucket: tables times axes times bands
+    own, ask = (df.groupBy("bucket", "d").agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in ((entries, part_rows, "own"), (probes, part_queries, "ask")))
+    split = written(own.join(ask, ["bucket", "d"]).filter("own > 1 or ask > 1"), "split")
+    parts = F.broadcast(split)
+    salt = lambda n: F.pmod(F.xxhash64("cid"), F.coalesce(n, F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    key = F.xxhash64("bucket", "d", F.col("own_salt").cast("int"), F.col("ask_salt").cast("int"))
+    held = entries.join(parts, ["bucket", "d"], "left").withColumn("own_salt", salt(F.col("own"))).withColumn("ask_salt", every(F.col("ask")))
+    asked = probes.join(parts, ["bucket", "d"], "left").withColumn("ask_salt", salt(F.col("ask"))).withColumn("own_salt", every(F.col("own")))
+    both = held.select(key.alias("part"), F.lit(False).alias("asks"), "cid", "least", F.lit(None).cast("double").alias("bound"), "vec").unionByName(
+        asked.select(key.alias("part"), F.lit(True).alias("asks"), "cid", F.lit(None).cast("long").alias("least"), "bound", "vec")
+    )
+    return both.repartition("part").sortWithinPartitions("part", F.desc("asks")).mapInArrow(lambda batches: _met(batches, most), MET)
+
+
+def _exact(classes: DataFrame, sample: dict[int, np.ndarray], most: int) -> DataFrame:
+    """``query, cid, least, score, vec``: the best classes of a few vectors (by class), from a comparison with all, block by block."""
+    names = np.array(list(sample), np.int64)
+    kind = dict(classes.dtypes)["vec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _stacked(batch, "vec"):
+                for name in names.tolist():
+                    q = sample[name]
+                    if len(q) != x.shape[1]:
+                        continue
+                    s = scores(np.broadcast_to(q, x.shape), x)
+                    best = np.argsort(-s, kind="stable")[:most]
+                    taken = batch.take(pa.array(rows[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), name)), *taken.select(["cid", "least"]).columns, pa.array(s[best]), taken.column("vec")], names=["query", "cid", "least", "score", "vec"])
+
+    best = classes.select("cid", "least", "vec").mapInArrow(run, MET + f", vec {kind}")
+    place = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    return best.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= most).drop("r")
+
+
+def chosen_share(classes: DataFrame, asking: DataFrame, bands: dict, tables: int, top: int, seed: int, aim: float = AIM) -> tuple[float, float]:
+    """The smallest share of ``SHARES`` under which a sample of the queries would meet their true neighbours, and the recall that it would have."""
+    picked = asking.select("cid", "vec").distinct().orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
+    sample = {r["cid"]: np.array(r["vec"], np.float64) for r in picked}
+    true = [r for r in _exact(classes, sample, top + 1).collect() if r["cid"] != r["query"]]  # at most SAMPLE * (top + 1)
+    if not true:
+        return SHARES[0], 1.0
+    rank = []  # the share that would meet each true neighbour
+    for r in true:
+        x, q = np.array(r["vec"], np.float64)[None], sample[r["query"]][None]
+        least = 1.0
+        for at, bucket in _entries(x, bands[x.shape[1]], tables, seed, tables):
+            name = int(bucket[0])
+            band, table = (name >> 40) - 2048, name >> 32 & 255
+            wide = _widened(_unit(q), np.zeros(1) if bands[x.shape[1]][band][1] else None)
+            z = turned(wide, table, tables, seed)
+            near = np.stack([z, -z], 2).reshape(-1)
+            place = int((near > near[name & 0xFFFFFFFF]).sum()) + 1
+            least = min(least, place / len(near))
+        rank.append(least)
+    for share in SHARES:
+        recall = float(np.mean(np.array(rank) <= share))
+        if recall >= aim:
+            break
+    return share, recall
+
+
+def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scouts: int = 2, share: float | None = None, seed: int = 4) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for the rows of ``vec_id, embedding`` whose id ``every`` divides. ``share``: None chooses it by the data."""
     rows = written(rows_of_vectors(df), "vectors")
-    by_class = Window.partitionBy("vec", "cid").orderBy("vec_id")
-    classes = rows.withColumn("k", F.row_number().over(by_class)).filter(F.col("k") <= top + 1).groupBy("vec", "cid").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    classes = written(classes, "classes")
+    by_class = Window.partitionBy("cid", "vec").orderBy("vec_id")
+    classes = rows.withColumn("k", F.row_number().over(by_class)).filter(F.col("k") <= top + 1).groupBy("cid", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    classes = written(classes.withColumn("least", F.get("members", F.lit(0))), "classes")
     asking = rows.filter(F.col("vec_id") % every == 0)
-    bands, n, most = bands_of(classes), classes.count(), top + 6
+    bands, most = bands_of(classes), top + 1
+    if share is None:
+        share, _ = chosen_share(classes, asking, bands, tables, top, seed)
     free = asking.select("cid", "vec").distinct().withColumn("bound", F.lit(float("-inf")))
-    scouted = _search(classes, n, free, bands, tables, scouts, share, most, seed).distinct()
-    last = scouted.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") == top + 1)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    scouted = _search(classes, free, bands, tables, scouts, share, most, seed).distinct()
+    last = scouted.withColumn("r", F.row_number().over(best)).filter(F.col("r") == most)
     bounded = free.drop("bound").join(last.select(F.col("query").alias("cid"), F.col("score").alias("bound")), "cid", "left").fillna({"bound": float("-inf")})
-    met = _search(classes, n, written(bounded.select("cid", "vec", "bound"), "bounds"), bands, tables, tables, share, most, seed)
-    ranked = met.distinct().withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= top + 1)
+    met = _search(classes, written(bounded, "bounds"), bands, tables, tables, share, most, seed).distinct()
+    ranked = written(met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r"), "met")
+    sizes = classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("there"))
+    counts = ranked.groupBy(F.col("query").alias("cid")).agg(F.count("*").alias("n"))
+    short = free.withColumn("d", F.size("vec")).join(F.broadcast(sizes), "d").join(counts, "cid", "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(most), "there"))
+    short = written(short.select("cid", "vec", "bound"), "short")
+    if not short.isEmpty():
+        again = _search(classes, short, bands, tables, 1, 1.0, most, seed).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r")
+        ranked = ranked.join(short.select(F.col("cid").alias("query")), "query", "left_anti").unionByName(again)
     members = ranked.join(classes.select("cid", "members"), "cid").select("query", "cid", "score", F.explode("members").alias("vec_id"))
     place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = members.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= top + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "cid", "score"))).alias("near"))

@@ -40,14 +40,15 @@ def test_against_brute_force(spark, norms):
     assert np.mean(recall) >= 0.9
 
 
-def test_odd_rows_ties_and_copies(spark):
+@pytest.mark.parametrize("settings", [{"share": 1.0, "tables": 2, "scouts": 1}, {"share": 1 / 64}])
+def test_odd_rows_ties_and_copies(spark, settings):
     rng = np.random.default_rng(4)
     copy = rng.normal(size=8).tolist()
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(100 + i, copy) for i in range(400)]
     rows += [(1000, None), (1020, []), (1040, [0.0] * 8), (1060, [float("nan")] + [1.0] * 7), (1080, [float("inf")] * 8), (1100, [None] + [1.0] * 7), (None, [1.0] * 8), (1120, [1.0, 2.0]), (0, rows[0][1]), (1140, [-0.0, 1.0] + [0.0] * 6), (1141, [0.0, 1.0] + [0.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     found = {}
-    for r in edge.plain(neighbours.nearest(df, share=1.0, tables=2, scouts=1)):
+    for r in edge.plain(neighbours.nearest(df, **settings)):
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = {i: near for (i, _), near in exact(rows).items() if near}
     assert set(found) == set(want)
@@ -64,3 +65,60 @@ def test_recall_on_the_given_vectors(spark):
     for r in edge.plain(QUERIES["op4_nearest_neighbours"](spark, sf)):
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(found[i] & {j for j, _ in near}) / 20 for (i, _), near in exact(rows).items()]) >= 0.9
+
+
+def test_large_and_tiny_norms(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** e).tolist()) for i, e in enumerate([200] * 20 + [-200] * 20 + [0] * 20 + [-318] * 3)]
+    rows += [(70, [1.7e308] * 6), (71, [5e-324] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in edge.plain(neighbours.nearest(df)):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(found) == {0, 20, 40, 60} and all(len(x) == 20 for x in found.values())
+    assert [j for _, j in sorted(found[40])] == [j for j, _ in exact(rows)[40, tuple(rows[40][1])]]
+
+
+def test_ties_at_every_cut_go_to_smaller_ids(spark):
+    rows = [(i, [1.0] + [1.0 if k == i else 0.0 for k in range(120)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    for r in edge.plain(neighbours.nearest(df, share=1.0, tables=2, scouts=1)):
+        want = [j for j in range(120) if j != r["query_id"]][:20]
+        assert r["vec_id"] == want[r["rank"] - 1] and r["score"] == 1.0
+
+
+def test_what_is_sent_grows_with_the_queries_only(spark):
+    rng = np.random.default_rng(6)
+    sent = []
+    for n in (1000, 4000):
+        x = rng.normal(size=(n, 16))
+        df = spark.createDataFrame([(i, v.tolist(), i, float("-inf")) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "cid long, vec array<double>, least long, bound double")
+        bands = neighbours.bands_of(df)
+        probes = neighbours.probe_entries(df.filter("cid % 20 = 0"), bands, 8, 8, 0.125, 4).count()
+        entries = neighbours.index_entries(df, bands, 8, 8, 4).count()
+        sent.append((probes / n, entries / n))
+    assert sent[0] == sent[1] == (8 * 4 / 20, 8)
+
+
+@pytest.mark.parametrize("parts", [(50, 7), (1 << 18, 1 << 14)])
+def test_split_buckets_give_the_same(spark, parts):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), i, float("-inf")) for i, v in enumerate(x)], "cid long, vec array<double>, least long, bound double")
+    found = neighbours._search(df, df.filter("cid < 30"), neighbours.bands_of(df), 4, 1, 1.0, 5, 4, *parts).collect()
+    best = {}
+    for r in found:
+        best.setdefault(r["query"], []).append((-r["score"], r["cid"]))
+    for q in range(30):
+        assert [c for _, c in sorted(set(best[q]))[:5]] == np.argsort(-(x @ x[q]), kind="stable")[:5].tolist()
+
+
+def test_share_follows_the_data(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    for x, few in ((centres[rng.integers(0, 40, 1200)] + 0.05 * rng.normal(size=(1200, 32)), True), (rng.normal(size=(1200, 32)), False)):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "cid long, vec array<double>, least long")
+        share, recall = neighbours.chosen_share(df, df.filter("cid % 20 = 0"), neighbours.bands_of(df), 8, 20, 4)
+        assert recall >= 0.95 and (share <= 1 / 32) == few
