@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.llm.encoding import encoder, slices
+from lockstep.llm.encoding import document_ids, encoder, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 _RAW = re.compile(r"<(\\*)\|(?=(?:im_start|im_end|endoftext)\|>)")
@@ -50,9 +50,9 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def assemble(roles: list[str], texts: list[str], learned: tuple[str, ...], ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assemble(roles: list[str], texts: list[str], learned: tuple[str, ...], ranks_path: str, json_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and mask of all turns, one after the other, and the borders of the turns (one more than there are turns)."""
-    encode = encoder(ranks_path).encode_ordinary
+    encode = lambda text: document_ids(text, ranks_path, json_path)
     start, end = reserved(ranks_path)
     line = encode("\n")
     segments = [s for role, text in zip(roles, texts, strict=True) for s in ([start], encode(escape_role(role)), line, encode(escape(text)), [end], line)]
@@ -71,13 +71,13 @@ def reserved(ranks_path: str) -> tuple[int, int]:
     return after, after + 1
 
 
-def format_chat(turns: DataFrame, ranks_path: str, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chat(turns: DataFrame, ranks_path: str, json_path: str, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn of ``conv_id, turn, role, text`` with its ids and loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, mask, borders = assemble(batch.column("role").to_pylist(), batch.column("text").to_pylist(), learned, ranks_path)
+                ids, mask, borders = assemble(batch.column("role").to_pylist(), batch.column("text").to_pylist(), learned, ranks_path, json_path)
                 at = pa.array(borders, pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, mask)]
                 yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *lists], names=["conv_id", "turn", "input_ids", "loss_mask"])

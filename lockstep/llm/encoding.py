@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 END_OF_TEXT = "<|endoftext|>"
+LONGEST_SPACE = 20_000  # the rank encoder's pattern needs stack for each character of a run of white space
 
 
 @lru_cache(maxsize=4)
@@ -35,9 +37,9 @@ def document_ids(text: str, ranks_path: str, json_path: str) -> list[int]:
     """What ``Tokenizer.from_file(json_path).encode(text, add_special_tokens=False)`` gives.
 
     Both files hold the same merges, and the rank encoder is over three times as fast; a text that holds the string of the
-    special token goes to the tokenizer itself.
+    special token, or a run of more than ``LONGEST_SPACE`` characters of white space, goes to the tokenizer itself.
     """
-    if END_OF_TEXT in text:
+    if END_OF_TEXT in text or len(text) > LONGEST_SPACE and any(m.end() - m.start() > LONGEST_SPACE for m in re.finditer(r"\s+", text)):
         return plain_tokenizer(json_path).encode(text, add_special_tokens=False).ids
     return encoder(ranks_path).encode_ordinary(text)
 

@@ -183,5 +183,5 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 def mixed(documents: DataFrame, **settings) -> DataFrame:
     """The rows themselves, each as often as the mix takes it."""
-    copies = mix(documents, **settings).groupBy("_key", "doc_id").agg(F.sum("copies").alias("_n")).filter("_n > 0")
-    return times(documents, copies)
+    copies = mix(documents, **settings).groupBy("_key", "doc_id").agg(F.sum("copies").alias("_n"), F.count("*").alias("_m")).filter("_n > 0")
+    return times(documents, written(copies, "copies"))

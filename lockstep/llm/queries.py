@@ -22,7 +22,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(chat.read_back(chat.format_chat(turns, RANKS), RANKS)).drop("n_tokens", "loss_tokens")
+    return chat.digest(chat.read_back(chat.format_chat(turns, RANKS, VOCABULARY), RANKS)).drop("n_tokens", "loss_tokens")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

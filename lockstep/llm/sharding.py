@@ -1,10 +1,12 @@
 """Operator 6, sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups (rows with equal texts) are sorted by size and each enters the open bin with the tightest room that still holds it; a B-tree of
-the rooms finds it. That is done twice. In tasks, the groups of a partition fill bundles of a small fixed capacity; the
-capacity is a fixed fraction of all bytes, so the bundles of the whole corpus are a few tens of thousands whatever its size. On the
-driver, the bundles fill the shards in the same manner at the capacity of an even split; a bundle that fits nowhere goes to
-the emptiest shard, and a group larger than an even share has a shard to itself. Each bundle gets a range of slots.
+the rooms finds it. That is done on levels. In tasks, the groups of a partition fill bundles of a small capacity, a fixed fraction of
+all bytes. Of a task's bundles at most one is less than half full, so there are at most two for each such fraction and one more for each task;
+while there are over ``MOST_TASKS`` tasks, bundles are bundled again in fewer. So the driver gets at most about 65,000 bundles
+(``shards * BUNDLES_PER_SHARD`` fractions, three for each, and ``MOST_TASKS``), whatever the corpus. There the bundles fill the shards
+in the same manner at the capacity of an even split; a bundle that fits nowhere goes to the emptiest shard, and a group
+larger than an even share has a shard to itself. Each bundle gets a range of slots.
 
 Rows get their slot inside their group by counting within 64 salts of doc_id first, so a group with a third of all rows is
 spread over tasks. Defined results: null and empty texts are one group of size 16 a row; repeated rows are rows; null doc_ids come
@@ -24,8 +26,7 @@ from pyspark.sql import functions as F
 
 from lockstep.sources.shared import written
 
-SALTS, BUNDLES_PER_SHARD, GROUPS_PER_TASK = 64, 500, 20_000
-BUNDLED = "key binary, bundle long, base long, n long, bytes long"
+SALTS, BUNDLES_PER_SHARD, GROUPS_PER_TASK, MOST_TASKS = 64, 500, 20_000, 4096
 
 
 class Rooms:
@@ -97,6 +98,8 @@ def place_bundles(sizes: list[int], shards: int) -> list[int]:
 
 
 def _bundled(groups: DataFrame, capacity: int) -> DataFrame:
+    """``key, bundle, base, n, bytes`` of each ``key, n, bytes``: the bundle it enters and the rows ahead of it there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -112,10 +115,27 @@ def _bundled(groups: DataFrame, capacity: int) -> DataFrame:
         bundle = (TaskContext.get().partitionId() << 32) + bins
         yield from pa.table({"key": table.column("key"), "bundle": bundle, "base": base, "n": n, "bytes": sizes}).to_batches(max_chunksize=20_000)
 
-    return groups.select("key", "n", "bytes").mapInArrow(run, BUNDLED)
+    return groups.select("key", "n", "bytes").mapInArrow(run, f"key {dict(groups.dtypes)['key']}, bundle long, base long, n long, bytes long")
+
+
+def _sums(bundled: DataFrame) -> DataFrame:
+    return bundled.groupBy("bundle").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def bundles(groups: DataFrame, many: int, capacity: int, per_task: int, most_tasks: int) -> DataFrame:
+    """``key, bundle, base, n, bytes`` for the groups, bundled until at most ``most_tasks`` tasks have made the bundles."""
+    tasks = max(1, -(-many // per_task))
+    bundled = written(_bundled(groups.repartition(tasks, "key"), capacity), "bundles")
+    while tasks > most_tasks:
+        lower = _sums(bundled).withColumnRenamed("bundle", "key")
+        tasks = min(tasks - 1, max(1, -(-lower.count() // per_task)))
+        upper = _bundled(lower.repartition(tasks, "key"), capacity).select(F.col("key").alias("_lower"), F.col("bundle").alias("_bundle"), F.col("base").alias("_base"))
+        moved = bundled.join(upper, bundled["bundle"] == upper["_lower"])
+        bundled = written(moved.select("key", F.col("_bundle").alias("bundle"), (F.col("_base") + F.col("base")).alias("base"), "n", "bytes"), "bundles")
+    return bundled
 
 
-def shard(documents: DataFrame, shards: int = 40) -> DataFrame:
+def shard(documents: DataFrame, shards: int = 40, per_task: int = GROUPS_PER_TASK, most_tasks: int = MOST_TASKS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of each row of ``doc_id, text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = documents.select(
@@ -127,9 +147,8 @@ def shard(documents: DataFrame, shards: int = 40) -> DataFrame:
     parts = written(parts, "parts")
     groups = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     total, many = parts.agg(F.sum("bytes"), F.count("*")).first()
-    tasks = max(1, -(-many // GROUPS_PER_TASK))
-    bundled = written(_bundled(groups.repartition(tasks, "key"), max(1, -(-(total or 0) // (shards * BUNDLES_PER_SHARD)))), "bundles")
-    rows = bundled.groupBy("bundle").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).orderBy("bundle").collect()
+    bundled = bundles(groups, many, max(1, -(-(total or 0) // (shards * BUNDLES_PER_SHARD))), per_task, most_tasks)
+    rows = _sums(bundled).orderBy("bundle").collect()
     places, taken = [], [0] * shards
     for r, s in zip(rows, place_bundles([r["bytes"] for r in rows], shards)):
         places.append((r["bundle"], s, taken[s]))

@@ -6,12 +6,14 @@ linked nodes meet in at least one of fifteen tables keyed by two blocks. A bucke
 their Hamming distance to the parent) is built in the task that the bucket is dealt to, and searched along the edges within the
 radius only. A node that a search reaches leaves the tree, and branches without remaining nodes are not entered; so a
 dense group costs about its size and gives a spanning star, not all its pairs, and no link between components is lost.
-The trees of all shards together grow with the corpus, so they are sent by a shuffle and not broadcast.
+Departure from the dealt form: the trees of all shards together grow with the corpus, so they are sent by a shuffle and not broadcast, and the
+fifteen tables choose what meets in a tree; a few large broadcast trees would have each fingerprint visit most of their nodes.
 
 Four of 64 bits is a narrow reach: it stands for a similarity of about 0.95. :func:`near_copies` reaches texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8. A fingerprint of 512 bits gives candidates: at 0.8, 15 % of bits differ on average, and the reach is 20 %.
 No pigeonhole helps there, so candidates come from bands of 20 bits, and each text also probes the buckets that it would have if one or
-both of a band's two most nearly tied votes had fallen the other way: it is such bits that an edit turns; the tables above give more. This
+both of a band's two most nearly tied votes had fallen the other way: it is such bits that an edit turns; the tables above give more. In a
+bucket the tree has one level: entries keyed by their distance to the first, and only keys within the reach of each other are compared. This
 search is approximate, but each link is confirmed by the exact similarity of the two sets of shingles. The README gives its measured recall.
 
 Defined results: null and empty texts (and those of white space alone) have fingerprint zero and are linked like any others; with
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from lockstep.llm.components import components
 from lockstep.llm.encoding import slices
 from lockstep.llm.rows import row_key, times
-from lockstep.sources.shared import written
+from lockstep.sources.shared import dropped, written
 
 _PART = 1 << 16  # shingles whose bits are counted at once
 
@@ -154,9 +156,11 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, seed:
     prints = written(fingerprints(documents, width, seed), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(linked, nodes["fp"] == linked["a"], "left").select("fp", F.coalesce("b", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root")
+    # what is joined is written first: a join of two plain shuffles can be split where a fingerprint or component holds many rows
+    rooted = written(nodes.join(linked, nodes["fp"] == linked["a"], "left").select("fp", F.coalesce("b", "fp").alias("root"), "least"), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = written(rooted.select("fp", "root").join(least, "root"), "named")
+    dropped(rooted, least, linked)
     return prints.join(named, "fp").select("_key", "doc_id", "fp", "component_id", "root")
 
 
@@ -271,25 +275,30 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> I
     words = [w.view(np.uint64) for w in words]
     shared = np.logical_and(own[starts], sizes > 1)  # own entries come first
     apart = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+    edge = apart(np.repeat(starts, sizes), np.arange(len(key)))  # the children's keys under each bucket's first entry
     every, first_look, dense = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)], []
     for size in range(2, 9):
         first = starts[shared & (sizes == size)]
         for i in range(size - 1):
             at = first[own[first + i]] + i
             for j in range(1, size - i):
-                hit = at[apart(at, at + j) <= reach]
+                at_j = at[np.abs(edge[at] - edge[at + j]) <= reach]
+                hit = at_j[apart(at_j, at_j + j) <= reach]
                 every.append(np.stack([node[hit], node[hit + j]], 1))
     for start, size in zip(starts[shared & (sizes > 8)], sizes[shared & (sizes > 8)]):
         left, is_dense, pairs = np.arange(start, start + size), False, []
         while len(left) > 1:
             at, left = left[0], left[1:]
-            d = apart(at, left)
+            if not own[at]:  # what only probes is compared with own entries, which come first
+                break
+            follow = np.flatnonzero(np.abs(edge[left] - edge[at]) <= reach)
+            d = apart(at, left[follow])
             hit = d <= reach
             if hit.any():
-                pairs.append(np.stack([d[hit], np.full(hit.sum(), node[at]), node[left[hit]]], 1))
+                pairs.append(np.stack([d[hit], np.full(hit.sum(), node[at]), node[left[follow[hit]]]], 1))
             is_dense = is_dense or hit.sum() > 8
             if is_dense:
-                left = left[d > sure]
+                left = np.delete(left, follow[d <= sure])
         if is_dense:
             dense.append(key[start])
             first_look += pairs
@@ -377,8 +386,9 @@ def wide_links(nodes: DataFrame, reach: float = REACH, documents: DataFrame | No
     sure, rough, whole = round((reach - 0.8 * error) * 192), round((reach + error) * 192), round(reach * 64 * WIDE_WORDS)
     looked = written(slim.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough), "a long, b long, dense long").distinct(), "pairs")
     confirmed = lambda pairs: pairs if documents is None else _confirmed(pairs, _texts_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), documents))
-    near = written(_within(looked.filter("dense is null").select("a", "b"), nodes, whole), "near")
-    near = written(confirmed(near), "links")
+    rough_near = written(_within(looked.filter("dense is null").select("a", "b"), nodes, whole), "near")
+    near = written(confirmed(rough_near), "links")
+    dropped(rough_near)
     dense = looked.filter("dense is not null").select(F.col("dense").alias("key"))
     n_dense = dense.count()
     if not n_dense:
@@ -402,5 +412,6 @@ def near_copies(documents: DataFrame, radius: int = 4, reach: float = REACH) ->
 
 def without_near_duplicates(documents: DataFrame, radius: int = 4, reach: float = REACH) -> DataFrame:
     """One whole row of each group of near copies: that of the smallest doc_id."""
-    first = near_copies(documents, radius, reach).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("r"))
-    return times(documents, first.select("r._key", "r.doc_id", F.lit(1).alias("_n")))
+    alike = near_copies(documents, radius, reach).groupBy("root", "doc_id", "_key").agg(F.count("*").alias("_m"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_m")).alias("r"))
+    return times(documents, written(first.select("r._key", "r.doc_id", F.lit(1).alias("_n"), "r._m"), "kept"))

@@ -1,7 +1,8 @@
 """Operator 8, URL filters: a blocked Bloom filter before an exact hash join, all in DataFrame functions.
 
 A rule is a canonical URL beginning: a host (it and all its subdomains) and the beginning of a path. A URL's candidates are its host's
-suffixes at label borders, each with its path's beginnings of the lengths that the list holds. The filter has one 64-bit word a
+suffixes of as many labels as some listed host has, each with its path's beginnings of the lengths that the list holds; so a URL costs what
+the list's numbers of labels and lengths allow, however long it is. The filter has one 64-bit word a
 block; a key's hash names the block and three bits in it. Candidates whose bits are all set are possible hits and go to the exact join on the
 rule itself, which removes the false ones. Of a URL's rules the longest wins (ties: the larger text), and a URL without any is allowed.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BLOCKS, BROADCAST_RULES, MOST_LENGTHS = 1 << 20, 100_000, 1000
+MOST_BLOCKS, BROADCAST_RULES = 1 << 20, 100_000
 
 
 def _after_scheme(url: Column) -> Column:
@@ -53,17 +54,16 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """All columns of ``pages`` (``url`` among them) with host, path, rule and verdict. ``rules``: verdict, host, path."""
-    rules = rules.select("verdict", F.concat("host", "path").alias("listed"), F.length("path").alias("n")).dropDuplicates(["listed"])
-    count, lengths = rules.agg(F.count("*"), F.collect_set("n")).first()
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"the list has paths of more than {MOST_LENGTHS} lengths")
+    rules = rules.select("verdict", F.concat("host", "path").alias("listed"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels")).dropDuplicates(["listed"])
+    count, lengths, depths = rules.agg(F.count("*"), F.collect_set("n"), F.collect_set("labels")).first()
     blocks = min(MOST_BLOCKS, max(1, 1 << (count // 4).bit_length()))  # 16 bits or more for a rule, as long as the bound allows
     out = pages.drop("host", "path", "rule", "verdict", "_url").withColumn("_url", F.coalesce("url", F.lit("")))
     urls = out.select("_url").distinct().withColumn("host", url_host(F.col("_url"))).withColumn("path", url_path(F.col("_url")))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fitting = F.filter(F.array(*map(F.lit, sorted(depths))).cast("array<int>"), lambda k: k <= F.size("labels"))
+    suffixes = F.transform(fitting, lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), "."))
     starts = F.transform(F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    candidates = urls.filter("host <> ''").withColumns({"suffixes": suffixes, "starts": starts}).select("_url", F.explode("suffixes").alias("suffix"), "starts").select("_url", F.explode(F.transform("starts", lambda p: F.concat("suffix", p))).alias("key"))
+    candidates = urls.filter("host <> ''").withColumn("labels", labels).withColumns({"suffixes": suffixes, "starts": starts}).select("_url", F.explode("suffixes").alias("suffix"), "starts").select("_url", F.explode(F.transform("starts", lambda p: F.concat("suffix", p))).alias("key"))
     words = F.broadcast(bloom_filter(rules, "listed", blocks))
     possible = candidates.join(words, _block(F.col("key"), blocks) == words["block"]).filter(F.col("word").bitwiseAND(_bits(F.col("key"))) == _bits(F.col("key")))
     exact = F.broadcast(rules) if count <= BROADCAST_RULES else rules

@@ -34,15 +34,15 @@ def test_conversations(spark):
     rows += [(-1, 0, "user", SAID), (-1, 1, "assistant", SAID), (None, None, "assistant", "no ids"), (7, 0, "user", "tie"), (7, 0, "user", "tie"), (99, 0, "assistant", edge.prose(rng, 30_000))]
     rows += [(500, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(3000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, loss_mask string").repartition(4)
-    found = edge.plain(chat.digest(chat.read_back(chat.format_chat(df, RANKS), RANKS)))
+    found = edge.plain(chat.digest(chat.read_back(chat.format_chat(df, RANKS, VOCABULARY), RANKS)))
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in found} == expected(rows)
     escaped = len(SAID) + 2
     assert next(r for r in found if r["conv_id"] == -1)["formatted_chars"] == sum(len(f"<|im_start|>{role}\n<|im_end|>\n") + escaped for role in ("user", "assistant"))
-    assert edge.plain(chat.digest(chat.read_back(chat.format_chat(edge.empty(spark, df), RANKS), RANKS))) == []
+    assert edge.plain(chat.digest(chat.read_back(chat.format_chat(edge.empty(spark, df), RANKS, VOCABULARY), RANKS))) == []
 
 
 def test_mask_and_reserved_ids():
-    ids, mask, borders = chat.assemble(["user", "assistant"], [SAID, ""], ("assistant",), RANKS)
+    ids, mask, borders = chat.assemble(["user", "assistant"], [SAID, ""], ("assistant",), RANKS, VOCABULARY)
     start, end = chat.reserved(RANKS)
     assert (ids == start).sum() == (ids == end).sum() == 2 and mask.sum() == 0 and list(borders)[0] == 0 and borders[-1] == len(ids)
     assert min(start, end) > Tokenizer.from_file(VOCABULARY).get_vocab_size() - 1
@@ -54,3 +54,13 @@ def test_both_encoders_agree():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["<|endoftext|>", "a<|endoftext|> b", "".join(chr(rng.randrange(0x20, 0xD7FF)) for _ in range(5000))]
     for t in texts:
         assert encoding.document_ids(t, RANKS, VOCABULARY) == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_a_million_blanks(spark):
+    texts = [" " * 1_000_000 + "x", "a" + "\n" * 1_000_000, "word " * 200_000]
+    rows = [(k, 0, "assistant", t, "x") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, input_ids string")
+    found = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in edge.plain(chat.digest(chat.read_back(chat.format_chat(df, RANKS, VOCABULARY), RANKS)))}
+    assert found == expected([r[:4] for r in rows])
+
+

@@ -79,3 +79,14 @@ def test_exchange_between_partitions(spark):
     assert len(rows) == 4002 and len({r["sequence_id"] for r in rows}) == facts["sequences"]
     alone = sum(len(packing.best_fit_decreasing(np.array([x[3] for x in items[k::14]]), 1024)[2]) for k in range(14))
     assert facts["bound"] <= facts["sequences"] <= facts["bound"] * 1.005 + 1 and facts["sequences"] <= alone
+
+
+def test_a_million_blanks(spark):
+    texts = [" " * 1_000_000 + "x", "a" + "\n" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = Tokenizer.from_file(VOCABULARY)
+    want = {k: len(whole.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+    found = {}
+    for r in edge.plain(packing.pack_documents(df, RANKS, VOCABULARY)):
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + r["length"]
+    assert found == want

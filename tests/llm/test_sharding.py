@@ -63,3 +63,24 @@ def test_sizes_are_near_equal(spark):
     for r in edge.plain(sharding.shard(df)):
         sizes[r["shard"]] += r["size"]
     assert len(sizes) == 40 and max(sizes.values()) < 1.01 * min(sizes.values())
+
+
+def test_bundles_on_the_driver_stay_bounded(spark):
+    rows = [(k, k, 10 + k % 7) for k in range(600)]
+    groups = spark.createDataFrame([(b"%d" % k, 1 + k % 3, s) for k, _, s in rows], "key binary, n long, bytes long")
+    total = sum(s for _, _, s in rows)
+    for per_task in (1, 10, 1000):
+        found = sharding.bundles(groups, 600, total // 40, per_task, 4).collect()
+        assert len({r["bundle"] for r in found}) <= 2 * 40 + 4 and len(found) == 600
+        slots = {}
+        for r in found:
+            slots.setdefault(r["bundle"], []).extend(range(r["base"], r["base"] + r["n"]))
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_levels_of_bundles_keep_every_row(spark, docs):
+    rows = edge.plain(sharding.shard(docs, 7, per_task=2, most_tasks=3))
+    assert len(rows) == docs.count()
+    for s in range(7):
+        own = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert own == list(range(len(own)))

@@ -170,3 +170,64 @@ def test_links_have_the_similarity(spark):
         close, apart = close + (similarity >= 0.8), apart + (similarity < 0.8)
         assert similarity >= 0.8 or k in kept
     assert apart > 50 and close > 30 and len([k for k in kept if 1000 <= k < 3000]) <= apart + 0.05 * close and {3000, 3001} <= kept and 3002 not in kept
+
+
+@pytest.mark.parametrize("size", [3, 10, 300])
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, size):
+    """b is near a, and c near b but far from a; the rest of the bucket is far from all."""
+    rng = np.random.default_rng(14)
+    a = rng.integers(0, 2, 512)
+    b, c = a.copy(), a.copy()
+    b[:60] ^= 1
+    c[:120] ^= 1
+    rest = [rng.integers(0, 2, 512) for _ in range(size - 3)]
+    wide = np.packbits([a, b, c, *rest], axis=1, bitorder="little").view("<i8")
+    nodes = spark.createDataFrame([(n, w.tolist(), [5]) for n, w in enumerate(wide)], "node long, wide array<long>, keys array<long>")
+    assert {(r["a"], r["b"]) for r in edge.plain(simhash.wide_links(nodes, 0.172).distinct())} == {(0, 1), (1, 2)}
+
+
+def chained(rng, n):
+    """Texts in chains of edits, with copies, templates and unrelated ones."""
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    rows = []
+    while len(rows) < n:
+        words = [rng.choice(vocabulary) for _ in range(rng.choice((12, 40, 120, 300)))]
+        for _ in range(rng.choice((1, 1, 2, 5, 25))):
+            rows.append(" ".join(words))
+            words = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // rng.choice((30, 60, 120)))):
+                words[at] = rng.choice(vocabulary)
+    return list(enumerate(rows[:n]))
+
+
+def test_kept_rows_against_brute_force_over_all_pairs(spark):
+    """No link below the threshold, at least 0.9 of those above it, and the same rows whatever the number of partitions."""
+    rows = chained(random.Random(15), 2500)
+    sets = [set(simhash.shingles(t).tolist()) for _, t in rows]
+    by = defaultdict(set)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].add(i)
+    true = set()
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in by[x] if j < i}:  # pairs without a common shingle have no similarity
+            both = len(s & sets[j])
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                true.add((j, i))
+    union = Union()
+    for i, j in true:
+        union.link(i, j)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "7", "61"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        kept.append({r["doc_id"] for r in edge.plain(simhash.without_near_duplicates(df.repartition(5)))})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert kept[0] == kept[1] == kept[2]
+    want = {union.root(i) for i, _ in rows}
+    assert want <= kept[0] and len(kept[0] - want) <= 0.1 * (len(rows) - len(want))
+    found = {r["doc_id"]: r["root"] for r in edge.plain(simhash.near_copies(df))}
+    assert sum(found[i] == found[j] for i, j in true) >= 0.95 * len(true)
+    for root in set(found.values()):
+        assert len({union.root(i) for i, r in found.items() if r == root}) == 1

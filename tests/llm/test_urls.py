@@ -3,6 +3,7 @@ import re
 import edge
 
 from lockstep.llm import urls
+from lockstep.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "a.b.c", ""), ("allow", "a.b.c", "/x")]
@@ -50,3 +51,24 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     hit = ask.join(words, urls._block(F.col("k"), 2048) == words["block"]).filter(F.col("word").bitwiseAND(urls._bits(F.col("k"))) == urls._bits(F.col("k")))
     found = {r.id for r in hit.select("id").collect()}
     assert set(range(5000)) <= found and len(found) < 5000 + 1500
+
+
+def test_hosts_of_very_many_labels(spark):
+    host = "a." * 100_000 + "example.org"
+    found_in = [(1, f"http://{host}/en/1x"), (2, "http://" + "." * 50_000 + "com/de/"), (3, "http://org/" + "p" * 100_000)]
+    rules = spark.createDataFrame([("block", "example.org", "/en/1"), ("block", "com", "/de/"), ("allow", "org", "/")], "verdict string, host string, path string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in edge.plain(urls.judge(spark.createDataFrame(found_in, "page_id long, url string"), rules))}
+    assert found == {1: ("example.org/en/1", "block"), 2: ("com/de/", "block"), 3: ("org/", "allow")}
+
+
+def test_many_path_lengths(spark):
+    rules = spark.createDataFrame([("block", "h.org", "/" + "x" * n) for n in range(1500)], "verdict string, host string, path string")
+    pages = spark.createDataFrame([(n, "http://h.org/" + "x" * n) for n in (0, 7, 1499, 3000)], "page_id long, url string")
+    assert {r["page_id"]: len(r["rule"]) for r in edge.plain(urls.judge(pages, rules))} == {n: 6 + min(n, 1499) for n in (0, 7, 1499, 3000)}
+
+
+def test_no_python_in_the_plan(spark):
+    plan = QUERIES["op8_url_filters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
