@@ -1,14 +1,15 @@
 """Operator 10, document fingerprints by order MinHash, in DataFrame functions alone.
 
 A text's words (pieces of at most eight code points, so that texts without spaces have some too) give k-mers of two; equal ones are
-told apart by their occurrence number. Each numbered k-mer is hashed once. The upper bits of the hash choose one of ``SLOTS`` parts,
+told apart by their occurrence number. Each k-mer is hashed once, and a repeated one again with its number. The upper bits of the hash choose one of ``SLOTS`` parts,
 and in each part the two smallest hashes are selected and put back into text order; the pair in that order is hashed to a 32-bit
 sketch. The likeness of two texts is the share of agreeing parts among those that either fills: it falls with edits and with moved
 passages, where that of a plain MinHash falls with edits only. All parts come from one hash a k-mer, not from one each.
 
 Everything is done inside the row: hash and position are packed into one long, so sorting is of plain longs, and an occurrence
-number is the distance from the start of a run of equal hashes. The next document comes from a window over runs of 512
-neighbouring ids; a small table of the runs' first texts links one run to the next.
+number is the distance from the start of a run of equal hashes, found by halving and for repeated k-mers only. The next document
+comes from a window inside ranges of about ``RANGE_ROWS`` rows, however far apart the ids are: Spark's range partitioner gives the borders, at
+most ``MOST_RANGES`` numbers; a small table of the ranges' first texts links one range to the next. Texts are shuffled once.
 
 Defined results: null text is empty; a text of one word has one k-mer; without words the fingerprint is empty, and two such are
 alike to 1; rows with a null doc_id come last, by hash; rows of equal doc_id are ordered by text; every repeated row is a row; other columns
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS, WORD, POSITION_BITS, RUN_BITS, NULL_RUNS = 64, 8, 26, 9, 512
+SLOTS, WORD, POSITION_BITS, NULL_RUNS = 64, 8, 26, 512
+RANGE_ROWS, MOST_RANGES = 2000, 65_536
 _SLOT_SHIFT = 63 - (SLOTS.bit_length() - 1)
 
 
@@ -48,9 +50,16 @@ def sketches(df: DataFrame, text: str, name: str) -> DataFrame:
     words = F.regexp_extract_all(F.col(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{WORD}}}"), F.lit(0))
     df = df.withColumn(a, F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn(b, F.sort_array(F.transform(a, lambda w, i: _packed(F.xxhash64(w, item(a, i + 1)), i))))
-    df = df.withColumn(c, F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda j: (j == 0) | (_hash(item(b, j)) != _hash(item(b, j - 1)))))
-    numbered = lambda s, i: F.transform(F.slice(b, s + 1, F.coalesce(item(c, i + 1), F.size(b)) - s), lambda x, k: _packed(F.xxhash64(_hash(x), k), _position(x)))
-    df = df.withColumn(d, F.sort_array(F.flatten(F.transform(c, numbered))))
+    halves = F.filter(F.array(*(F.lit(1 << k) for k in reversed(range(POSITION_BITS)))), lambda p: p < F.size(b))
+    df = df.withColumn(c, halves)
+
+    def numbered(x: Column, j: Column) -> Column:
+        """A repeated k-mer is hashed again with the number of equal ones before it; the array is sorted, so they stand together."""
+        same = lambda back: F.coalesce(_hash(item(b, j - back)) == _hash(x), F.lit(False))
+        before = F.aggregate(c, F.lit(0), lambda n, p: F.when((n + p <= j) & same(n + p), n + p).otherwise(n))
+        return F.when((j > 0) & same(F.lit(1)), _packed(F.xxhash64(_hash(x), before), _position(x))).otherwise(x)
+
+    df = df.withColumn(d, F.sort_array(F.transform(b, numbered)))
     df = df.withColumn(a, F.filter(d, lambda x, j: (j < 2) | (_slot(x) != _slot(item(d, j - 2)))))
     df = df.withColumn(b, F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda j: (j == 0) | (_slot(item(a, j)) != _slot(item(a, j - 1)))))
 
@@ -75,14 +84,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def with_next(documents: DataFrame) -> DataFrame:
+def range_borders(documents: DataFrame, rows_a_range: int = RANGE_ROWS, most: int = MOST_RANGES) -> list[int]:
+    """The first doc_id of each of at most ``most`` ranges of about equal numbers of rows, without the least."""
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    many = max(1, min(most, -(-ids.count() // rows_a_range)))
+    firsts = ids.repartitionByRange(many, "doc_id").select("doc_id", F.spark_partition_id().alias("part")).groupBy("part").agg(F.min("doc_id").alias("first"))
+    return sorted({r["first"] for r in firsts.collect()})[1:]
+
+
+def _range_of(doc_id: Column, borders: list[int]) -> Column:
+    """How many borders are not above an id, by halving."""
+    if not borders:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, p: F.when(F.coalesce(F.get(table, n + p - 1) <= doc_id, F.lit(False)), n + p).otherwise(n))
+
+
+def with_next(documents: DataFrame, rows_a_range: int = RANGE_ROWS) -> DataFrame:
     """``doc_id, text, own, next_text, next_own``: each row with its sketches, and the next row's text and sketches."""
-    null = F.col("doc_id").isNull().cast("int")
-    run = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NULL_RUNS))).otherwise(F.shiftright("doc_id", RUN_BITS))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"last": null, "run": run})
+    null = F.col("doc_id").isNull()
+    run = F.when(null, F.pmod(F.xxhash64("text"), F.lit(NULL_RUNS)).cast("int")).otherwise(_range_of(F.col("doc_id"), range_borders(rows, rows_a_range)))
+    rows = rows.withColumns({"last": null.cast("int"), "run": run})
     firsts = rows.groupBy("last", "run").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("last", "run", F.col("r.text").alias("first_text"))
-    keys = rows.select("last", "run").distinct()
+    keys = rows.select("last", "run").distinct()  # at most MOST_RANGES + NULL_RUNS rows
     order = Window.orderBy("last", "run")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here = F.struct("last", "run")
@@ -91,7 +117,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     heads = sketches(firsts.select(F.col("last").alias("_last"), F.col("run").alias("_run"), "first_text"), "first_text", "first_own")
     links = after.join(heads, ["_last", "_run"]).select("last", "run", "first_text", "first_own")
     following = F.lead(F.struct("text", "own")).over(Window.partitionBy("last", "run").orderBy("doc_id", "text"))
-    led = sketches(rows, "text", "own").withColumn("following", following).join(links, ["last", "run"], "left")
+    led = sketches(rows.repartition("last", "run"), "text", "own").withColumn("following", following).join(links, ["last", "run"], "left")
     return led.select("doc_id", "text", "own", F.coalesce("following.text", "first_text").alias("next_text"), F.coalesce("following.own", "first_own").alias("next_own"))
 
 
