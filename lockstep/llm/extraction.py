@@ -1,13 +1,18 @@
 """Operator 5, HTML extraction with wrappers inferred per host.
 
-A page is read into a tree of block elements with text slots between them; inline tags vanish, elements that are never article text
-(menus, forms, adverts, comments, ...) stay as closed leaves. A wrapper is a union-free regular expression over such trees. Pages of a
+A page is read into a stream of block tags with text slots between them, nested by its tags; inline tags vanish, elements that are never article text
+(menus, forms, adverts, comments, ...) stay as closed leaves. A wrapper is a union-free regular expression over such streams. Pages of a
 host are aligned one after the other: a sibling that only one side has becomes optional, runs of like siblings or like groups of up to four
-become one repeated group, and texts that differ become slots. The wrapper's counts then show the region that holds the varying
-text; every page's article is read from that region, and a page without it is read by a wrapper of its own.
+become one repeated group, and texts that differ become slots. The wrapper's counts then show the region that holds the varying text, and
+which texts nine tenths of the host's pages have alike; every page's article is read from that region without those slots (none is left out
+inside an article or main element, nor on hosts of fewer than ``FEW_PAGES`` pages, nor where a page has nothing else, as where most are copies). A page without the region is read by a wrapper of its own.
 
-Wrappers are merged within each batch of the scan, then by host and salt, then by host, so a host with a third of all pages costs
-each task a few small trees. Region paths are broadcast up to ``BROADCAST_HOSTS`` hosts and joined by a shuffle beyond.
+Bounds. Nesting is kept to ``DEPTH`` levels, as browsers keep it to some hundred: what is deeper belongs to the element at that level, in order.
+A wrapper has at most ``MOST_CHILDREN`` siblings an element and ``MOST_NODES`` nodes: the rarest others become one remainder that keeps their
+weight; a slot counts the ``MOST_TEXTS`` texts that most pages have there (the others in turn give way, so a text on over half of the pages is never
+lost). Wrappers are merged within each batch of the scan, then in rounds: each round deals a host's wrappers to so many salts that a task gets about
+``WIDTH`` of them, until one is left. So a host with a third of all pages costs each task some ``WIDTH`` small trees. Region paths are
+broadcast up to ``BROADCAST_HOSTS`` hosts and joined by a shuffle beyond.
 
 Defined results: null html is empty and gives empty text; a null URL belongs to the host without name; unclosed and wrongly nested tags are
 closed as browsers do for blocks; a cut page is read to its end; repeated rows are rows; other columns are ignored; an empty table
@@ -29,9 +34,10 @@ from pyspark.sql import functions as F
 
 from lockstep.llm.encoding import slices
 from lockstep.llm.urls import url_host
-from lockstep.sources.shared import written
+from lockstep.sources.shared import dropped, written
 
-BROADCAST_HOSTS, SALTS = 50_000, 32
+BROADCAST_HOSTS, DEPTH, MOST_CHILDREN, MOST_NODES, MOST_TEXTS, WIDTH, FEW_PAGES = 50_000, 100, 64, 2000, 16, 64, 5
+_REST = "~"  # the remainder of an element's rare children
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg", "math"}
@@ -50,7 +56,8 @@ _KEPT_WORDS = {"content", "main", "wrapper", "container", "with", "no", "has", "
 
 
 class Node:
-    """An element, a group of siblings or a text slot (label ``#``); ``many`` is one of ``1 ? + *``."""
+    """An element, a group of siblings or a text slot (label ``#``); ``many`` is one of ``1 ? + *``. A slot of a page has its text,
+    one of a wrapper the number of pages by checksum of text (and -1 if some have given way)."""
 
     __slots__ = ("label", "many", "pages", "chars", "text", "children")
 
@@ -58,11 +65,12 @@ class Node:
         self.label, self.many, self.pages, self.chars, self.text, self.children = label, many, pages, chars, text, children or []
 
     def packed(self) -> list:
-        return [self.label, self.many, self.pages, self.chars, self.text, [c.packed() for c in self.children]]
+        texts = sorted(self.text.items()) if isinstance(self.text, dict) else None
+        return [self.label, self.many, self.pages, self.chars, texts, [c.packed() for c in self.children]]
 
     @staticmethod
     def unpacked(x: list) -> Node:
-        return Node(*x[:5], [Node.unpacked(c) for c in x[5]])
+        return Node(*x[:4], None if x[4] is None else dict(map(tuple, x[4])), [Node.unpacked(c) for c in x[5]])
 
 
 def _label(tag: str, attributes: str, inside: bool) -> str:
@@ -139,7 +147,9 @@ def read_page(page: str) -> Node:
         if tag in _VOID:
             continue
         if stack[-1].label.endswith("!"):
-            node = Node("!")
+            node = stack[-1]
+        elif len(stack) > DEPTH and not _label(tag, attributes, True).endswith("!"):
+            node = stack[-1]
         else:
             node = Node(_label(tag, attributes, "article" in tags or "main" in tags))
             stack[-1].children.append(node)
@@ -149,6 +159,11 @@ def read_page(page: str) -> Node:
     return root
 
 
+def _shape(node: Node) -> tuple:
+    """What siblings must share to be taken for a repetition: the label, and for an element that holds others their labels."""
+    return node.label if node.label.split(".")[0] in _TEXT_BLOCKS else (node.label, *sorted({c.label for c in node.children}))
+
+
 def fold(children: list[Node]) -> list[Node]:
     """Siblings with runs of like ones, then of like groups of two to four, made repeated."""
     for width in range(1, 5):
@@ -156,8 +171,9 @@ def fold(children: list[Node]) -> list[Node]:
         at = 0
         while at < len(children):
             names = [c.label for c in children[at : at + width]]
+            shapes = [_shape(c) for c in children[at : at + width]]
             n = 1
-            while len(names) == width and [c.label for c in children[at + n * width : at + (n + 1) * width]] == names:
+            while len(names) == width and [_shape(c) for c in children[at + n * width : at + (n + 1) * width]] == shapes:
                 n += 1
             if n == 1:
                 out.append(children[at])
@@ -173,11 +189,47 @@ def fold(children: list[Node]) -> list[Node]:
     return children
 
 
+def checksum(text: str) -> int:
+    return crc32(text.encode("utf-8", "replace"))
+
+
 def skeleton(node: Node) -> Node:
     """A page's tree as a wrapper: texts as checksums, repeats folded."""
     if node.label == "#":
-        return Node("#", chars=node.chars, text=crc32(node.text.encode("utf-8", "replace")))
-    return Node(node.label, children=fold([skeleton(c) for c in node.children]))
+        return Node("#", chars=node.chars, text={checksum(node.text): 1})
+    return Node(node.label, children=_few(fold([skeleton(c) for c in node.children])))
+
+
+def _few(children: list[Node]) -> list[Node]:
+    """At most ``MOST_CHILDREN`` siblings: of more, those that the most pages have, and one remainder."""
+    if len(children) <= MOST_CHILDREN:
+        return children
+    ranked = sorted(range(len(children)), key=lambda i: (children[i].label == _REST, -children[i].pages, i))
+    kept = set(ranked[: MOST_CHILDREN - 1])
+    rest = [c for i, c in enumerate(children) if i not in kept]
+    return [*(c for i, c in enumerate(children) if i in kept), _remainder(rest)]
+
+
+def _remainder(nodes: list[Node]) -> Node:
+    return Node(_REST, "*", max(n.pages for n in nodes), sum(map(_chars, nodes)))
+
+
+def _chars(node: Node) -> int:
+    return 0 if node.label.endswith("!") else node.chars + sum(map(_chars, node.children))
+
+
+def bounded(wrapper: Node) -> Node:
+    """The wrapper with at most about ``MOST_NODES`` nodes, level by level; below, an element has its remainder alone."""
+    level, left = [wrapper], MOST_NODES
+    while level:
+        following = []
+        for node in level:
+            if left < len(node.children):
+                node.children = [_remainder(node.children)]
+            left -= len(node.children)
+            following += node.children
+        level = following
+    return wrapper
 
 
 def _aligned(a: list[Node], b: list[Node]) -> Iterator[tuple[Node | None, Node | None]]:
@@ -222,23 +274,43 @@ def merge(a: Node, b: Node, same_page: bool = False) -> Node:
             children.append(one)
     if same_page or len(children) > max(len(a.children), len(b.children)):
         children = fold(children)
-    return Node(a.label, many, a.pages if same_page else a.pages + b.pages, a.chars + b.chars, a.text if a.text == b.text else None, children)
+    children = _few(children)
+    return Node(a.label, many, a.pages if same_page else a.pages + b.pages, a.chars + b.chars, _counted(a.text, b.text, same_page), children)
+
+
+def _counted(a: dict[int, int] | None, b: dict[int, int] | None, same_page: bool) -> dict[int, int] | None:
+    """The pages of each text of a slot. Where there are too many texts all lose what the first one too many has."""
+    if a is None or b is None:
+        return a or b
+    out = dict(a)
+    for k, n in b.items():
+        out[k] = max(out.get(k, 0), n) if same_page or k < 0 else out.get(k, 0) + n
+    if len(out) > MOST_TEXTS + 1:
+        ranked = sorted(((n, k) for k, n in out.items() if k >= 0), reverse=True)
+        least = ranked[MOST_TEXTS][0]
+        out = {k: n - least for n, k in ranked[:MOST_TEXTS] if n > least} | {-1: 1}
+    return out
 
 
 def _weight(node: Node) -> float:
     """Characters of article text under a node; text that is the same on several pages counts a tenth."""
     if node.label.endswith("!"):
         return 0.0
-    own = node.chars * (0.1 if node.text is not None and node.pages > 1 else 1.0)
+    own = node.chars * (1.0 if node.pages < 2 or _unlike(node) else 0.1)
     total = own + sum(map(_weight, node.children))
     return 5 * total if re.match(r"(article|main)\b", node.label) else total
 
 
+def _unlike(node: Node) -> bool:
+    """Whether the texts of a slot or remainder differ: one of them is on half of its pages at most."""
+    return node.label == _REST or node.text is not None and any(k < 0 or 2 * n <= node.pages for k, n in node.text.items())
+
+
 def _varies(node: Node) -> bool:
     """Whether a node holds text that is not closed and not the same on several pages."""
     if node.label.endswith("!"):
         return False
-    return node.chars > 0 and (node.text is None or node.pages < 2) or any(map(_varies, node.children))
+    return node.chars > 0 and (node.pages < 2 or _unlike(node)) or any(map(_varies, node.children))
 
 
 def region(wrapper: Node) -> list[str]:
@@ -263,19 +335,36 @@ def _named(node: Node) -> bool:
     return bool(re.match(r"(article|main)\b", node.label)) or any(_named(c) for c in node.children if not c.label.endswith("!"))
 
 
-def _texts(node: Node) -> Iterator[str]:
+def constants(wrapper: Node, path: list[str]) -> list[int]:
+    """Checksums of the texts in the region that nine tenths of the host's pages have; none inside an article or main."""
+    if wrapper.pages < FEW_PAGES or any(re.match(r"(article|main)\b", label) for label in path):
+        return []
+    found, waiting = set(), _reached(wrapper, path)
+    while waiting:
+        node = waiting.pop()
+        if node.text is not None:
+            found |= {k for k, n in node.text.items() if k >= 0 and 10 * n >= 9 * wrapper.pages}
+        if not node.label.endswith("!") and not re.match(r"(article|main)\b", node.label):
+            waiting += node.children
+    return sorted(found)
+
+
+def _texts(node: Node, left_out: set[int], inside: bool = False) -> Iterator[str]:
+    inside = inside or bool(re.match(r"(article|main)\b", node.label))
     for c in node.children:
         if c.label == "#":
-            yield c.text
+            if inside or not left_out or checksum(c.text) not in left_out:
+                yield c.text
         elif not c.label.endswith("!"):
-            yield from _texts(c)
+            yield from _texts(c, left_out, inside)
 
 
-def article(page: str, path: list[str] | None) -> str:
+def article(page: str, path: list[str] | None, left_out: list[int] = ()) -> str:
     """The article's blocks, joined by an empty line."""
     root = read_page(page)
     found = _reached(root, path) if path is not None else []
-    return "\n\n".join(t for node in found or _reached(root, region(skeleton(root))) for t in _texts(node))
+    own = [t for node in found for t in _texts(node, set(left_out))] or [t for node in found for t in _texts(node, set())]
+    return "\n\n".join(own if found else (t for node in _reached(root, region(skeleton(root))) for t in _texts(node, set())))
 
 
 def _reached(root: Node, path: list[str]) -> list[Node]:
@@ -289,7 +378,7 @@ def _reached(root: Node, path: list[str]) -> list[Node]:
 def _combined(rows: Iterator[tuple[str, Node]]) -> pa.RecordBatch:
     by: dict[str, Node] = {}
     for host, tree in rows:
-        by[host] = merge(by[host], tree) if host in by else tree
+        by[host] = bounded(merge(by[host], tree) if host in by else tree)
     return pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([json.dumps(t.packed()) for t in by.values()], pa.string())], names=["host", "wrapper"])
 
 
@@ -302,12 +391,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 yield _combined((h, skeleton(read_page(x))) for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True))
 
     def join(part: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_combined((h, Node.unpacked(json.loads(w))) for h, w in zip(part.column("host").to_pylist(), part.column("wrapper").to_pylist(), strict=True))])
+        rows = sorted(zip(part.column("host").to_pylist(), part.column("wrapper").to_pylist(), strict=True))
+        return pa.Table.from_batches([_combined((h, Node.unpacked(json.loads(w))) for h, w in rows)])
 
     shape = "host string, wrapper string"
-    parts = pages.select("host", "html").mapInArrow(scan, shape)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    return salted.groupBy("host", "salt").applyInArrow(join, shape).groupBy("host").applyInArrow(join, shape)
+    parts = written(pages.select("host", "html").mapInArrow(scan, shape), "wrappers")
+    salts = -(-(parts.groupBy("host").count().agg(F.max("count")).first()[0] or 1) // WIDTH)
+    while True:
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
+        joined = salted.groupBy("host", "salt").applyInArrow(join, shape)
+        if salts == 1:
+            return joined
+        old, parts = parts, written(joined, "wrappers")
+        dropped(old)
+        salts = -(-salts // WIDTH)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -316,7 +413,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = [json.dumps(region(Node.unpacked(json.loads(w)))) for w in b.column("wrapper").to_pylist()]
+            wrappers_here = [Node.unpacked(json.loads(w)) for w in b.column("wrapper").to_pylist()]
+            paths = [json.dumps([path := region(w), constants(w, path)]) for w in wrappers_here]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], names=["_host", "path"])
 
     paths = written(wrappers(plain).mapInArrow(choose, "_host string, path string"), "wrappers")
@@ -325,7 +423,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                texts = [article(x, json.loads(p) if p else None) for x, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+                texts = [article(x, *(json.loads(p) if p else [None])) for x, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = plain.join(right, plain["host"] == right["_host"], "left").select("page_id", "url", "html", "path")
