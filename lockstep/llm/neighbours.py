@@ -315,21 +315,20 @@ def chosen_share(classes: DataFrame, asking: DataFrame, bands: dict, tables: int
     true = [r for r in _exact(classes, sample, top + 1).collect() if r["cid"] != r["query"]]  # at most SAMPLE * (top + 1)
     if not true:
         return SHARES[0], 1.0
-    rank = []  # the share that would meet each true neighbour
-    for r in true:
-        x, q = np.array(r["vec"], np.float64)[None], sample[r["query"]][None]
-        least = 1.0
-        for at, bucket in _entries(x, bands[x.shape[1]], tables, seed, tables):
-            name = int(bucket[0])
-            band, table = (name >> 40) - 2048, name >> 32 & 255
-            wide = _widened(_unit(q), np.zeros(1) if bands[x.shape[1]][band][1] else None)
+    least = np.ones(len(true))  # the share that would meet each true neighbour
+    sizes = np.array([len(r["vec"]) for r in true])
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        x, q = (np.array([v(true[i]) for i in rows], np.float64) for v in (lambda r: r["vec"], lambda r: sample[r["query"]]))
+        for at, bucket in _entries(x, bands[d], tables, seed, tables):
+            band, table = (int(bucket[0]) >> 40) - 2048, int(bucket[0]) >> 32 & 255
+            wide = _widened(_unit(q[at]), np.zeros(len(at)) if bands[d][band][1] else None)
             z = turned(wide, table, tables, seed)
-            near = np.stack([z, -z], 2).reshape(-1)
-            place = int((near > near[name & 0xFFFFFFFF]).sum()) + 1
-            least = min(least, place / len(near))
-        rank.append(least)
+            near = np.stack([z, -z], 2).reshape(len(z), -1)
+            place = (near > near[np.arange(len(z)), bucket & 0xFFFFFFFF][:, None]).sum(1) + 1
+            least[rows[at]] = np.minimum(least[rows[at]], place / near.shape[1])
     for share in SHARES:
-        recall = float(np.mean(np.array(rank) <= share))
+        recall = float(np.mean(least <= share))
         if recall >= aim:
             break
     return share, recall
