@@ -164,7 +164,7 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, seed:
     return prints.join(named, "fp").select("_key", "doc_id", "fp", "component_id", "root")
 
 
-WIDE_WORDS, BANDS, BAND_BITS, VOTES = 8, 16, 20, 256
+WIDE_WORDS, BANDS, BAND_BITS, VOTES = 8, 16, 20, 512
 BROADCAST_KEYS = 100_000
 SIMILAR, REACH = (4, 5), 0.2  # the threshold of the similarity; the share of 512 bits in which candidates may differ
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, (WIDE_WORDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
