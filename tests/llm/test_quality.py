@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import zlib
 
@@ -28,6 +30,72 @@ def test_learns_shapes_and_interactions():
     assert quality.fit(np.empty((0, 4)), np.empty(0)).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def plain_fit(x, y, bins, rounds, rate, pairs, pair_bins, pair_rounds, ridge):
+    """The fit written out row by row and cut by cut; the log odds of each row."""
+    n, width = len(y), len(x[0])
+    mean = (sum(y) + 0.5) / (n + 1)
+    total = [math.log(mean / (1 - mean))] * n
+
+    def binned(j, k):
+        column = sorted(r[j] for r in x)
+        cuts = {column[math.floor(i * (n - 1) / k)] for i in range(1, k)} - {column[0]}
+        return [sum(r[j] >= c for c in cuts) for r in x], len(cuts) + 1
+
+    def sums(cells, wanted):
+        rows = [r for r in range(n) if cells[r] in wanted]
+        p = [1 / (1 + math.exp(-total[r])) for r in rows]
+        return sum(y[r] - q for r, q in zip(rows, p)), sum(q * (1 - q) for q in p)
+
+    def worth(found):
+        return found[0] ** 2 / (found[1] + ridge)
+
+    def add(cells, groups):
+        steps = [(g, sums(cells, g)) for g in groups]
+        for g, (up, curve) in steps:
+            for r in range(n):
+                if cells[r] in g:
+                    total[r] += rate * up / (curve + ridge)
+
+    def quadrants(a, b):
+        (ca, na), (cb, nb) = coarse[a], coarse[b]
+        cells = list(zip(ca, cb))
+        parts = {c: sums(cells, {c}) for c in itertools.product(range(na), range(nb))}
+        whole = worth([sum(v[i] for v in parts.values()) for i in (0, 1)])
+        best = (0.0, [set(parts)])
+        for p, q in itertools.product(range(1, na), range(1, nb)):
+            groups = [{c for c in parts if (c[0] < p, c[1] < q) == side} for side in itertools.product((True, False), repeat=2)]
+            gain = sum(worth([sum(parts[c][i] for c in g) for i in (0, 1)]) for g in groups) - whole
+            if gain > best[0]:
+                best = (gain, groups)
+        return best[0], cells, best[1]
+
+    fine, coarse = [binned(j, bins) for j in range(width)], [binned(j, pair_bins) for j in range(width)]
+    for _, (cells, size) in itertools.product(range(rounds), fine):
+        leaves = [range(size)]
+        for _ in range(2):
+            splits = [(g, g[:k], g[k:]) for g in leaves for k in range(1, len(g))]
+            gains = [worth(sums(cells, a)) + worth(sums(cells, b)) - worth(sums(cells, g)) for g, a, b in splits]
+            if gains and max(gains) > 1e-9:
+                g, a, b = splits[gains.index(max(gains))]
+                leaves = [x for x in leaves if x != g] + [a, b]
+        add(cells, leaves)
+    ranked = sorted((-quadrants(a, b)[0], a, b) for a, b in itertools.combinations(range(width), 2))[:pairs]
+    for _, (_, a, b) in itertools.product(range(pair_rounds), ranked):
+        _, cells, groups = quadrants(a, b)
+        add(cells, groups)
+    return total
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_fit_against_a_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(122, 3))  # 121 is no multiple of bins: quantiles fall between rows
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(122) < 0.1) | (x[:, 2] > 1)).astype(float)
+    size = {"bins": 7, "rounds": 6, "rate": 0.3, "pairs": 2, "pair_bins": 4, "pair_rounds": 3, "ridge": 2.0}
+    want = plain_fit(x.tolist(), y.tolist(), **size)
+    assert quality.fit(x, y, **size).score(x) == pytest.approx([1 / (1 + math.exp(-t)) for t in want], abs=1e-9)
+
+
 def test_score_is_a_sum_of_table_entries():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(500, 3)), rng.integers(0, 2, 500).astype(float)
