@@ -37,8 +37,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Boosted tables, components and balanced sampling have no SQL form. tests/llm compares near copies, mixing and packing with plain versions,
-#: the scores with a plain evaluation of the model (not its fit), and the stages together by what they keep.
+#: Boosted tables, components and balanced sampling have no SQL form. tests/llm compares the fit and the scores, near copies, mixing and packing with
+#: plain versions, the first two stages of the given tables with the plain decisions, and all stages together by what they keep.
 ORACLE_SQL = None
 
 
