@@ -101,8 +101,9 @@ def one_vs_many(sequences: DataFrame, max_s: int | None = None, layout: str = "c
     varying = single.groupBy("block", "at").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).filter("low <> high")
     places = varying.groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("places"))
     # places beyond a sequence's end come last, so the letters that are there are a beginning
-    there = cut.join(places, "block").withColumn("_letters", letters(F.col("part")))
-    kept = there.select("who", "block", "places", F.array_join(F.transform("places", lambda p: F.get("_letters", p)), "").alias("part")).filter("part <> ''")
+    # cut by substr: an array of letters would be moved into the lambda and split again for each place
+    there = F.array_join(F.transform("places", lambda p: F.col("part").substr(p + 1, F.lit(1))), "")
+    kept = cut.join(places, "block").select("who", "block", "places", there.alias("part")).filter("part <> ''")
     a, b = kept.alias("a"), kept.select("who", "block", "part").alias("b")
     behind = F.col("b.who.rank") - F.col("a.who.rank") - 1
     met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.who.rank") < F.col("b.who.rank")))
