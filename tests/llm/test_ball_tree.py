@@ -1,0 +1,105 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import edge
+import numpy as np
+import pytest
+from oracle import agrees
+
+from lockstep.llm import ball_tree, queries
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def plain(documents, items, top=10):
+    """Every score of every pair."""
+    docs = [(d, Counter(TERM.findall(lowered(t)))) for d, t in documents]
+    docs = [(d, c) for d, c in docs if c]
+    n, total, df = len(docs), sum(sum(c.values()) for _, c in docs), Counter(t for _, c in docs for t in c)
+    by_item = defaultdict(set)
+    for i, t in items:
+        by_item[i] |= set(TERM.findall(lowered(t)))
+    out = []
+    for i, own in by_item.items():
+        scores = []
+        for d, c in docs:
+            m = 10 + 90 * sum(c.values()) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t in own if c[t])
+            if s > 0:
+                scores.append((-s, d is None, d or 0))
+        out += [(i, k + 1, None if none else d, -s) for k, (s, none, d) in enumerate(sorted(scores)[:top])]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rng = random.Random(4)
+    rows = [(i, edge.prose(rng, rng.choice((1, 4, 20)))) for i in range(9)] + [(3, "zwei weitere Straße IN"), (50, None), (51, ""), (52, "nowhere_found"), (None, "the of and"), (53, "THE 東京 🙂 İ")]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+@pytest.mark.parametrize(("shard", "leaf", "block"), [(4096, 64, 16_384), (7, 2, 16_384), (20, 3, 12), (1, 1, 1000)])
+def test_against_all_pairs(spark, docs, items, shard, leaf, block):
+    wanted = plain([(r["doc_id"], r["text"]) for r in docs.collect()], [tuple(r) for r in items.collect()])
+    assert got(ball_tree.rank(docs, items, shard=shard, leaf=leaf, block_terms=block)) == wanted
+
+
+def test_against_sql(spark, docs, items):
+    known = items.filter("item_id is not null")
+    numbered = docs.filter("doc_id < 1200")  # no repeated rows, whose ranks SQL may swap
+    assert agrees(ball_tree.rank(numbered, known), "op12_ranked_search", documents=numbered, benchmark=known)
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rows = [(k, "one two three") for k in range(40)] + [(100 + k, "one two") for k in range(40)] + [(None, "one two three")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = got(ball_tree.rank(docs, spark.createDataFrame([(1, "three")], "item_id int, text string"), shard=16, leaf=2))
+    assert [r[2] for r in sorted(found, key=lambda r: r[1])] == list(range(10))
+
+
+def test_bounds_hold_and_prune():
+    rng = np.random.default_rng(5)
+    n, width = 600, 300
+    rows = [np.sort(rng.choice(np.arange((i % 6) * 50, (i % 6) * 50 + 50), 12, replace=False)) for i in range(n)]
+    begin, term = np.arange(0, 12 * n + 1, 12), np.concatenate(rows)
+    tf, size = rng.integers(1, 9, 12 * n), rng.integers(50, 500, n)
+    by_term = rng.integers(0, 9000, width)
+    root = ball_tree.tree_of(begin, term, tf, size, (n, int(size.sum())), by_term, leaf=8)
+    impact = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(10 + 90 * size * n // int(size.sum()), 12))
+    table = np.zeros((n, width), np.int64)
+    table[np.repeat(np.arange(n), 12), term] = impact
+    scored = 0
+    for _ in range(30):
+        own = np.sort(rng.choice(np.arange(50 * (k := rng.integers(6)), 50 * k + 50), 15, replace=False))
+        shrunk = by_term[own] / ball_tree.stretch(by_term)[own]
+        norm, nodes, scores = math.sqrt(float(shrunk @ shrunk)), [root], table[:, own] @ by_term[own]
+        while nodes:
+            node = nodes.pop()
+            assert node.bound(own, shrunk, norm) >= scores[node.which].max()
+            nodes += node.children
+        held, leaves = ball_tree.search(root, list(range(n)), own, by_term[own], shrunk, [], 10)
+        wanted = sorted((-int(s), False, i) for i, s in enumerate(scores) if s > 0)[:10]
+        assert held == wanted
+        scored += leaves
+    assert scored < 0.5 * 30 * n / 8
+
+
+def test_empty(spark, docs, items):
+    assert ball_tree.rank(edge.empty(spark, docs), items).count() == 0
+    assert ball_tree.rank(docs, edge.empty(spark, items)).count() == 0
+
+
+def test_given_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    t = {n: queries.table(spark, sf, n) for n in ("documents", "benchmark")}
+    assert agrees(queries.op12_ranked_search(spark, sf), "op12_ranked_search", **t)

@@ -1,0 +1,106 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import edge
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import agrees
+
+from lockstep.llm import line_rules, queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PROSE = "The first part of the house was built in a year that few now remember, and it still stands today."
+
+
+def plain(text):
+    """The base counts, word by word."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    inside = {i + k for i in range(len(words) - 2) for k in range(3) if windows[tuple(words[i : i + 3])] > 1}
+    failed = len(words) < 50 or 100 * len(inside) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside), failed
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(alphabet="ab.|\n\t \x0b\x85  éZ#", max_size=120), st.lists(st.sampled_from(["a", "b", "c.", "É|", "\n"]), max_size=150).map(" ".join)))
+def test_base_counts(text):
+    assert line_rules.judge(text)[:6] == plain(text)
+
+
+@pytest.mark.parametrize(
+    ("line", "rule"),
+    [
+        (PROSE, None), ("Ist das wahr?", None), ('"So it was," they said. "And so it is."', None), ("终于完成了。", None), ("All rights reserved.", "boilerplate"), ("Tous droits  réservés.", "boilerplate"), ("Home | News | Sports | About", "navigation"),
+        ("One sentence | another sentence that goes on for some more words here.", "punctuation*"), ("the*** house### was&&& old%%%.", "symbols"), ("BUY NOW!! BEST PRICE!!", "shouting"), ("A heading", "punctuation"), (" ".join([PROSE, PROSE, "and on it goes"]), None), ("NATO met.", None),
+    ],
+)
+def test_lines(line, rule):
+    found = line_rules.line_rule(line.encode().split(), False, line_rules._PHRASES)
+    assert found == (-1 if rule in (None, "punctuation*") else line_rules.RULES.index(rule))
+
+
+def test_long_texts_keep_lines_that_hold_a_phrase_in_prose():
+    assert line_rules.line_rule(f"{PROSE} {PROSE} The cookie was eaten.".encode().split(), False, line_rules._PHRASES) == -1
+
+
+def test_verdicts():
+    rng = random.Random(1)
+    good = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(20)) + "." for _ in range(6))
+    n, total, *_, failed, kept, lost, lines, text = line_rules.judge(f"Home | News | About\n{good}\nAll rights reserved.")
+    assert kept and not failed and text == good and lines[1:3] == [1, 1] and 0 < lost < 0.2 * total
+    junk = "\n".join(" | ".join(f"item{k}{j}" for j in range(12)) for k in range(9))
+    assert line_rules.judge(junk)[6] is False and line_rules.judge(junk)[5] is False
+    assert line_rules.judge(f"{junk}\n{good}")[6] is False and line_rules.judge(f"{junk}\n{good}", most_lost=100)[6] is True
+    assert line_rules.judge("word " * 60)[5] is True  # every window is repeated
+    assert line_rules.judge(None) == (0, 0, 0, 0, 0, True, False, 0, [0] * 6, "")
+
+
+def test_many_different_words():
+    words = [b"%d" % k for k in range((1 << 20) + 10)] + [b"1", b"2", b"3"]
+    assert line_rules.repeat_words(words) == 6
+
+
+def test_whole_tables(spark, docs):
+    found = {(r["doc_id"], r["n_words"], r["cleaned"]): r for r in line_rules.measure(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(line_rules.measure(docs).collect()) == len(rows)
+    for r in rows:
+        n, *rest, text = line_rules.judge(r["text"])
+        got = found[r["doc_id"], n, text]
+        assert list(got)[2:-1] == rest
+    assert line_rules.measure(edge.empty(spark, docs)).count() == 0
+
+
+def test_against_sql(spark, docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    odd = ["", "Home | News", PROSE.upper(), 'He said "no." )', "x\ty\x0bz.  ", "All rights reserved.", "a b c. | >", "'' \"", "l'eau ## {}."]
+    more = spark.createDataFrame([(5000 + k, "\n".join(rng.choice([*odd, PROSE, edge.prose(rng, 40)]) for _ in range(rng.randrange(25)))) for k in range(80)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    found = line_rules.measure(both).withColumn("cleaned_sha256", F.sha2("cleaned", 256)).drop("cleaned", "lost_lines")
+    assert agrees(found, "op11_quality_rules", documents=both)
+
+
+def test_filter_keeps_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"kept": F.lit("x"), "n_words": F.lit(1), "_a.b": F.lit(2)})
+    out = line_rules.cleaned(clash)
+    assert out.schema == clash.schema
+    wanted = Counter((r["doc_id"], line_rules.judge(r["text"])[-1]) for r in docs.collect() if line_rules.judge(r["text"])[6])
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == wanted
+
+
+def test_query_of_given_tables(spark):
+    rows = queries.op11_quality_rules(spark, "/root/testdata/sf0.001").collect()
+    labels = {r["doc_id"]: r["quality"] for r in queries.table(spark, "/root/testdata/sf0.001", "labels").collect()}
+    judged = [(labels[r["doc_id"]], r["kept"]) for r in rows if r["doc_id"] in labels and not r["base_failed"]]
+    assert sum(k for q, k in judged if q == 1) >= 0.99 * sum(q for q, _ in judged)
+    assert sum(k for q, k in judged if q == 0) <= 0.05 * len(judged)
+    assert all(re.fullmatch("[0-9a-f]{64}", r["cleaned_sha256"]) for r in rows) and rows[0]["cleaned_sha256"] != hashlib.sha256(b"x").hexdigest()
