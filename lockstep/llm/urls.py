@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.llm.rows import quoted
+
 MOST_BLOCKS, BROADCAST_RULES = 1 << 20, 100_000
 
 
@@ -57,7 +59,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.select("verdict", F.concat("host", "path").alias("listed"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels")).dropDuplicates(["listed"])
     count, lengths, depths = rules.agg(F.count("*"), F.collect_set("n"), F.collect_set("labels")).first()
     blocks = min(MOST_BLOCKS, max(1, 1 << (count // 4).bit_length()))  # 16 bits or more for a rule, as long as the bound allows
-    out = pages.drop("host", "path", "rule", "verdict", "_url").withColumn("_url", F.coalesce("url", F.lit("")))
+    whole = F.struct(*(F.col(quoted(c)) for c in pages.columns))  # one struct, so that no column can clash
+    out = pages.select(whole.alias("row"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("_url"))
     urls = out.select("_url").distinct().withColumn("host", url_host(F.col("_url"))).withColumn("path", url_path(F.col("_url")))
     labels = F.split("host", r"\.")
     fitting = F.filter(F.array(*map(F.lit, sorted(depths))).cast("array<int>"), lambda k: k <= F.size("labels"))
@@ -70,4 +73,5 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hits = possible.join(exact, F.col("key") == exact["listed"]).groupBy("_url").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("verdict").alias("verdict"))).alias("best"))
     hits = hits.select(F.col("_url").alias("_hit"), "best.rule", "best.verdict")
     judged = out.join(hits, F.col("_url") == F.col("_hit"), "left")
-    return judged.withColumns({"host": url_host(F.col("_url")), "path": url_path(F.col("_url")), "verdict": F.coalesce("verdict", F.lit("allow"))}).drop("_url", "_hit")
+    own = (F.col(f"row.{quoted(c)}").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict"))
+    return judged.select(*own, url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

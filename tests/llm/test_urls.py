@@ -72,3 +72,10 @@ def test_no_python_in_the_plan(spark):
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
 
 
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, URLS[5], 7, 8, 9, 10, 11, 12)], "page_id long, url string, _hit int, _url int, row int, best int, `a.b` int, block int")
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    (found,) = edge.plain(urls.judge(df, rules))
+    assert found == {"page_id": 1, "url": URLS[5], "_hit": 7, "_url": 8, "row": 9, "best": 10, "a.b": 11, "block": 12, "host": "example.org", "path": "/", "rule": "org/", "verdict": "allow"}
