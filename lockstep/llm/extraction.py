@@ -1,7 +1,8 @@
 """Operator 5, HTML extraction with wrappers inferred per host.
 
 A page is read into a stream of block tags with text slots between them, nested by its tags; inline tags vanish, elements that are never article text
-(menus, forms, adverts, comments, ...) stay as closed leaves. A wrapper is a union-free regular expression over such streams. Pages of a
+(menus, forms, adverts, comments, ...) stay as closed leaves: by tag, or as containers by whole words of class and role; an id counts if it
+names reader comments, others on a div outside articles alone. Headings, paragraphs and other text blocks are never closed by words. A wrapper is a union-free regular expression over such streams. Pages of a
 host are aligned one after the other: a sibling that only one side has becomes optional, runs of like siblings or like groups of up to four
 become one repeated group, and texts that differ become slots. The wrapper's counts then show the region that holds the varying text, and
 which texts nine tenths of the host's pages have alike; every page's article is read from that region without those slots (none is left out
@@ -40,18 +41,21 @@ BROADCAST_HOSTS, DEPTH, MOST_CHILDREN, MOST_NODES, MOST_TEXTS, WIDTH, FEW_PAGES
 _REST = "~"  # the remainder of an element's rare children
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg", "math"}
-_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg", "annotation", "annotation-xml"}
+_INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics""".split())
 _VOID = {"area", "base", "col", "embed", "hr", "link", "meta", "param", "track", "input"}
 _CLOSED_BY_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dt", "dd", "figcaption", "#"}
-#: Elements, and words in class, id or role, that are never article text.
+#: Elements, and words in class or role of containers, that are never article text; and ids of reader comments.
 _NEVER = set("nav footer aside form head menu dialog button select fieldset object canvas audio video".split())
 _WORDS = set(
     """ad ads adbox adslot adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
     sidebar aside complementary footer contentinfo masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall share sharing social
-    related recommended recommendations pagination pager login signup signin search toolbar widget widgets disqus replies respond skip""".split()
+    related recommended recommendations pagination pager login signup signin search toolbar widget widgets disqus comment comments commentlist replies respond skip""".split()
 )
+_COMMENT_IDS = {"comment", "comments", "disqus", "disqusthread", "respond"}
+_CONTAINERS = {"div", "section", "header", "ul", "ol", "dl", "table", "figure", "ins", "details"}
 _KEPT_WORDS = {"content", "main", "wrapper", "container", "with", "no", "has", "body"}
 
 
@@ -80,10 +84,13 @@ def _label(tag: str, attributes: str, inside: bool) -> str:
     if not attributes.strip() or tag in ("html", "body"):
         return tag
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if tag not in ("main", "article"):
-        words = set(re.findall(r"[a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-        if any(w.startswith("comment") for w in words) or words & _WORDS and not words & _KEPT_WORDS:
+    if tag in _CONTAINERS:
+        words = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('role', '')}".lower()))
+        name = re.sub(r"[^a-z]+", "", found.get("id", "").lower())
+        # ids are often made from headings, so others than those of comments count for divs outside articles only
+        if words & _WORDS and not words & _KEPT_WORDS or name in _COMMENT_IDS or tag == "div" and not inside and name in _WORDS:
             return tag + "!"
+    if tag not in ("main", "article"):
         if found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attributes)) or "display:none" in found.get("style", "").replace(" ", ""):
             return tag + "!"
     first = re.sub(r"[^a-z]+", "-", found.get("class", "").split(" ")[0].lower()).strip("-")

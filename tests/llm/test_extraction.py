@@ -20,6 +20,19 @@ def test_single_pages(page, text):
     assert ex.article(page, None) == text
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ("<h2 id='sharing'>Sharing</h2>", "Sharing"), ("<h2 class='menu notice'>The menu</h2>", "The menu"), ("<section id='search'><p>How we search</p></section>", "How we search"), ("<p class='commentary'>So they say</p>", "So they say"), ("<p class='notice'>Seen</p>", "Seen"),
+        ("<div class='commentary'><p>Verse by verse</p></div>", "Verse by verse"), ("<div id='related'>Kin</div>", "Kin"), ("<ul id='menu'><li>Soup</li></ul>", "Soup"), ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>", "So x=1 holds"),
+        ("<div class='comments'><p>Nice</p></div>", None), ("<div id='comments'><p>Nice</p></div>", None), ("<section class='related-posts'><p>More</p></section>", None), ("<div class='ad'>Buy</div>", None), ("<div role='navigation'>Home</div>", None), ("<ul class='share'><li>Post it</li></ul>", None),
+    ],
+)
+def test_words_close_containers_only(inside, text):
+    wanted = "First\n\nLast" if text is None else f"First\n\n{text}\n\nLast"
+    assert ex.article(f"<nav>Home</nav><article><p>First</p>{inside}<p>Last</p></article><div id='sidebar'><p>Side</p></div>", None) == wanted
+
+
 def page(k, paragraphs, extra=""):
     body = "".join(f"<p>Paragraph {k}.{i} of this page</p>" for i in range(paragraphs))
     return f"<html><head><title>t</title></head><body><div><ul><li>Home</li><li>News</li></ul></div><div><p>Welcome to our site, always the same words</p></div><div>{extra}<h1>Title {k}</h1>{body}</div><div><p>All rights reserved by us for ever</p></div></body></html>"
