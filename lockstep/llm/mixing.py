@@ -8,7 +8,8 @@ the next round's blocks, until one block is left for each source, whose last doc
 Before that, a block's largest documents are decided one by one, each against all smaller ones at once (a dense direction of the
 same null space): a window of three would carry the largest to the end, and small ones shall be left to land.
 
-All random choices are seeded by source rank, round and block, and blocks are dealt by hash of doc_id and size, so reruns agree.
+All random choices are seeded by source rank, round and block, and blocks are dealt by hash of the row, so reruns agree. Rows that are equal in all
+are counted and dealt by their number, ``COPIES`` at a time, as they are interchangeable: a row that a third of all repeat fills as many blocks as others do.
 Defined results: null text has size 0 and is never taken; a null source is a source, last in order; a source without words has
 target 0; repeated rows count and are taken by themselves; null doc_ids are allowed; an empty table gives no rows.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lockstep.llm.rows import row_key, times
 from lockstep.sources.shared import written
 
-BLOCK_ROWS, MERGED_BLOCKS = 8192, 2048
+BLOCK_ROWS, MERGED_BLOCKS, COPIES = 8192, 2048, 65_536
 BROADCAST_SOURCES = 10_000
 UNITS = "_key long, doc_id long, source_rank long, block long, blocks long, size long, p double"
 
@@ -35,12 +36,13 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``source, source_rank, source_size, rows, target`` from ``source, size``; one row for each source.
+    """``source, source_rank, source_size, rows, target`` from ``source, size`` (and ``many``, how many rows are so); one row for each source.
 
     The targets share ``share`` of all words by weight and stop at ``most`` times their source; what is above is shared anew
     among the others by weight. That is one common level: ``least(most * size, level * weight)``.
     """
-    per = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    many = F.col("many") if "many" in sizes.columns else F.lit(1)
+    per = written(sizes.groupBy("source").agg(F.sum(F.col("size") * many).alias("source_size"), F.sum(many).alias("rows")), "sources")
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
     ranked = written(per.select("source", rank.alias("source_rank"), weight.alias("weight"), "source_size", "rows"), "sources")
@@ -162,18 +164,27 @@ def sample(units: DataFrame, most_blocks: int, seed: int) -> DataFrame:
     return out
 
 
+def numbered(alike: DataFrame) -> DataFrame:
+    """Each row as often as ``many`` says, with ``copy`` from 0; copies of one row are made by several tasks."""
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / COPIES))))
+    if (alike.agg(F.max("many")).first()[0] or 0) > COPIES:
+        parts = parts.repartition("_key", "part")
+    last = F.least(F.col("many"), (F.col("part") + 1) * COPIES) - 1
+    return parts.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, last))).drop("many", "part")
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
     """``_key, doc_id, size, source_size, target, copies, taken`` of each row of ``doc_id, source, text``."""
     slim = documents.select(row_key(documents).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    slim = written(slim, "sizes")
-    goals = written(targets(slim, weights, share, most), "targets")
+    alike = written(slim.groupBy(*slim.columns).agg(F.count("*").alias("many")), "sizes")
+    goals = written(targets(alike, weights, share, most), "targets")
     n_sources, most_rows = goals.agg(F.count("*"), F.max("rows")).first()
     right = goals.withColumnRenamed("source", "_source")
-    joined = slim.join(F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right, F.col("source").eqNullSafe(F.col("_source")))
+    joined = numbered(alike).join(F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right, F.col("source").eqNullSafe(F.col("_source")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio)
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
-    units = joined.select("_key", "doc_id", "source_rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), blocks).alias("block"), blocks.alias("blocks"), "size", F.when(F.col("size") > 0, ratio - whole).otherwise(0.0).alias("p"))
+    units = joined.select("_key", "doc_id", "source_rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_key", "copy"), blocks).alias("block"), blocks.alias("blocks"), "size", F.when(F.col("size") > 0, ratio - whole).otherwise(0.0).alias("p"))
     picked = sample(units, -(-(most_rows or 0) // BLOCK_ROWS), seed)
     facts = goals.select("source_rank", "source_size", "target")
     copies = F.when(F.col("size") > 0, F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) + F.col("p").cast("long")).otherwise(0).cast("long")

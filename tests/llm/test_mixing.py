@@ -91,3 +91,21 @@ def test_blocks_merge_over_rounds(spark, monkeypatch):
         by[r["source_size"]][0] += r["taken"]
         by[r["source_size"]][1] = r["target"]
     assert all(abs(t - want) < 60 for t, want in by.values())
+
+
+def test_hot_rows_are_spread(spark, monkeypatch):
+    """A third of all rows are one row, a third have one doc_id, a third no doc_id."""
+    monkeypatch.setattr(mixing, "COPIES", 300)
+    rows = [(1, "one two three", "a")] * 2000 + [(2, f"w{k} x y", "a") for k in range(2000)] + [(None, f"v{k} x y", "a") for k in range(2000)] + [(k, f"u{k} x", "b") for k in range(3, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    seen, real = [], mixing._round
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(mixing, "_round", lambda units, *a: seen.append(max(r["count"] for r in units.groupBy("source_rank", "block").count().collect())) or real(units, *a))
+    found = edge.plain(mixing.mix(df, share=0.7))
+    assert len(found) == len(rows) and seen[0] < 700
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    by = defaultdict(float)
+    for r in found:
+        by[r["target"]] += r["taken"]
+    assert all(abs(taken - target) <= 0.01 * target + 6 for target, taken in by.items())
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in edge.plain(mixing.mix(df.repartition(3), share=0.7))) == Counter((r["doc_id"], r["size"], r["taken"]) for r in found)
