@@ -12,7 +12,7 @@ from lockstep.llm.queries import QUERIES
 
 
 def order(row):
-    return row[0] is None, row[0] or 0, row[1]
+    return row[0] is None, row[0] or 0, hashed(("s", row[1])), row[1]
 
 
 def test_edits_against_plain_python(spark, docs):
@@ -95,10 +95,10 @@ def test_fingerprints_against_plain_python(spark, docs):
 def test_ranges_follow_sparse_ids(spark):
     ids = [k * 1_000_003 for k in range(3000)] + [10**15 + k for k in range(1000)] + [-(10**17)]
     df = spark.createDataFrame([(i, f"text of {i} here") for i in ids], "doc_id long, text string").repartition(4)
-    borders = fingerprints.range_borders(df, 100)
+    borders = fingerprints.range_borders(fingerprints._keyed(df), 100)
     counts = {}
     for i in ids:
-        k = sum(b <= i for b in borders)
+        k = sum(b <= (0, i, hashed(("s", f"text of {i} here"))) for b in borders)
         counts[k] = counts.get(k, 0) + 1
     assert 20 <= len(borders) <= 41 and max(counts.values()) < 400
     found = {r["doc_id"]: r["next_text"] for r in edge.plain(fingerprints.with_next(df, 100))}
@@ -106,6 +106,30 @@ def test_ranges_follow_sparse_ids(spark):
     assert found == {i: f"text of {n} here" for i, n in zip(ranked, [*ranked[1:], ranked[0]])}
 
 
+def test_hot_ids_are_spread(spark):
+    """A third of all rows with one doc_id, a third without any, and many that repeat one row whole."""
+    rows = [(7, f"seven {k}") for k in range(1000)] + [(None, f"none {k}") for k in range(600)] + [(9, "the same row")] * 1000 + [(None, "twice without")] * 300 + [(k, f"other {k}") for k in range(100)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = fingerprints._keyed(df)
+    cold, repeats = fingerprints._repeats(keyed, fingerprints.written(keyed.select("last", "doc_id", "h"), "keys"), 100)
+    assert sorted((r["doc_id"] is None, r["text"], r["more"]) for r in edge.plain(repeats)) == [(False, "the same row", 999), (True, "twice without", 299)]
+    borders = fingerprints.range_borders(cold, 100)
+    sizes = [r["count"] for r in edge.plain(cold.groupBy(fingerprints._range_of(borders)).count())]
+    assert len(borders) >= 12 and max(sizes) < 400 and sum(sizes) == 1702
+    ranked = sorted(rows, key=order)
+    want = sorted(((d, t, n) for (d, t), (_, n) in zip(ranked, [*ranked[1:], ranked[0]])), key=str)
+    found = edge.plain(fingerprints.with_next(df, 100))
+    assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in found), key=str) == want
+    assert all((r["own"] == r["next_own"]) == (r["text"] == r["next_text"]) for r in found)
+
+
+def test_too_many_words_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "POSITION_BITS", 4)
+    with pytest.raises(Exception, match="over 2\\*\\*4 words"):
+        spark_sketch(spark, ["a b " * 20])
+
+
 def likeness(a, b):
     filled = {x >> 32 for x in a} | {x >> 32 for x in b}
     return len(set(a) & set(b)) / len(filled) if filled else 1.0
