@@ -14,7 +14,8 @@ shingles have a Jaccard similarity of 0.8. A fingerprint of 512 bits gives candi
 No pigeonhole helps there, so candidates come from bands of 20 bits, and each text also probes the buckets that it would have if one or
 both of a band's two most nearly tied votes had fallen the other way: it is such bits that an edit turns; the tables above give more. In a
 bucket the tree has one level: entries keyed by their distance to the first, and only keys within the reach of each other are compared. This
-search is approximate, but each link is confirmed by the exact similarity of the two sets of shingles. The README gives its measured recall.
+search is approximate, but each link is confirmed by the exact similarity of the two sets of shingles, in dense buckets and others alike; dense ones of
+over ``PART_ROWS`` entries are compared part by part. The README gives the measured recall.
 
 Defined results: null and empty texts (and those of white space alone) have fingerprint zero and are linked like any others; with
 fewer words than a shingle has, the whole sequence is one shingle; rows with a null doc_id take part, and a component of only
@@ -164,8 +165,8 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, seed:
     return prints.join(named, "fp").select("_key", "doc_id", "fp", "component_id", "root")
 
 
-WIDE_WORDS, BANDS, BAND_BITS, VOTES = 8, 16, 20, 512
-BROADCAST_KEYS = 100_000
+WIDE_WORDS, BANDS, BAND_BITS = 8, 16, 20
+BROADCAST_KEYS, MANY_NEAR, PART_ROWS = 100_000, 8, 4096
 SIMILAR, REACH = (4, 5), 0.2  # the threshold of the similarity; the share of 512 bits in which candidates may differ
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, (WIDE_WORDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -211,7 +212,7 @@ def band_keys(votes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(documents: DataFrame) -> DataFrame:
-    """``_key, doc_id, fp`` as :func:`fingerprints` gives, with ``wide`` (eight longs), ``keys`` (four a band), a ``digest`` of the set of shingles and the ``votes`` as bytes."""
+    """``_key, doc_id, fp`` as :func:`fingerprints` gives, with ``wide`` (eight longs), ``keys`` (four a band) and a ``digest`` of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -223,11 +224,10 @@ def wide_fingerprints(documents: DataFrame) -> DataFrame:
                 votes = [wide_votes(x) for x in sets]
                 wide = [np.packbits(v > 0, bitorder="little").view("<i8") for v in votes]
                 lists = [pa.ListArray.from_arrays(np.arange(0, n * len(texts) + 1, n, np.int32), np.concatenate(x)) for n, x in ((WIDE_WORDS, wide), (4 * BANDS, [band_keys(v).ravel() for v in votes]))]
-                scaled = pa.array([scaled_votes(v, len(x)) for v, x in zip(votes, sets, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("doc_id"), pa.array(fps), *lists, digests, scaled], names=["_key", "doc_id", "fp", "wide", "keys", "digest", "votes"])
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("doc_id"), pa.array(fps), *lists, digests], names=["_key", "doc_id", "fp", "wide", "keys", "digest"])
 
     slim = documents.select(row_key(documents).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "_key long, doc_id long, fp long, wide array<bigint>, keys array<bigint>, digest long, votes binary")
+    return slim.mapInArrow(run, "_key long, doc_id long, fp long, wide array<bigint>, keys array<bigint>, digest long")
 
 
 def _top(up: dict[int, int], n: int) -> int:
@@ -264,9 +264,9 @@ def _pair_batch(pairs: np.ndarray, dense: np.ndarray | None = None) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(np.append(pairs[:, 0], marks)), pa.array(np.append(pairs[:, 1], marks)), keys], names=["a", "b", "dense"])
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> Iterator[pa.RecordBatch]:
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int, many_near: int = MANY_NEAR) -> Iterator[pa.RecordBatch]:
     """Pairs within ``reach``, by the last 192 bits, of the entries of a partition's buckets: all of them, but for dense buckets, where
-    an entry has over eight. There an entry surely near an earlier one is not compared further, and of the pairs found only those are given,
+    an entry has over ``many_near``. There an entry surely near an earlier one is not compared further, and of the pairs found only those are given,
     nearest first, that join what the nearer ones do not. This is a first look that costs and gives about a dense bucket's size; such
     buckets are named, and :func:`_crossing_pairs` compares in them whatever the pairs that were confirmed have not joined."""
     found = _sorted_out(batches, ("x", "y", "z"))
@@ -278,7 +278,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> I
     apart = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
     edge = apart(np.repeat(starts, sizes), np.arange(len(key)))  # the children's keys under each bucket's first entry
     every, first_look, dense = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)], []
-    for size in range(2, 9):
+    for size in range(2, many_near + 1):
         first = starts[shared & (sizes == size)]
         for i in range(size - 1):
             at = first[own[first + i]] + i
@@ -286,7 +286,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> I
                 at_j = at[np.abs(edge[at] - edge[at + j]) <= reach]
                 hit = at_j[apart(at_j, at_j + j) <= reach]
                 every.append(np.stack([node[hit], node[hit + j]], 1))
-    for start, size in zip(starts[shared & (sizes > 8)], sizes[shared & (sizes > 8)]):
+    for start, size in zip(starts[shared & (sizes > many_near)], sizes[shared & (sizes > many_near)]):
         left, is_dense, pairs = np.arange(start, start + size), False, []
         while len(left) > 1:
             at, left = left[0], left[1:]
@@ -297,7 +297,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> I
             hit = d <= reach
             if hit.any():
                 pairs.append(np.stack([d[hit], np.full(hit.sum(), node[at]), node[left[follow[hit]]]], 1))
-            is_dense = is_dense or hit.sum() > 8
+            is_dense = is_dense or hit.sum() > many_near
             if is_dense:
                 left = np.delete(left, follow[d <= sure])
         if is_dense:
@@ -314,25 +314,29 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], sure: int, reach: int) -> I
     yield _pair_batch(np.concatenate(every), np.array(dense, np.int64))
 
 
-def scaled_votes(votes: np.ndarray, shingles_there: int) -> bytes:
-    """The first ``VOTES`` votes as signed bytes, in units of a thirty-second of their standard deviation."""
-    return np.clip(np.rint(votes[:VOTES] * (32 / max(1, shingles_there) ** 0.5)), -127, 127).astype(np.int8).tobytes()
+def _similar_to(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each of the other sets (sorted) has the threshold's similarity with one."""
+    sizes = np.array([len(x) for x in others])
+    fits = (np.minimum(sizes, len(one)) * SIMILAR[1] >= np.maximum(sizes, len(one)) * SIMILAR[0]) & (sizes > 0)
+    which = np.flatnonzero(fits)
+    out = fits & False
+    if len(which) and len(one):
+        flat = np.concatenate([others[k] for k in which])
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        common = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[which])[:-1])))
+        out[which] = common * SIMILAR[1] >= SIMILAR[0] * (len(one) + sizes[which] - common)
+    return out
 
 
 def _crossing_pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """All pairs within ``reach`` of 512 bits of the entries of a partition's buckets, but for those in one ``group``, which are joined.
-
-    Votes tell the cosine of two sets of shingles better than their signs do, with an error of (1 - c^2) / sqrt(VOTES): in families of texts of
-    similarity 0.6 to 0.75 the signs let many pairs pass. Where entries have ``votes``, a pair three such errors below the threshold's cosine goes."""
-    found = _sorted_out(batches, ("group", "votes", *(f"w{k}" for k in range(WIDE_WORDS))))
+    """All pairs of the entries of a partition's buckets within ``reach`` of 512 bits, but for those in one ``group``, which are joined already.
+    Entries with their ``shingles`` are compared by these too, exactly and on the spot. Of a bucket in parts (``i < j``) only pairs between two parts."""
+    found = _sorted_out(batches, ("group", "shingles", "part", "within", *(f"w{k}" for k in range(WIDE_WORDS))))
     if not found:
         return
-    (_, node, _, group, votes, *words), starts, sizes = found
-    votes = np.frombuffer(b"".join(votes.tolist()), np.int8).reshape(len(node), -1).astype(np.float32)
-    votes /= np.maximum(1, np.sqrt((votes * votes).sum(1, keepdims=True)))
-    least = 2 * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1])
-    least -= 3 * (1 - least * least) / VOTES**0.5
+    (_, node, _, group, held_sets, part, within, *words), starts, sizes = found
     words = np.stack([w.view(np.uint64) for w in words], 1)
+    sets = [np.frombuffer(x, "<u8") for x in held_sets] if held_sets[0] is not None else None
     held, n = [], 0
     for start, size in zip(starts.tolist(), sizes.tolist()):
         _, name, count = np.unique(group[start : start + size], return_inverse=True, return_counts=True)
@@ -341,9 +345,10 @@ def _crossing_pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[p
         for a, b in zip([0, *ends], ends[:-1]):
             others = order[b:]
             for at in order[a:b]:
-                hit = others[np.bitwise_count(words[others] ^ words[at]).sum(1, dtype=np.int64) <= reach]
-                if votes.shape[1] and len(hit):
-                    hit = hit[votes[hit] @ votes[at] >= least]
+                hit = others if within[at] else others[part[others] != part[at]]
+                hit = hit[np.bitwise_count(words[hit] ^ words[at]).sum(1, dtype=np.int64) <= reach]
+                if sets and len(hit):
+                    hit = hit[_similar_to(sets[at], [sets[k] for k in hit])]
                 if len(hit):
                     held.append(np.stack([np.full(len(hit), node[at]), node[hit]], 1))
                     n += len(hit)
@@ -354,6 +359,20 @@ def _crossing_pairs(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[p
         yield _pair_batch(np.concatenate(held))
 
 
+def in_parts(entries: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """Entries (``key, node, ...``) of buckets, with ``part`` and ``within``: a bucket of over ``rows`` is cut into parts by hash, and each two of its parts meet under a key of their own."""
+    sizes = entries.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / rows).alias("parts")).filter("parts > 1")
+    large = written(sizes, "large")
+    many = large.count()
+    if not many:
+        dropped(large)
+        return entries.withColumns({"part": F.lit(0).cast("long"), "within": F.lit(True)})
+    met = entries.join(F.broadcast(large) if many <= BROADCAST_KEYS else large, F.col("key") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return met.withColumns({"key": F.when(F.col("parts") > 1, F.xxhash64("key", low, high)).otherwise(F.col("key")), "within": F.col("part") == F.col("other")}).drop("of", "parts", "other")
+
+
 def _within(pairs: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
     """The pairs ``a, b`` of nodes whose 512 bits differ in at most ``reach``."""
     left, right = (nodes.select(F.col("node").alias(name), F.col("wide").alias(f"w{name}")) for name in "ab")
@@ -381,6 +400,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _sets_of(texts: DataFrame) -> DataFrame:
+    """``set_of, shingles``: the set of five-word shingles of each text (``node, text``), as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = pa.array([shingles(t or "").astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["set_of", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "set_of long, shingles binary")
+
+
 def _texts_of(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
     """``node, text`` of the wanted nodes (``node``), from one row of each."""
     found = written(nodes.join(wanted, "node", "left_semi").select("node", "row._key", F.col("row.doc_id").alias("doc_id")), "wanted")
@@ -390,39 +421,47 @@ def _texts_of(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> Data
     return written(joined.select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def wide_links(nodes: DataFrame, reach: float = REACH, documents: DataFrame | None = None) -> DataFrame:
+def wide_links(nodes: DataFrame, reach: float = REACH, documents: DataFrame | None = None, many_near: int = MANY_NEAR, part_rows: int = PART_ROWS) -> DataFrame:
     """``a, b``: nodes (``node, wide, keys``) that a bucket brings together and whose fingerprints differ in at most that share of
-    bits; with ``documents`` (and a ``row`` of theirs, ``_key, doc_id``, with each node) only those that :func:`_confirmed` confirms.
+    bits; with ``documents`` (and a ``row`` of theirs, ``_key, doc_id``, with each node) only those whose sets of shingles have the threshold's similarity.
     By 192 bits, three standard errors more are let pass to the comparison of all 512, and far fewer are enough for a first look.
-    A pair is left out only where links that were confirmed join both its ends already."""
+    A pair is left out only where links that were confirmed join both its ends already. In dense buckets (an entry has over ``many_near``) the sets of
+    shingles travel with the entries, since there the pairs would be many more than the links."""
     word = lambda k: F.get("wide", F.lit(k))
     slim = nodes.select("node", "wide", F.posexplode("keys").alias("at", "key")).select("key", "node", _own(F.col("at")).alias("own"), *(word(WIDE_WORDS - 3 + k).alias(name) for k, name in enumerate("xyz")))
     error = 3 * (reach * (1 - reach) / 192) ** 0.5
     sure, rough, whole = round((reach - 0.8 * error) * 192), round((reach + error) * 192), round(reach * 64 * WIDE_WORDS)
-    looked = written(slim.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough), "a long, b long, dense long").distinct(), "pairs")
-    confirmed = lambda pairs: pairs if documents is None else _confirmed(pairs, _texts_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), documents))
+    looked = written(slim.repartition("key").mapInArrow(lambda batches: _bucket_pairs(batches, sure, rough, many_near), "a long, b long, dense long").distinct(), "pairs")
     rough_near = written(_within(looked.filter("dense is null").select("a", "b"), nodes, whole), "near")
-    near = written(confirmed(rough_near), "links")
-    dropped(rough_near)
+    texts = documents is not None and _texts_of(nodes, rough_near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), documents)
+    near = written(_confirmed(rough_near, texts) if texts else rough_near, "links")
+    dropped(rough_near, *([texts] if texts else []))
     dense = looked.filter("dense is not null").select(F.col("dense").alias("key"))
     n_dense = dense.count()
     if not n_dense:
         return near
     joined = components(near).select(F.col("a").alias("node"), F.col("b").alias("group"))
     grouped = nodes.join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    votes = F.col("votes") if "votes" in nodes.columns else F.lit(b"").alias("votes")
-    again = grouped.select("node", "group", votes, "wide", F.posexplode("keys").alias("at", "key")).join(F.broadcast(dense) if n_dense <= BROADCAST_KEYS else dense, "key", "left_semi")
-    wide = again.select("key", "node", _own(F.col("at")).alias("own"), "group", "votes", *(word(k).alias(f"w{k}") for k in range(WIDE_WORDS)))
+    again = grouped.select("node", "group", "wide", F.posexplode("keys").alias("at", "key")).join(F.broadcast(dense) if n_dense <= BROADCAST_KEYS else dense, "key", "left_semi")
+    wide = again.select("key", "node", _own(F.col("at")).alias("own"), "group", *(word(k).alias(f"w{k}") for k in range(WIDE_WORDS)))
+    wide = written(in_parts(wide, part_rows), "dense")
+    if documents is None:
+        wide = wide.withColumn("shingles", F.lit(None).cast("binary"))
+    else:
+        texts = _texts_of(nodes, wide.select("node").distinct(), documents)
+        wide = wide.join(_sets_of(texts), F.col("node") == F.col("set_of"))
     crossing = written(wide.repartition("key").mapInArrow(lambda batches: _crossing_pairs(batches, whole), "a long, b long").distinct(), "crossing")
-    return near.unionByName(confirmed(crossing))
+    dropped(looked)
+    return near.unionByName(crossing)
 
 
-def near_copies(documents: DataFrame, radius: int = 4, reach: float = REACH) -> DataFrame:
-    """``_key, doc_id, root`` of each row: rows of one root are linked by confirmed pairs. Candidates share a band or, as in :func:`links`, blocks of 64 bits."""
+def near_copies(documents: DataFrame, radius: int = 4, reach: float = REACH, **bounds) -> DataFrame:
+    """``_key, doc_id, root`` of each row: rows of one root are linked by confirmed pairs. Candidates share a band or, as in :func:`links`, blocks of 64 bits.
+    ``bounds``: what :func:`wide_links` takes; they change how candidates are compared, not which."""
     prints = wide_fingerprints(documents).withColumn("node", F.xxhash64("fp", "wide", "digest"))
     prints = written(prints.withColumn("keys", F.concat("keys", _tables(F.col("fp"), 6, 6 - radius))), "fingerprints")
-    nodes = written(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.first("votes").alias("votes"), F.first(F.struct("_key", "doc_id")).alias("row")), "nodes")
-    linked = components(wide_links(nodes, reach, documents))
+    nodes = written(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.first(F.struct("_key", "doc_id")).alias("row")), "nodes")
+    linked = components(wide_links(nodes, reach, documents, **bounds))
     return prints.join(linked, prints["node"] == linked["a"], "left").select("_key", "doc_id", F.coalesce("b", "node").alias("root"))
 
 

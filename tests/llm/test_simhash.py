@@ -231,3 +231,34 @@ def test_kept_rows_against_brute_force_over_all_pairs(spark):
     assert sum(found[i] == found[j] for i, j in true) >= 0.95 * len(true)
     for root in set(found.values()):
         assert len({union.root(i) for i, r in found.items() if r == root}) == 1
+
+
+def test_bounds_change_no_group(spark):
+    """Every bucket taken as dense, and cut into small parts, gives the groups that the usual bounds give."""
+    rows = chained(random.Random(16), 900)
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(160)]
+    for k in range(200):  # a family of similarity 0.5 to 0.9
+        words = list(base)
+        for at in rng.sample(range(160), rng.choice((1, 2, 4, 8, 12))):
+            words[at] = f"e{rng.randrange(10**6)}"
+        rows.append((5000 + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = [{r["doc_id"]: r["root"] for r in edge.plain(simhash.near_copies(df, **b))} for b in ({}, {"many_near": 1}, {"many_near": 2, "part_rows": 20}, {"many_near": 30})]
+    partition = lambda g: sorted(sorted(d for d in g if g[d] == root) for root in set(g.values()))
+    assert partition(groups[0]) == partition(groups[1]) == partition(groups[2]) == partition(groups[3])
+    sets = {d: set(simhash.shingles(t).tolist()) for d, t in rows if d >= 5000}
+    union = Union()
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                union.link(i, j)
+    assert sum(len({groups[0][j] for j in sets if union.root(j) == r}) for r in {union.root(i) for i in sets}) <= 1.1 * len({union.root(i) for i in sets})
+
+
+def test_sets_are_compared_exactly():
+    rng = np.random.default_rng(18)
+    one = np.unique(rng.integers(0, 1000, 300).astype("<u8"))
+    others = [np.unique(np.concatenate([rng.choice(one, rng.integers(1, len(one) + 1), replace=False), rng.integers(1000, 2000, rng.integers(0, 60))]).astype("<u8")) for _ in range(200)] + [np.empty(0, "<u8"), one]
+    assert simhash._similar_to(one, others).tolist() == [simhash.similar(one, o) for o in others[:-2]] + [False, True]
+    assert not simhash._similar_to(np.empty(0, "<u8"), others).any()
