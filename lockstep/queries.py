@@ -163,14 +163,23 @@ def equal_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = groups.chunk_plan(_count(spark, sf_dir), MAX_S).select("first_index", "chunk", F.size("second_indices").alias("n"))
-    return _letters(diff.diff_by_group(positions.member_positions(_members(spark, sf_dir)), seconds))
+    return _letters(diff.diff_by_group(benchmark_sequences(spark, sf_dir), MAX_S))
 
 
 def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.with_zeros(diff.count_differences(benchmark_sequences(spark, sf_dir)), pair_plan(spark, sf_dir))
+
+
+def diff_counts_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.diff_counts(diff.diff_pairs(benchmark_sequences(spark, sf_dir)), pair_plan(spark, sf_dir))
 
 
+def diff_counts_of_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only pairs of neighbours in the manifest's order."""
+    plan = groups.pair_plan(_count(spark, sf_dir)).filter("second_index = first_index + 1")
+    return diff.with_zeros(diff.count_differences(benchmark_sequences(spark, sf_dir), plan), plan)
+
+
 def row_text_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.as_lines(diff.one_vs_many(benchmark_sequences(spark, sf_dir), MAX_S))
 
@@ -288,9 +297,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         manifest_parse, manifest_violations, sequence_count, fasta_parse, select_sequences, sequences_from_table, interval_slice, sequence_labels, positional_explode, null_padding, equal_substitution,
         keep_differing_rows, wide_layout, row_text_format, pair_plan, chunk_plan, plan_statistics, diff_one_vs_many, diff_one_vs_many_compact, diff_one_vs_rest, diff_pairs_outer_form, diff_pairs_of_plan, union_sides, diff_by_group,
-        longest_sequence, diff_counts, sorted_diff, sink_distributed, sink_merged, sink_none, sink_lines, destination_names, incremental_diff, manifest_files, fasta_files,
+        longest_sequence, diff_counts, diff_counts_of_rows, diff_counts_of_plan, sorted_diff, sink_distributed, sink_merged, sink_none, sink_lines, destination_names, incremental_diff, manifest_files, fasta_files,
     )
-} | {"diff_pairs": _pairs("allele")} | {f"diff_pairs_{s}": _pairs(s) for s in ("join", "group", "block")}
+} | {"diff_pairs": _pairs("allele")} | {f"diff_pairs_{s}": _pairs(s) for s in ("join", "group", "block", "consensus")}
 
 ORACLE_SQL: dict[str, str] = {
     "manifest_parse": f"with {_SQL_PARSED} select * from parsed",
@@ -337,10 +346,12 @@ ORACLE_SQL: dict[str, str] = {
     "diff_by_group": _groups_sql(_CANONICAL),
     "longest_sequence": f"with {_MEMBERS} select first_index, chunk, max(length(q)) longest from ms group by all",
     "diff_counts": f"with d as ({_PAIRS}) select a.item_id first_index, b.item_id second_index, (select count(*) from d where d.first_index = a.item_id and d.second_index = b.item_id) n_diffs from benchmark a join benchmark b on a.item_id < b.item_id",
+    "diff_counts_of_rows": f"with d as ({_PAIRS}) select a.item_id first_index, b.item_id second_index, (select count(*) from d where d.first_index = a.item_id and d.second_index = b.item_id) n_diffs from benchmark a join benchmark b on a.item_id < b.item_id",
+    "diff_counts_of_plan": f"with d as ({_PAIRS}) select a.item_id first_index, b.item_id second_index, (select count(*) from d where d.first_index = a.item_id and d.second_index = b.item_id) n_diffs from benchmark a join benchmark b on b.item_id = a.item_id + 1",
     "sink_distributed": _groups_sql(
         "case when c is null then '' when c = first_letter then '=' else c end || ','", _REST,
         f"select g.first_index, g.chunk, \"Index\", first_letter, left(letters, length(letters) - 1) letters, group_name from g join (select first_index, chunk, {_NAMES} group_name from e group by first_index, chunk) using (first_index, chunk)",
     ),
     "destination_names": f"with {_CHUNKS} select first_index, chunk, {_NAMES} group_name from e group by first_index, chunk",
     "incremental_diff": f'with {_SEQ}, {_SUPPLIERS} select p.i new_index, t.i known_index, p."Index", p.c new_letter, t.c known_letter from p join t on p."Index" = t."Index" and p.c <> t.c',
-} | {name: _PAIRS for name in ("diff_pairs", "diff_pairs_join", "diff_pairs_group", "diff_pairs_block", "diff_pairs_outer_form", "sorted_diff", "sink_none", "sink_merged")}
+} | {name: _PAIRS for name in ("diff_pairs", "diff_pairs_join", "diff_pairs_group", "diff_pairs_block", "diff_pairs_consensus", "diff_pairs_outer_form", "sorted_diff", "sink_none", "sink_merged")}

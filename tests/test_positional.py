@@ -2,19 +2,20 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lockstep.compare import compare_files
 from lockstep.functions import text as tx
-from lockstep.operators import diff, layout, positions, sinks
+from lockstep.operators import diff, layout, packed, positions, sinks
 from lockstep.plans import groups
 from lockstep.sources import fasta, manifest, shared
 from lockstep.streaming import incremental
 
 MICRO = ["AAAAA", "ACGAA", "GAGCA", "ATAAAT"]
-STRATEGIES = ("join", "group", "allele", "block")
+STRATEGIES = ("join", "group", "allele", "block", "consensus")
 
 
 def sequences(spark, texts):
@@ -41,6 +42,10 @@ def plain_groups(texts, max_s):
     return out
 
 
+def plain_counts(pairs):
+    return {(*k, n) for k, n in Counter(x[:2] for x in pairs).items()}
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -68,9 +73,9 @@ def test_random_sequences(spark, seed):
     for max_s in (1, 2, 3, 50):
         found = [tuple(r) for r in diff.one_vs_many(seqs, max_s).select("first_index", "chunk", "Index", "first_letter", "letters").collect()]
         assert sorted(found, key=str) == sorted(plain_groups(texts, max_s), key=str)
-    members = positions.members_of(groups.exploded(groups.chunk_plan(manifest.sequence_count(seqs), 3)), seqs)
-    merged = diff.diff_by_group(positions.pad_positions(members, ["first_index", "chunk"]))
-    assert sorted(map(str, map(tuple, merged.select("first_index", "chunk", "Index", "first_letter", "letters").collect()))) == sorted(map(str, plain_groups(texts, 3)))
+        merged = diff.diff_by_group(seqs, max_s).select("first_index", "chunk", "Index", "first_letter", "letters")
+        assert sorted(map(str, map(tuple, merged.collect()))) == sorted(map(str, plain_groups(texts, max_s)))
+    assert {tuple(r) for r in diff.count_differences(seqs).collect()} == plain_counts(expected)
 
 
 def test_properties(spark):
@@ -184,23 +189,82 @@ def test_long_uneven_sequences(spark):
             letters[at] = rng.choice("ACGTN")
         texts.append("".join(letters[: 3000 - 400 * (k % 3)]))
     seqs = sequences(spark, texts)
-    for size in (None, 7):
-        found = [tuple(r) for r in diff.one_vs_many(seqs, 2, size=size).select("first_index", "chunk", "Index", "first_letter", "letters").collect()]
+    for found in (diff.one_vs_many(seqs, 2), diff.diff_by_group(seqs, 2)):
+        found = [tuple(r) for r in found.select("first_index", "chunk", "Index", "first_letter", "letters").collect()]
         assert sorted(found, key=str) == sorted(plain_groups(texts, 2), key=str)
+    assert {tuple(r) for r in diff.count_differences(seqs).collect()} == plain_counts(plain_pairs(texts))
+    cut = packed.blocks(seqs, size=diff.BLOCK)
+    for strategy in ("block", "consensus"):
+        assert rows(diff.diff_pairs(cut, strategy)) == plain_pairs(texts)
     for strategy in STRATEGIES:
         assert rows(diff.diff_pairs(seqs, strategy)) == plain_pairs(texts)
 
 
-def test_unpadded_groups(spark):
+def test_members_are_padded(spark):
     texts = ["ACGTA", "AC", "", "ACTA", "GCGTTT", "A"]
     seqs = sequences(spark, texts)
-    plan = groups.chunk_plan(manifest.sequence_count(seqs), 3)
-    members = positions.members_of(groups.exploded(plan), seqs)
-    bare = diff.diff_by_group(positions.member_positions(members), plan.select("first_index", "chunk", F.size("second_indices").alias("n")))
-    padded = diff.diff_by_group(positions.pad_positions(members, ["first_index", "chunk"]))
-    columns = ["first_index", "chunk", "Index", "first_letter", "letters"]
-    want = sorted(plain_groups(texts, 3), key=str)
-    assert sorted((tuple(r) for r in bare.select(*columns).collect()), key=str) == want == sorted((tuple(r) for r in padded.select(*columns).collect()), key=str)
+    plan = groups.exploded(groups.chunk_plan(manifest.sequence_count(seqs), 3))
+    members = positions.members_of(plan, seqs)
+    sizes = Counter((r.first_index, r.chunk, r.side, r.ordinal) for r in positions.pad_positions(members, ["first_index", "chunk"]).collect())
+    longest = {(r.first_index, r.chunk): r.longest for r in positions.longest_sequence(members, ["first_index", "chunk"]).collect()}
+    assert all(n == longest[k[:2]] for k, n in sizes.items())
+
+
+def join_rows(df):
+    """The result, and the rows that each join of its plan made."""
+    found, waiting, made = df.collect(), [df._jdf.queryExecution().executedPlan()], []
+    while waiting:
+        node = waiting.pop()
+        waiting += [node.children().apply(k) for k in range(node.children().size())]
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+    return found, made
+
+
+def test_a_plan_is_followed_and_not_filtered(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(600)) for _ in range(40)]
+    plan = spark.createDataFrame([(i, i + 1) for i in range(39)] + [(0, 1), (7, 3)], "first_index long, second_index long")
+    want = sorted([x for x in plain_pairs(texts) if x[1] == x[0] + 1] + [(7, 3, k, b, a) for i, j, k, a, b in plain_pairs(texts) if (i, j) == (3, 7)])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seqs = sequences(spark, texts)
+        found, made = join_rows(diff.diff_pairs(seqs, plan=plan))
+        assert sorted(map(tuple, found)) == want and len(made) == 2 and max(made) <= 40 * 3
+        found, made = join_rows(diff.count_differences(seqs, plan))
+        assert {tuple(r) for r in found} == plain_counts(want) and max(made) <= 40 * 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_counts_open_no_letters(spark):
+    plan = diff.count_differences(sequences(spark, MICRO))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == plan.count("regexp_extract_all")  # the cut into blocks alone
+
+
+def test_words_of_sixty_four_letters(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("AB", "AB", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0é🙂") for n in (63, 64, 65, 128, 129)]
+    assert {tuple(r) for r in diff.count_differences(sequences(spark, texts)).collect()} == plain_counts(plain_pairs(texts))
+    assert diff.count_differences(sequences(spark, [])).count() == 0 and diff.count_differences(sequences(spark, ["", "AAA", "AAA"])).count() == 0
+    cut = packed.blocks(sequences(spark, texts), size=packed.WORD)
+    masks = {(r.block, tuple(r.at)) for r in packed.varying_masks(packed.planes(cut, packed.alphabet(cut))).select("block", packed.places(F.col("mask")).alias("at")).collect()}
+    want = {b: tuple(k for k in range(64) if len({t[64 * b + k] for t in texts if len(t) > 64 * b + k}) > 1) for b in range(3)}
+    assert masks == {(b, at) for b, at in want.items() if at}
+
+
+def test_few_deviations_are_kept(spark):
+    rng = random.Random(10)
+    base = [rng.choice("ACGT") for _ in range(900)]
+    texts = []
+    for k in range(9):
+        own = list(base)
+        for at in rng.sample(range(900), 4):
+            own[at] = "N"
+        texts.append("".join(own[: 900 - 50 * (k % 2)]))
+    rows_kept = diff.deviations(sequences(spark, texts)).collect()
+    assert len(rows_kept) <= 36 and {r.letter for r in rows_kept} == {"N"}
 
 
 def test_no_row_carries_a_whole_sequences_letters(spark):
