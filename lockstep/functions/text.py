@@ -35,12 +35,15 @@ def fasta_body(text: Column) -> Column:
     return F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), strip_right), "")
 
 
+def bounds(n: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Where ``[start:end]`` begins and stops in a sequence of ``n`` letters, by Python's rules; an end of ``L-1`` means up to the last letter."""
+    clipped = lambda k: F.when(k < 0, F.greatest(n + k, F.lit(0))).otherwise(F.least(k, n))
+    return clipped(start.cast("long")), F.when(end == "L-1", n).otherwise(clipped(end.try_cast("long")))
+
+
 def interval(seq: Column, start: Column, end: Column) -> Column:
     """``seq[start:end]`` with Python's rules. ``start`` and ``end`` are texts; an end of ``L-1`` means up to the last letter."""
-    n = F.length(seq).cast("long")
-    clipped = lambda k: F.when(k < 0, F.greatest(n + k, F.lit(0))).otherwise(F.least(k, n))
-    first = clipped(start.cast("long"))
-    stop = F.when(end == "L-1", n).otherwise(clipped(end.try_cast("long")))
+    first, stop = bounds(F.length(seq).cast("long"), start, end)
     return F.substring(seq, (first + 1).cast("int"), F.greatest(stop - first, F.lit(0)).cast("int"))
 
 

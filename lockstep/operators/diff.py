@@ -79,6 +79,13 @@ def _opened(met: DataFrame, size: int) -> DataFrame:
     return both.select("first_index", "second_index", (F.col("block").cast("long") * size + F.col("at")).alias("Index"), F.col("z.x").alias("first_letter"), F.col("z.y").alias("second_letter"))
 
 
+def opened_pairs(met: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``PAIR_COLUMNS`` of pairs of blocks ``i, j, block, x, y`` in any order; the smaller index comes first."""
+    ahead = F.col("i") < F.col("j")
+    pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    return _opened(met.select(pick("i", "j").alias("first_index"), pick("j", "i").alias("second_index"), "block", pick("x", "y").alias("x"), pick("y", "x").alias("y")), size).select(*PAIR_COLUMNS)
+
+
 def _by_block(sequences: DataFrame, size: int = BLOCK) -> DataFrame:
     a, b = (blocks(sequences, size=size).alias(x) for x in "ab")
     on = (F.col("a.block") == F.col("b.block")) & (F.col("a.seq_index") < F.col("b.seq_index")) & (F.col("a.part") != F.col("b.part"))

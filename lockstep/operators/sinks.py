@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,6 +22,28 @@ def write_distributed(df: DataFrame, path: str, mode: str = "append", by: str |
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_bucketed(df: DataFrame, path: str, by: str = "group_name", files: int = 200) -> None:
+    """All groups in at most ``files`` CSV files: groups are dealt to files by hash and lie there one after the other, each sorted by position.
+
+    Below ``path``, ``rows`` holds the files and ``index`` (Parquet) a row for each group: ``group, file, first_row, rows``. Fails if the path exists."""
+    spark = df.sparkSession
+    dealt = df.repartition(files, by).sortWithinPartitions(by, F.col("Index").asc_nulls_last())
+    dealt.write.mode("errorifexists").options(**_CSV).csv(f"{path}/rows")
+    names = spark.read.schema(df.schema).options(**_CSV, multiLine=True).csv(f"{path}/rows").select(F.col(by).alias("group"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+    counted = names.groupBy("group", "file").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("file").orderBy("group")) - F.col("rows")
+    counted.select("group", "file", before.alias("first_row"), "rows").sort("group").write.mode("errorifexists").parquet(f"{path}/index")
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: StructType | str, group: str | None = None, by: str = "group_name") -> DataFrame:
+    """What :func:`write_bucketed` wrote: all of it, or one group, of which only its file is read."""
+    if group is None:
+        return read_csv(spark, f"{path}/rows", schema)
+    files = [r["file"] for r in spark.read.parquet(f"{path}/index").filter(F.col("group") == group).select("file").distinct().collect()]  # one
+    rows = read_csv(spark, [f"{path}/rows/{f}" for f in files] or f"{path}/rows", schema)
+    return rows.filter(F.col(by) == group)
+
+
 def write_merged(df: DataFrame, path: str, mode: str = "append") -> None:
     """One CSV file, sorted by position. For results that one task can write (all before the writing stays spread); else :func:`write_distributed`."""
     df.repartition(1).sortWithinPartitions(F.col("Index").asc_nulls_last()).write.mode(mode).options(**_CSV).csv(path)
@@ -40,7 +62,7 @@ def write_lines(lines: DataFrame, path: str, headers: DataFrame | None = None) -
     parts.select("line", "group_name").write.mode("errorifexists").partitionBy("group_name").text(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """What the two writers wrote; letters may be line ends, quotes or blanks."""
     return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
 

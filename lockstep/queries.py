@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lockstep.compare import compare_files
 from lockstep.functions.text import interval
 from lockstep.operators import diff, layout, positions, sinks
 from lockstep.plans import groups
@@ -261,6 +262,42 @@ def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_sequences(spark, listed)
 
 
+def fasta_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files and intervals, read line by line into blocks, as for sequences that are too long for a row."""
+    files, _ = _files(spark, sf_dir)
+    listed = files.select("seq_index", "path", (F.col("seq_index") % 7).cast("string").alias("start_pos"), F.when(F.col("seq_index") % 2 == 0, "L-1").otherwise((F.col("seq_index") % 300).cast("string")).alias("end_pos"))
+    return fasta.read_blocks(spark, listed)
+
+
+def compare_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a manifest's text to differences in one call: a file for each benchmark text, each against chunks of the later ones."""
+    folder = fresh_path(spark, "compared")
+    sequences = benchmark_sequences(spark, sf_dir).withColumn("seq", F.translate("seq", "\n", "/"))
+    sequences.select("seq_index", F.concat(F.lit(">"), "seq_id", F.lit(" |x\n"), "seq").alias("value")).write.partitionBy("seq_index").text(f"{folder}/files")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/files").select("path")
+    lines = listed.select(F.regexp_extract("path", "/seq_index=([0-9]+)/", 1).cast("long").alias("k"), F.concat(F.lit(f"{folder}/files"), F.regexp_extract("path", "/seq_index=.*$", 0), F.lit(", [0,L-1]")).alias("line"))
+    lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("value")).write.text(f"{folder}/list")  # a line a file
+    return _letters(compare_files(spark, f"{folder}/list", "None", max_s=MAX_S))
+
+
+def sink_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All groups in at most eight files, with an index."""
+    found = sinks.flat(diff.one_vs_many(benchmark_sequences(spark, sf_dir)))
+    path, names = fresh_path(spark, "bucketed"), layout.named_groups(groups.chunk_plan(_count(spark, sf_dir)))
+    sinks.write_bucketed(found.join(names, ["first_index", "chunk"]), path, files=8)
+    return sinks.read_bucketed(spark, path, "first_index long, chunk long, Index long, first_letter string, letters string, group_name string")
+
+
+def incremental_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts arrive in several batches and meet the suppliers' names (numbered below zero) and each other."""
+    folder = fresh_path(spark, "arriving")
+    texts = table(spark, sf_dir, "benchmark")
+    texts.repartition(6).write.parquet(folder)
+    arriving = fasta.sequences_from_table(spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2).parquet(folder), "item_id", "text")
+    known = fasta.sequences_from_table(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name").withColumn("seq_index", -1 - F.col("seq_index"))
+    return incremental.compare_arrivals(arriving, known, fresh_path(spark, "index"), fresh_path(spark, "found"), fresh_path(spark, "progress"))
+
+
 def sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder a group of text lines under a header."""
     plan, path = groups.chunk_plan(_count(spark, sf_dir), MAX_S), fresh_path(spark, "lines")
@@ -297,7 +334,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         manifest_parse, manifest_violations, sequence_count, fasta_parse, select_sequences, sequences_from_table, interval_slice, sequence_labels, positional_explode, null_padding, equal_substitution,
         keep_differing_rows, wide_layout, row_text_format, pair_plan, chunk_plan, plan_statistics, diff_one_vs_many, diff_one_vs_many_compact, diff_one_vs_rest, diff_pairs_outer_form, diff_pairs_of_plan, union_sides, diff_by_group,
-        longest_sequence, diff_counts, diff_counts_of_rows, diff_counts_of_plan, sorted_diff, sink_distributed, sink_merged, sink_none, sink_lines, destination_names, incremental_diff, manifest_files, fasta_files,
+        longest_sequence, diff_counts, diff_counts_of_rows, diff_counts_of_plan, sorted_diff, sink_distributed, sink_merged, sink_none, sink_lines, destination_names, incremental_diff, manifest_files, fasta_files, fasta_blocks, compare_manifest, sink_bucketed, incremental_pairs,
     )
 } | {"diff_pairs": _pairs("allele")} | {f"diff_pairs_{s}": _pairs(s) for s in ("join", "group", "block", "consensus")}
 
@@ -331,6 +368,10 @@ ORACLE_SQL: dict[str, str] = {
     "fasta_files": r"""with t as (select doc_id, lang, doc_id % 7 s, doc_id % 300 z, string_split(regexp_replace('>doc ' || doc_id || ' |' || lang || chr(10) || coalesce(text, '') || chr(10), '\r\n?', chr(10), 'g'), chr(10)) ls from documents),
       u as (select *, array_to_string(list_transform(ls[2:], lambda y: regexp_replace(y, '\s+$', '')), '') q from t)
       select doc_id seq_index, 'doc' || doc_id seq_id, case when doc_id % 2 = 0 then substring(q, s + 1) else substring(q, s + 1, greatest(least(z, length(q)) - s, 0)) end seq from u""",
+    "fasta_blocks": r"""with t as (select doc_id, lang, doc_id % 7 s, doc_id % 300 z, string_split(regexp_replace('>doc ' || doc_id || ' |' || lang || chr(10) || coalesce(text, '') || chr(10), '\r\n?', chr(10), 'g'), chr(10)) ls from documents),
+      u as (select *, array_to_string(list_transform(ls[2:], lambda y: regexp_replace(y, '\s+$', '')), '') q from t),
+      v as (select doc_id seq_index, 'doc' || doc_id seq_id, case when doc_id % 2 = 0 then substring(q, s + 1) else substring(q, s + 1, greatest(least(z, length(q)) - s, 0)) end seq from u)
+      select seq_index, b::int "block", substring(seq, b * 256 + 1, 256) part from (select *, unnest(range((length(seq) + 255) // 256)) b from v)""",
     "manifest_files": "select doc_id seq_index, 'file not found' violation from documents where doc_id % 10 = 0",
     "pair_plan": "select a.item_id first_index, b.item_id second_index from benchmark a join benchmark b on a.item_id < b.item_id",
     "chunk_plan": f"with {_CHUNKS} select first_index, chunk, string_agg(second_index::varchar, ',' order by ordinal) second_indices from e group by all",
@@ -352,6 +393,9 @@ ORACLE_SQL: dict[str, str] = {
         "case when c is null then '' when c = first_letter then '=' else c end || ','", _REST,
         f"select g.first_index, g.chunk, \"Index\", first_letter, left(letters, length(letters) - 1) letters, group_name from g join (select first_index, chunk, {_NAMES} group_name from e group by first_index, chunk) using (first_index, chunk)",
     ),
+    "compare_manifest": _groups_sql(_CANONICAL).replace("text q", "translate(text, chr(10), '/') q"),
+    "incremental_pairs": f"{_PAIRS} union all select -1 - t.i, p.i, p.\"Index\", t.c, p.c from p join ({_SUPPLIERS[_SUPPLIERS.index('(') + 1 : -1]}) t on p.\"Index\" = t.\"Index\" and p.c <> t.c",
     "destination_names": f"with {_CHUNKS} select first_index, chunk, {_NAMES} group_name from e group by first_index, chunk",
     "incremental_diff": f'with {_SEQ}, {_SUPPLIERS} select p.i new_index, t.i known_index, p."Index", p.c new_letter, t.c known_letter from p join t on p."Index" = t."Index" and p.c <> t.c',
 } | {name: _PAIRS for name in ("diff_pairs", "diff_pairs_join", "diff_pairs_group", "diff_pairs_block", "diff_pairs_consensus", "diff_pairs_outer_form", "sorted_diff", "sink_none", "sink_merged")}
+ORACLE_SQL["sink_bucketed"] = ORACLE_SQL["sink_distributed"]

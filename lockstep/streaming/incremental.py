@@ -1,12 +1,16 @@
-"""Sequences that arrive in a folder, compared with a set at hand as they arrive."""
+"""Sequences that arrive in a folder, compared as they arrive: with a set at hand, or with all that is known by then."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.operators.diff import BLOCK, BROADCAST_BLOCKS, PAIR_COLUMNS, opened_pairs
+from lockstep.operators.packed import blocks
 from lockstep.operators.positions import explode_positions
 
+INDEX = "seq_index long, block int, part string, batch long"
+
 
 def diff_against(arriving: DataFrame, at_hand: DataFrame) -> DataFrame:
     """``new_index, known_index, Index, new_letter, known_letter``. ``arriving`` may be a stream: the join is stateless."""
@@ -19,3 +23,29 @@ def write_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Processes what has arrived so far, appends it as Parquet and stops; a later call goes on from there."""
     query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def compare_arrivals(stream: DataFrame, known: DataFrame, index: str, out: str, checkpoint: str) -> DataFrame:
+    """Compares each arriving sequence with the known ones, with all that arrived in earlier batches and with those of its own batch; processes what is
+    there and stops, and a later call goes on. Returns what was found so far: ``PAIR_COLUMNS``, the smaller index first. Indices must not repeat.
+
+    Below ``index`` the sequences are kept in blocks, one folder a batch (``batch=-1``: the known ones). A batch writes its blocks, and below ``out`` its
+    differences, into folders of its number in place of what is there, so a batch that is processed again writes nothing twice. Only its own
+    blocks are sent to the known ones, as long as they are few; the known ones are read where they lie."""
+    spark = known.sparkSession
+    blocks(known, size=BLOCK).write.mode("overwrite").parquet(f"{index}/batch=-1")
+
+    def process(arrived: DataFrame, batch: int) -> None:
+        blocks(arrived, size=BLOCK).write.mode("overwrite").parquet(f"{index}/batch={batch}")
+        here = spark.read.schema(INDEX).parquet(index)
+        new, old = here.filter(F.col("batch") == batch).drop("batch"), here.filter(F.col("batch") < batch).drop("batch")
+        few = F.broadcast(new) if new.count() <= BROADCAST_BLOCKS else new
+        apart = (F.col("a.block") == F.col("b.block")) & (F.col("a.part") != F.col("b.part"))
+        pairs = lambda left, on: left.alias("a").join(few.alias("b"), on).select(F.col("a.seq_index").alias("i"), F.col("b.seq_index").alias("j"), "a.block", F.col("a.part").alias("x"), F.col("b.part").alias("y"))
+        both = pairs(old, apart).unionByName(pairs(new, apart & (F.col("a.seq_index") < F.col("b.seq_index"))))
+        opened_pairs(both, BLOCK).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in zip(PAIR_COLUMNS, ("long", "long", "long", "string", "string"), strict=True))).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select(*PAIR_COLUMNS)

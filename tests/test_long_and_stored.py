@@ -1,0 +1,121 @@
+"""Sequences longer than a row, groups in bucketed files, and arrivals that meet all that came before."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lockstep.operators import diff, sinks
+from lockstep.operators.packed import blocks
+from lockstep.sources import fasta
+from lockstep.streaming import incremental
+
+
+def manifest_of(spark, rows):
+    return spark.createDataFrame(rows, "seq_index long, path string, start_pos string, end_pos string")
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_blocks_are_those_of_whole_sequences(spark, tmp_path, small_splits):
+    rng = random.Random(1)
+    texts = {
+        "long": ">long |x\n" + "\n".join("".join(rng.choice("ACGTé🙂") for _ in range(rng.choice((0, 1, 59, 60, 61, 700)))) + rng.choice(("", " ", "\t")) for _ in range(120)), "crlf": ">c\r\n" + "\r\n".join("ACGT" * 20 for _ in range(40)) + "\r\n",
+        "cr": ">cr\rAC\rGT", "empty": "", "head": ">only a header", "none": "first line lost\nACGT\n>q\nTT\n", "one": ">one\n" + "ACGTN" * 500, "a b%": ">x\nAC\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    spans = [("0", "L-1"), ("3", "L-1"), ("-300", "-7"), ("250", "900"), ("5", "5"), ("10", "3"), ("0", "1000000")]
+    rows = [(k, str(tmp_path / n), *s) for k, (n, s) in enumerate((n, s) for n in texts for s in spans)]
+    listed = manifest_of(spark, rows)
+    for size in (256, 7):
+        want = sorted(map(tuple, blocks(fasta.read_sequences(spark, listed), size=size).collect()))
+        assert sorted(map(tuple, fasta.read_blocks(spark, listed, size).collect())) == want
+    assert spark.read.text(str(tmp_path / "long")).rdd.getNumPartitions() > 5
+    with pytest.raises(FileNotFoundError, match="gone"):
+        fasta.read_blocks(spark, manifest_of(spark, [(0, str(tmp_path / "gone"), "0", "L-1")]))
+    assert fasta.read_blocks(spark, manifest_of(spark, [(0, str(tmp_path / "empty"), "0", "L-1")])).count() == 0
+
+
+def test_differences_of_long_sequences(spark, tmp_path, small_splits):
+    rng = random.Random(2)
+    base = [rng.choice("ACGT") for _ in range(20_000)]
+    for k in range(4):
+        own = list(base)
+        for at in rng.sample(range(20_000), 9):
+            own[at] = rng.choice("ACGT")
+        text = "".join(own)[: 20_000 - 3000 * k]
+        (tmp_path / str(k)).write_text(f">s{k}\n" + "\n".join(text[i : i + 70] for i in range(0, len(text), 70)))
+    listed = manifest_of(spark, [(k, str(tmp_path / str(k)), "0", "L-1") for k in range(4)])
+    cut, whole = fasta.read_blocks(spark, listed), fasta.read_sequences(spark, listed)
+    want = sorted(map(tuple, diff.diff_pairs(whole).collect()))
+    assert want and sorted(map(tuple, diff.diff_pairs(cut, "block").collect())) == want == sorted(map(tuple, diff.diff_pairs(cut, "consensus").collect()))
+    words = fasta.read_blocks(spark, listed, 64)
+    assert sorted(map(tuple, diff.count_differences(words).collect())) == sorted(map(tuple, diff.count_differences(whole).collect()))
+
+
+def test_many_groups_in_few_files(spark, tmp_path):
+    shape = "group_name string, Index long, first_letter string, letters string"
+    rows = spark.range(20_000).select(F.concat(F.lit("g"), (F.col("id") % 10_000).cast("string")).alias("group_name"), (F.col("id") * 7 % 20_000).alias("Index"), F.when(F.col("id") % 9 == 0, "\n").otherwise('"').alias("first_letter"), F.lit(",=,").alias("letters"))
+    path = str(tmp_path / "out")
+    sinks.write_bucketed(rows, path, files=5)
+    assert len([f for f in os.listdir(f"{path}/rows") if f.endswith(".csv")]) <= 5
+    key = lambda df: sorted(map(tuple, df.select(*shape.replace(" string", "").replace(" long", "").split(", ")).collect()))
+    assert key(sinks.read_bucketed(spark, path, shape)) == key(rows)
+    for name in ("g0", "g77", "g9999", "none"):
+        assert key(sinks.read_bucketed(spark, path, shape, name)) == key(rows.filter(F.col("group_name") == name))
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert len(index) == 10_000 and sum(r["rows"] for r in index) == 20_000
+    for file in {r["file"] for r in index}:
+        at = 0
+        for r in sorted((r for r in index if r["file"] == file), key=lambda r: r["group"]):
+            assert r["first_row"] == at
+            at += r["rows"]
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_bucketed(rows, path)
+
+
+def test_arrivals_meet_all_that_came_before(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    texts = {k: "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 5, 300, 600)))) for k in range(-4, 12)}
+    known = spark.createDataFrame([(k, "s", t) for k, t in texts.items() if k < 0], "seq_index long, seq_id string, seq string")
+    box, index, out, progress = (str(tmp_path / n) for n in ("box", "index", "out", "progress"))
+
+    def arrive(of):
+        spark.createDataFrame([(k, "s", texts[k]) for k in of], known.schema).coalesce(1).write.mode("append").parquet(box)
+
+    def run():
+        stream = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", 1).parquet(box)
+        return sorted(map(tuple, incremental.compare_arrivals(stream, known, index, out, progress).collect()))
+
+    def plain(upto):
+        ids = [k for k in texts if k < upto]
+        return sorted((i, j, n, a, b) for i in ids for j in ids if i < j and j >= 0 for n, (a, b) in enumerate(zip(texts[i], texts[j])) if a != b)
+
+    arrive(range(3))
+    arrive(range(3, 5))
+    assert run() == plain(5)
+    arrive(range(5, 8))
+    arrive(range(8, 12))
+    real, calls = incremental.opened_pairs, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost in the middle")
+        return real(*args)
+
+    monkeypatch.setattr(incremental, "opened_pairs", failing)
+    with pytest.raises(Exception, match="lost in the middle"):
+        run()
+    monkeypatch.setattr(incremental, "opened_pairs", real)
+    assert run() == plain(12) == run()
