@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lockstep.functions.text import bounds, fasta_body, fasta_id, interval, strip_right
-from lockstep.sources.files import existing_files
+from lockstep.sources.files import LISTED, escaped, existing_files, folders_of, full_path, uri_form
 
 
 def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``path, text``: one row a file that is not empty; the path as a URI."""
-    return spark.read.text(paths, wholetext=True).select(_uri(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
-
-
-def _uri(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "file:/")
+    """``path, text``: one row a file that is not empty, below folders too; the path as a URI."""
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(uri_form(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
 def parse_fasta(texts: DataFrame) -> DataFrame:
@@ -31,36 +25,40 @@ def slice_sequences(sequences: DataFrame) -> DataFrame:
 
 
 def _listed(spark: SparkSession, manifest: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The manifest's files (``path, uri, length``), and the paths of those that hold something, as Spark's readers take them."""
+    """The manifest's files (``path, uri, length``), and paths for Spark's readers: those files that hold something, or the folders of very many."""
     files = existing_files(spark, manifest)
     missing = sorted(r["path"] for r in manifest.select("path").distinct().join(files, "path", "left_anti").limit(10).collect())
     if missing:
         raise FileNotFoundError(f"not found: {', '.join(missing)}")
-    full = [r["uri"] for r in files.filter("length > 0").select("uri").distinct().collect()]
-    path_of = lambda uri: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
-    return files, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path_of(u)) for u in full]  # Spark takes these as patterns else
+    full = files.filter("length > 0").select("uri").distinct()
+    few = [r["uri"] for r in full.limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:
+        return files, [escaped(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(u)).toString()) for u in few]
+    return files, [escaped(f) for f in folders_of(spark, manifest.select(full_path(spark, F.col("path")).alias("full")))]
 
 
 def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The sequences of a parsed manifest; only the list of paths passes through the driver. A sequence is one row: for longer ones see :func:`read_blocks`.
+    """The sequences of a parsed manifest; lists of over ``LISTED`` paths do not pass through the driver (all files of their folders are read then). A sequence is one row: for longer ones see :func:`read_blocks`.
 
     Relative paths start at the working folder of their file system, as everywhere in Spark. FileNotFoundError for a path that
     is no file; a file whose text then is not found ends the job with an error, so no sequence is ever left out.
     """
     files, plain = _listed(spark, manifest)
     texts = read_texts(spark, plain) if plain else spark.createDataFrame([], "path string, text string")
-    named = manifest.join(files, "path").join(texts.withColumnRenamed("path", "_path"), _uri(F.col("uri")) == F.col("_path"), "left")
+    named = manifest.join(files, "path").join(texts.withColumnRenamed("path", "_path"), uri_form(F.col("uri")) == F.col("_path"), "left")
     text = F.when(F.col("length") == 0, "").when(F.col("text").isNull(), F.raise_error(F.concat(F.lit("no text read for "), "path"))).otherwise(F.col("text"))
     cut = named.withColumn("text", text).select("seq_index", fasta_id(F.col("text")).alias("seq_id"), fasta_body(F.col("text")).alias("seq"), "start_pos", "end_pos")
     return slice_sequences(cut)
 
 
-def body_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def body_lines(spark: SparkSession, paths: list[str], wanted: DataFrame | None = None) -> DataFrame:
     """``file, at, text, total``: each line after a file's first one, cut at the right, where it begins in the file's body and how long that is.
 
     Lines are read split by split and keep their split's place in the file. Lengths are summed inside splits, and the splits' sums, a
-    row for each, across them: no file passes through one task, and no row is longer than a line."""
-    lines = spark.read.text(paths).select(_uri(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k"), "value")
+    row for each, across them: no file passes through one task, and no row is longer than a line. ``wanted``: the files (``of``) to keep."""
+    lines = spark.read.text(paths, recursiveFileLookup=True).select(uri_form(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k"), "value")
+    if wanted is not None:
+        lines = lines.join(wanted.select(F.col("of").alias("file")).distinct(), "file", "left_semi")
     order = Window.partitionBy("file", "split").orderBy("k")
     head = (F.col("split") == 0) & (F.row_number().over(order) == 1)
     lines = lines.withColumn("text", F.when(head, F.lit("")).otherwise(strip_right(F.col("value")))).drop("value")
@@ -80,8 +78,8 @@ def read_blocks(spark: SparkSession, manifest: DataFrame, size: int = 256) -> Da
     files, plain = _listed(spark, manifest)
     if not plain:
         return spark.createDataFrame([], "seq_index long, block int, part string")
-    named = manifest.join(files, "path").filter("length > 0").select("seq_index", "start_pos", "end_pos", _uri(F.col("uri")).alias("of"))
-    met = body_lines(spark, plain).join(named, F.col("file") == F.col("of"))
+    named = manifest.join(files, "path").filter("length > 0").select("seq_index", "start_pos", "end_pos", uri_form(F.col("uri")).alias("of"))
+    met = body_lines(spark, plain, named).join(named, F.col("file") == F.col("of"))
     first, stop = bounds(F.col("total"), F.col("start_pos"), F.col("end_pos"))
     met = met.select("seq_index", "at", "text", first.alias("first"), stop.alias("stop"))
     low, high = F.greatest("at", "first"), F.least(F.col("at") + F.length("text"), "stop")

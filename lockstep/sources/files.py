@@ -1,15 +1,33 @@
-"""Which of a list of paths are files, by the file systems that Spark reads."""
+"""Which of a list of paths are files, by the file systems that Spark reads.
+
+Up to ``LISTED`` paths are asked one by one. Longer lists never pass through the driver: the folders that hold them (at most ``FOLDERS``; where they are more,
+folders above them) are listed by Spark without reading contents, and the list is joined with what they hold. Only paths that no listing
+shows, such as missing, empty or hidden files, are asked one by one then."""
 
 from __future__ import annotations
 
+import re
+
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+LISTED, FOLDERS = 1000, 1000
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
 
-def existing_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """``path, uri, length`` of those in the column ``path`` that are files: relative, remote and oddly named ones too.
 
-    A list of files is something the driver holds anyway to read them; each costs one question to its file system."""
+def uri_form(path: Column) -> Column:
+    """A URI as all readers are made to give it: local ones with one slash."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def escaped(path: str) -> str:
+    """A path as Spark's readers take it, which read some characters as patterns else."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _asked(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """Each path costs one question to its file system."""
     jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
     for row in paths.select("path").distinct().toLocalIterator():
         try:
@@ -22,3 +40,53 @@ def existing_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
         if status.isFile():
             found.append((row["path"], status.getPath().toUri().toString(), status.getLen()))
     return spark.createDataFrame(found, "path string, uri string, length long")
+
+
+def full_path(spark: SparkSession, path: Column) -> Column:
+    """The path with its file system and from its root, without empty, ``.`` and ``..`` parts."""
+    home = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).getWorkingDirectory()
+    system = re.sub("^file:/+$", "file:", re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?)?", home.toString())[0])
+    whole = F.when(path.rlike(_SCHEME), path).when(path.startswith("/"), F.concat(F.lit(system), path)).otherwise(F.concat(F.lit(home.toString() + "/"), path))
+    local = whole.rlike("^file:")
+    host = F.when(local, F.lit("file:")).otherwise(F.regexp_extract(whole, "^[^/]*//[^/]*|^[^/]*", 0))
+    rest = F.when(local, F.regexp_replace(whole, "^file:(//[^/]*(?=/))?", "")).otherwise(F.substring(whole, F.length(host) + 1, F.length(whole)))
+    parts = F.filter(F.split(rest, "/"), lambda x: (x != "") & (x != "."))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x))))
+    return F.concat(host, F.lit("/"), F.array_join(up, "/"))
+
+
+def _above(path: Column) -> Column:
+    """The folder of a full path; a root is its own."""
+    cut = F.regexp_replace(path, "(?s)/[^/]*$", "")
+    return F.when(cut.rlike("^[^/]*(//[^/]*)?$"), F.concat(cut, F.lit("/"))).otherwise(cut)
+
+
+def folders_of(spark: SparkSession, paths: DataFrame, most: int | None = None) -> list[str]:
+    """At most ``most`` folders that are there and under which all full paths (``full``) lie that exist, none within another (the roots of their file systems, if these alone are more)."""
+    above, most = paths.select(_above(F.col("full")).alias("folder")).distinct(), most or FOLDERS
+    depth = F.size(F.split("folder", "/"))
+    deepest = above.agg(F.max(depth)).first()[0] or 0
+    while above.limit(most + 1).count() > most and deepest > 2:
+        above = above.select(F.when(depth == deepest, _above(F.col("folder"))).otherwise(F.col("folder")).alias("folder")).distinct()
+        deepest -= 1
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for folder in sorted(r["folder"] for r in above.collect()):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(conf).exists(path) and not any(folder.startswith(o.rstrip("/") + "/") for o in out):
+            out.append(folder)
+    return out
+
+
+def existing_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """``path, uri, length`` of those in the column ``path`` that are files: relative, remote and oddly named ones too."""
+    wanted = paths.select("path").distinct()
+    if wanted.limit(LISTED + 1).count() <= LISTED:
+        return _asked(spark, wanted)
+    named = wanted.withColumn("full", full_path(spark, F.col("path")))
+    folders = folders_of(spark, named)
+    if not folders:
+        return _asked(spark, wanted)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([escaped(f) for f in folders])
+    listed = listed.select(F.col("path").alias("there"), uri_form(F.col("_metadata.file_path")).alias("uri"), F.col("length"))
+    found = named.join(listed, F.col("full") == F.col("there")).select("path", "uri", "length")
+    return found.unionByName(_asked(spark, wanted.join(found, "path", "left_anti")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lockstep.operators import diff, sinks
 from lockstep.operators.packed import blocks
-from lockstep.sources import fasta
+from lockstep.sources import fasta, files, manifest
 from lockstep.streaming import incremental
 
 
@@ -119,3 +119,36 @@ def test_arrivals_meet_all_that_came_before(spark, tmp_path, monkeypatch):
         run()
     monkeypatch.setattr(incremental, "opened_pairs", real)
     assert run() == plain(12) == run()
+
+
+def test_long_lists_of_files_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    names = ["a/1.fasta", "a/b c/2 é.fasta", "a/b c/x%25y.fasta", "a/[z]/{q}*.fasta", "a/[z]/_hidden", "c/d/e/f/3", "c/d/e/g/4", "c/empty"]
+    for k, name in enumerate(names):
+        os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
+        (tmp_path / name).write_text("" if name == "c/empty" else f">s{k}\nACGT{'A' * k}\n")
+    (tmp_path / "c/not wanted").write_text(">no\nTTTT")
+    here = os.path.relpath(tmp_path)
+    paths = [f"{tmp_path}/{n}" for n in names] + [f"file://{tmp_path}/a/1.fasta", f"file:{tmp_path}//a/./1.fasta", f"{here}/a/../a/1.fasta", f"{tmp_path}/c/d/e/f/../g/4"]
+    gone = [f"{tmp_path}/gone.fasta", f"{tmp_path}/no/folder/x", f"{tmp_path}/a", "nowhere"]
+    listed = manifest_of(spark, [(k, p, "0", "L-1") for k, p in enumerate(paths + gone)])
+    few = {r["path"]: (r["uri"], r["length"]) for r in files.existing_files(spark, listed).collect()}
+    assert set(few) == set(paths)
+    good = listed.filter(F.col("path").isin(paths) & ~F.col("path").contains("_hidden"))  # Spark's readers pass over such names, which is an error
+    want = [sorted(map(tuple, fasta.read_sequences(spark, good).collect())), sorted(map(tuple, fasta.read_blocks(spark, good).collect()))]
+    asked, real = [], files._asked
+    monkeypatch.setattr(files, "_asked", lambda s, p: asked.append([r["path"] for r in p.collect()]) or real(s, p))
+    monkeypatch.setattr(files, "LISTED", 2)
+    monkeypatch.setattr(fasta, "LISTED", 2)
+    for most in (1000, 4, 1):
+        monkeypatch.setattr(files, "FOLDERS", most)
+        asked.clear()
+        assert {r["path"]: (files_uri(r["uri"]), r["length"]) for r in files.existing_files(spark, listed).collect()} == {p: (files_uri(u), n) for p, (u, n) in few.items()}
+        assert set(asked[0]) == {*gone, f"{tmp_path}/a/[z]/_hidden", f"{tmp_path}/c/empty"}
+        assert sorted(map(tuple, fasta.read_sequences(spark, good).collect())) == want[0]
+        assert sorted(map(tuple, fasta.read_blocks(spark, good).collect())) == want[1]
+    bad = manifest.manifest_violations(listed.select("seq_index", F.concat("path", F.lit(", [0,L-1]")).alias("line")), files.existing_files(spark, listed))
+    assert {r["seq_index"] for r in bad.collect()} == {paths.index(paths[-1]) + 1 + k for k in range(len(gone))}
+
+
+def files_uri(uri):
+    return uri.replace("file:///", "file:/")
