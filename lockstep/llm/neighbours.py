@@ -309,7 +309,8 @@ def _exact(classes: DataFrame, sample: dict[int, np.ndarray], most: int) -> Data
 
 
 def chosen_share(classes: DataFrame, asking: DataFrame, bands: dict, tables: int, top: int, seed: int, aim: float = AIM) -> tuple[float, float]:
-    """The smallest share of ``SHARES`` under which a sample of the queries would meet their true neighbours, and the recall that it would have."""
+    """The smallest share of ``SHARES`` under which a sample of the queries would meet their true neighbours, and the recall that it would have. Where none
+    reaches ``aim``, the share is 1: the search is exact then."""
     picked = asking.select("cid", "vec").distinct().orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
     sample = {r["cid"]: np.array(r["vec"], np.float64) for r in picked}
     true = [r for r in _exact(classes, sample, top + 1).collect() if r["cid"] != r["query"]]  # at most SAMPLE * (top + 1)
@@ -330,8 +331,8 @@ def chosen_share(classes: DataFrame, asking: DataFrame, bands: dict, tables: int
     for share in SHARES:
         recall = float(np.mean(least <= share))
         if recall >= aim:
-            break
-    return share, recall
+            return share, recall
+    return 1.0, 1.0
 
 
 def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scouts: int = 2, share: float | None = None, seed: int = 4) -> DataFrame:
@@ -344,6 +345,8 @@ def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scou
     bands, most = bands_of(classes), top + 1
     if share is None:
         share, _ = chosen_share(classes, asking, bands, tables, top, seed)
+    if share >= 1:  # each query meets all entries of one table
+        tables = scouts = 1
     free = asking.select("cid", "vec").distinct().withColumn("bound", F.lit(float("-inf")))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     scouted = _search(classes, free, bands, tables, scouts, share, most, seed).distinct()

@@ -122,3 +122,15 @@ def test_share_follows_the_data(spark):
         df = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "cid long, vec array<double>, least long")
         share, recall = neighbours.chosen_share(df, df.filter("cid % 20 = 0"), neighbours.bands_of(df), 8, 20, 4)
         assert recall >= 0.95 and (share <= 1 / 32) == few
+
+
+def test_falls_through_to_all_axes(spark):
+    """One table meets too few true neighbours at any lesser share; then the search is exact."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 24)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in edge.plain(neighbours.nearest(df, tables=1, scouts=1)):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {i: [v for _, v in sorted(n)] for i, n in found.items()} == {i: [j for j, _ in near] for (i, _), near in exact(rows).items()}
