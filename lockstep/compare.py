@@ -13,8 +13,9 @@ from lockstep.sources import fasta, manifest
 def compare_files(spark: SparkSession, manifest_path: str, phase: str = "SC", out: str | None = None, max_s: int | None = 1) -> DataFrame:
     """Checks the manifest, reads its sequences and compares each with chunks of ``max_s`` later ones (1: all pairs; None: all later ones).
 
-    ``None`` and ``SC`` return ``first_index, chunk, Index, first_letter, letters``, lazy or sorted. ``DW`` and ``MW`` write lines under a
-    header, one folder a group below ``out`` (the name tells the group), all groups in one job, and return what was written. ``DW`` and ``MW`` differ in nothing here, as a group is one part."""
+    ``None`` and ``SC`` return ``first_index, chunk, Index, first_letter, letters``, lazy or sorted. ``MW`` writes lines under a header, one part in one
+    folder a group below ``out`` (the name tells the group). ``DW`` writes CSV parts ``Index, first_letter, letters`` with a header, in as many parts a group as there
+    are tasks that hold some of it, and adds to what is there. Both write all groups in one job and return what was written, with ``group_name``."""
     if phase not in sinks.PHASES:
         raise ValueError(f"phase must be one of {sinks.PHASES}")
     lines = manifest.read_manifest_lines(spark, manifest_path)
@@ -26,6 +27,10 @@ def compare_files(spark: SparkSession, manifest_path: str, phase: str = "SC", ou
     if not out:
         raise ValueError("a path is needed")
     plan = groups.chunk_plan(manifest.sequence_count(sequences), max_s)
+    if phase == "DW":
+        named = sinks.flat(found).join(layout.named_groups(plan), ["first_index", "chunk"]).select("group_name", "Index", "first_letter", "letters")
+        sinks.write_distributed(named, out, by="group_name")
+        return sinks.read_csv(spark, out, "Index long, first_letter string, letters string, group_name string")
     members = positions.label_members(positions.members_of(groups.exploded(plan), sequences))
     sinks.write_lines(layout.as_lines(found), out, layout.header_lines(members, plan))
     return spark.read.option("lineSep", "\n").text(out).select(F.col("group_name").cast("string"), F.col("value").alias("line"))

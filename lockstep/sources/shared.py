@@ -10,12 +10,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _OURS = re.compile(r".+-[0-9a-f]{32}")
+_scopes: list[list[str]] = []
 
 
 @lru_cache(maxsize=1)
@@ -42,16 +45,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: same rows, lineage cut."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    if not _OURS.fullmatch(folder.rpartition("/")[2]):
+        raise ValueError(f"{folder} was not written here")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all tables that :func:`written` makes inside. Results are lazy and read them: store a result before the end.
+
+    ``with scratch(spark): op.extract(pages).write.parquet(path)``"""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            _remove(spark, folder)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables made by :func:`written`, when nothing reads them any more."""
     for table in tables:
         spark = table.sparkSession
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            if not _OURS.fullmatch(folder.rpartition("/")[2]):
-                raise ValueError(f"{folder} was not written here")
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(spark, folder)

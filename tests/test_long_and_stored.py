@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lockstep.operators import diff, sinks
 from lockstep.operators.packed import blocks
-from lockstep.sources import fasta, files, manifest
+from lockstep.sources import fasta, files, manifest, shared
 from lockstep.streaming import incremental
 
 
@@ -152,3 +152,19 @@ def test_long_lists_of_files_stay_off_the_driver(spark, tmp_path, monkeypatch):
 
 def files_uri(uri):
     return uri.replace("file:///", "file:/")
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    seqs = spark.createDataFrame([(k, "s", t) for k, t in enumerate(("ACGT", "ACGA", "TCG"))], "seq_index long, seq_id string, seq string")
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with shared.scratch(spark):
+        kept = shared.written(seqs, "inner")
+        shared.dropped(kept)
+        diff.one_vs_many(seqs).write.parquet(str(tmp_path / "out"))
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    with pytest.raises(ZeroDivisionError), shared.scratch(spark):
+        shared.written(seqs, "inner")
+        1 / 0
+    assert set(os.listdir(folder)) == before

@@ -166,6 +166,9 @@ def test_from_manifest_to_written_results(spark, tmp_path):
     assert {r.group_name for r in written.collect()} == {"sequence_0_diff_sequences_1_to_3", "sequence_1_diff_sequences_2_to_3", "sequence_2_diff_sequence_3"}
     (part,) = (tmp_path / "out" / "group_name=sequence_0_diff_sequences_1_to_3").glob("part-*.txt")
     assert part.read_text().splitlines() == ["Index,Seq_1.fasta,Seq_2.fasta,Seq_3.fasta,Seq_4.fasta", "0,A,=,G,=", "1,A,C,=,T", "2,A,G,G,=", "3,A,=,C,="]
+    parts = compare_files(spark, path, "DW", str(tmp_path / "parts"), max_s=None)
+    assert rows(parts.filter("group_name = 'sequence_0_diff_sequences_1_to_3'").select("Index", "first_letter", "letters")) == [(0, "A", "=,G,="), (1, "A", "C,=,T"), (2, "A", "G,G,="), (3, "A", "=,C,=")]
+    assert parts.select("group_name").distinct().count() == 3 and next((tmp_path / "parts" / "group_name=sequence_2_diff_sequence_3").glob("*.csv")).read_text().startswith("Index,first_letter,letters")
     pairs = [(r.first_index, r.Index, r.first_letter, r.letters[0]) for r in compare_files(spark, path).collect()]
     assert sorted(pairs) == sorted((i, k, a, b) for i, _, k, a, b in plain_pairs(MICRO))
     (tmp_path / "list.txt").write_text(f"{here}/1.fasta, [0,L-1]\n{here}/gone.fasta, [0,L-1]\nbad\n")
