@@ -1,13 +1,16 @@
-"""Where a result goes: shown, written in parts, written as one file, or nowhere yet."""
+"""Where a result goes: shown, written in parts, written merged in order, or nowhere yet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
+
+from lockstep.sources.shared import dropped, written
 
 _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "nullValue": "\\N"}
 PHASES = ("None", "SC", "DW", "MW")
+FILE_ROWS = 10_000_000
 
 
 def flat(groups: DataFrame) -> DataFrame:
@@ -44,9 +47,18 @@ def read_bucketed(spark: SparkSession, path: str, schema: StructType | str, grou
     return rows.filter(F.col(by) == group)
 
 
-def write_merged(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One CSV file, sorted by position. For results that one task can write (all before the writing stays spread); else :func:`write_distributed`."""
-    df.repartition(1).sortWithinPartitions(F.col("Index").asc_nulls_last()).write.mode(mode).options(**_CSV).csv(path)
+def write_merged(df: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
+    """The whole result in order of position, then of its other columns: one CSV file, or, where it has more than ``file_rows`` rows, as many as hold about
+    that many each. Files follow each other by name, so read one after the other they are the one sorted file, and no task writes more than a file.
+
+    Rows are written to the shared folder first, counted, and dealt to files by ranges of all sort columns, so a position with many rows is divided too."""
+    whole = written(df, "merged")
+    rows = whole.count()
+    order = [F.col("Index").asc_nulls_last(), *(F.col(f"`{f.name}`") for f in whole.schema if f.name != "Index" and not isinstance(f.dataType, ArrayType | MapType | StructType | VariantType))]
+    files = max(1, -(-rows // file_rows))
+    dealt = whole.repartition(1) if files == 1 else whole.repartitionByRange(files, *order)
+    dealt.sortWithinPartitions(*order).write.mode(mode).options(**_CSV).csv(path)
+    dropped(whole)
 
 
 def write_lines(lines: DataFrame, path: str, headers: DataFrame | None = None) -> None:

@@ -322,6 +322,66 @@ def test_labels_wide_and_lines(spark):
     assert layout.wide_rows(one.filter("first_index = 0"), "a", ["b", "c"]).columns == ["Index", "a", "b", "c"]
 
 
+def test_labels_of_a_wide_table_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(layout, "MOST_COLUMNS", 3)
+    of = lambda n: spark.range(n).selectExpr("id seq_index", "'s' || id label", "0L Index", "'A' letter")
+    assert layout.wide(of(3)).columns == ["Index", "s0", "s1", "s2"]
+    with pytest.raises(ValueError, match="too many"):
+        layout.wide(of(4))
+    for n in (0, 4):
+        with pytest.raises(ValueError):
+            layout.wide_groups(diff.one_vs_many(sequences(spark, MICRO)), n)
+
+
+@pytest.mark.parametrize("max_s", [1, 2, 3, 5])
+def test_wide_groups(spark, max_s):
+    seqs = sequences(spark, MICRO)
+    found = layout.wide_groups(diff.one_vs_many(seqs, max_s, sign=False), max_s)
+    assert found.columns == ["first_index", "chunk", "Index", "first", *(f"second_{k}" for k in range(max_s))]
+    want = []
+    for i, x in enumerate(MICRO):
+        later = MICRO[i + 1 :]
+        for c in range(0, len(later), max_s):
+            for k, a in enumerate(x):
+                seconds = [t[k] if k < len(t) else None for t in later[c : c + max_s]]
+                if any(b not in (None, a) for b in seconds):
+                    want.append((i, c // max_s, k, a, *seconds, *[None] * (max_s - len(seconds))))
+    assert sorted(map(repr, rows(found))) == sorted(map(repr, want))
+
+
+def test_wide_group(spark):
+    seqs = spark.createDataFrame([(0, "Seq", "ACA"), (1, "Seq", "AGAT"), (2, "x.1", "TC"), (3, "X.1", "ACC")], "seq_index long, seq_id string, seq string")
+    members = positions.label_members(positions.members_of(groups.exploded(groups.chunk_plan(counted(spark, 4))), seqs))
+    one = diff.one_vs_many(seqs)
+    whole = layout.wide_group(one, members, 0)
+    assert whole.columns == ["Index", "Seq_1", "Seq_1_1", "Seq_x.1", "Seq_X.1_3"]
+    assert sorted(map(tuple, whole.collect())) == [(0, "A", "=", "T", "="), (1, "C", "G", "=", "="), (2, "A", "=", None, "C")]
+    assert layout.wide_group(one, members, 2).columns == ["Index", "Seq_x.1", "Seq_X.1_3"]
+    with pytest.raises(ValueError, match="not there"):
+        layout.wide_group(one, members, 3)
+
+
+@pytest.mark.parametrize("phase", ["None", "SC", "DW", "MW"])
+def test_compare_files_wide(spark, tmp_path, phase):
+    for i, text in enumerate(MICRO):
+        (tmp_path / f"{i}.fa").write_text(f">s{i} |\n{text}\n")
+    (tmp_path / "list").write_text("\n".join(f"{tmp_path}/{i}.fa, [0,L-1]" for i in range(len(MICRO))))
+    plain = layout.wide_groups(diff.one_vs_many(sequences(spark, MICRO), 2), 2)
+    found = compare_files(spark, str(tmp_path / "list"), phase, str(tmp_path / "out"), max_s=2, wide=True)
+    if phase in ("None", "SC"):
+        assert sorted(map(repr, rows(found))) == sorted(map(repr, rows(plain)))
+        return
+    named = layout.named_groups(groups.chunk_plan(counted(spark, len(MICRO)), 2))
+    want = plain.join(named, ["first_index", "chunk"]).select(*found.columns)
+    assert sorted(map(repr, rows(found))) == sorted(map(repr, rows(want)))
+    folders = [f for f in (tmp_path / "out").iterdir() if f.is_dir()]
+    assert len(folders) == named.count()
+    if phase == "MW":
+        assert all(len(list(f.glob("part-*.csv"))) == 1 for f in folders)
+    with pytest.raises(ValueError, match="max_s"):
+        compare_files(spark, str(tmp_path / "list"), phase, max_s=None, wide=True)
+
+
 def test_sinks(spark, tmp_path):
     pairs = diff.diff_pairs(sequences(spark, [*MICRO, ' ",\n', "      "]))
     for name, write in (("d", sinks.write_distributed), ("m", sinks.write_merged)):
@@ -340,6 +400,23 @@ def test_sinks(spark, tmp_path):
         sinks.collect_phase(pairs, "XX")
 
 
+def test_merged_files_are_in_order_and_bounded(spark, tmp_path):
+    hot = spark.range(3000).selectExpr("id first_index", "id + 1 second_index", "if(id % 3 = 0, id, 7L) Index", "'A' first_letter", "'C' second_letter")
+    sinks.write_merged(hot, str(tmp_path / "m"), file_rows=500)
+    files = sorted((tmp_path / "m").glob("part-*.csv"))
+    assert 6 >= len(files) >= 5
+    parts = [[tuple(map(int, line.split(",")[:3])) for line in f.read_text().splitlines()[1:]] for f in files]
+    assert max(map(len, parts)) <= 1000  # position 7 has two thirds of the rows
+    told = [(k, i, j) for part in parts for i, j, k in part]
+    assert told == sorted(told) and len(told) == 3000
+    nothing = hot.filter("first_index < 0")
+    sinks.write_merged(nothing, str(tmp_path / "e"))
+    assert len(list((tmp_path / "e").glob("part-*.csv"))) == 1 and sinks.read_csv(spark, str(tmp_path / "e"), hot.schema).count() == 0
+    arrays = diff.one_vs_many(sequences(spark, MICRO))
+    sinks.write_merged(sinks.flat(arrays), str(tmp_path / "f"))
+    assert sinks.read_csv(spark, str(tmp_path / "f"), sinks.flat(arrays).schema).count() == arrays.count()
+
+
 def test_arriving_sequences(spark, tmp_path):
     known = sequences(spark, MICRO[:2])
     box, out, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
