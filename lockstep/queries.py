@@ -367,8 +367,8 @@ ORACLE_SQL: dict[str, str] = {
     "keep_differing_rows": _groups_sql("coalesce(c, '-')"),
     "wide_layout": "with t as (select r_name, row_number() over (partition by r_regionkey order by c_custkey) - 1 \"Index\", c_mktsegment[1] c from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey) select \"Index\", "
     + ", ".join(f"max(c) filter (r_name = '{r}') \"Seq_{r}\"" for r in REGIONS) + " from t group by 1",
-    "wide_groups": f"""with {_SEQ}, {_CHUNKS}, j as (select e.first_index, e.chunk, e.ordinal, a."Index", a.c "first", b.c from e join p a on a.i = e.first_index left join p b on b.i = e.second_index and b."Index" = a."Index")
-      select first_index, chunk, "Index", "first", {", ".join(f"max(case when c = "first" then '=' else c end) filter (ordinal = {k}) second_{k}" for k in range(MAX_S))} from j group by all having bool_or(c <> "first")""",
+    "wide_groups": f"""with {_SEQ}, {_CHUNKS}, j as (select e.first_index, e.chunk, e.ordinal, a."Index", a.c fl, b.c from e join p a on a.i = e.first_index left join p b on b.i = e.second_index and b."Index" = a."Index")
+      select first_index, chunk, "Index", fl "first", {", ".join(f"max(case when c = fl then '=' else c end) filter (ordinal = {k}) second_{k}" for k in range(MAX_S))} from j group by all having bool_or(c <> fl)""",
     "row_text_format": f"with {_LINES} select * from w",
     "sink_lines": f"""with {_LINES.replace("text q", "translate(text, chr(10), '/') q")}, g as (select first_index, chunk, {_NAMES} group_name, 'Index,Seq_item' || first_index || ',' || string_agg('Seq_item' || second_index, ',' order by ordinal) line from e group by first_index, chunk)
       select line, group_name from g union all select w.line, group_name from w join g using (first_index, chunk)""",
