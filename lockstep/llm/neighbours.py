@@ -10,7 +10,8 @@ axes; random directions need many, as their nearest are hardly nearer than other
 
 Nearness is the inner product, and hashing is by angle. So vectors are hashed in bands of similar norm (powers of two), with one more
 coordinate that gives all of a band one norm, unless they have it; then the larger inner product is the smaller angle. Equal vectors are
-one class, known by its 21 smallest ids, so a vector that a third of all rows share costs one entry.
+one class, known by its 21 smallest ids, so a vector that a third of all rows share costs one entry. Repeated rows (one id, one vector) are counted, and each is a
+candidate: an id stands in an answer as often as its row is there, and a query meets the other rows of its id, only not its own.
 
 Entries and queries of a bucket are sorted to one task and streamed: it holds the queries of one bucket and a block of vectors, whatever the bucket's size.
 A bucket of over ``PART_ROWS`` entries is split into parts, and its queries are sent to each; one of over ``PART_QUERIES`` queries likewise. So a query is sent
@@ -18,8 +19,8 @@ A bucket of over ``PART_ROWS`` entries is split into parts, and its queries are
 tables gives each query a score that its answer reaches in any case; the search in all tables returns only what reaches it. Where a query has met
 fewer classes than it asks for, all its buckets of one table are searched, which is exact.
 
-Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null vec_id take no part; repeated
-rows count once; only vectors of one length are compared; of rows with one vec_id and other vectors each is a row; equal scores are ordered
+Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null vec_id take no part; a repeated
+row is a candidate each time, and as a query is answered once; only vectors of one length are compared; of rows with one vec_id and other vectors each is a row; equal scores are ordered
 by vec_id, in every cut; norms may be as large or small as a double (inner products that overflow are infinite); other columns are ignored; an empty
 table gives no rows.
 """
@@ -37,17 +38,18 @@ from pyspark.sql import functions as F
 from lockstep.sources.shared import written
 
 PART_ROWS, PART_QUERIES = 1 << 18, 1 << 14
+BROADCAST_ROWS = 100_000
 SAMPLE, SHARES, AIM = 128, (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2), 0.95
 MET = "query long, cid long, least long, score double"
 
 
 def rows_of_vectors(df: DataFrame) -> DataFrame:
-    """Distinct ``vec_id, vec, cid`` (the class) of the rows that take part."""
+    """``vec_id, vec, cid`` (the class) of the rows that take part, and ``times``: how often a row is there."""
     kind = "float" if dict(df.dtypes)["embedding"] == "array<float>" else "double"  # floats travel as they are, and are counted with as doubles
     vec = F.col("embedding").cast(f"array<{kind}>")
     usable = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     plain = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vec, lambda x: x + F.lit(0.0).cast(kind)).alias("vec"))
-    return plain.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & usable).withColumn("cid", F.xxhash64("vec")).distinct()
+    return plain.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & usable).withColumn("cid", F.xxhash64("vec")).groupBy("vec_id", "vec", "cid").agg(F.count("*").alias("times"))
 
 
 @lru_cache(maxsize=64)
@@ -268,13 +270,18 @@ def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatc
         yield asking.result()
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is found to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _search(classes: DataFrame, asking: DataFrame, bands: dict, tables: int, used: int, share: float, most: int, seed: int, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """``query, cid, least, score``: what the queries (``cid, vec, bound``) meet in the first ``used`` tables and what reaches their bound."""
     entries, probes = index_entries(classes, bands, tables, used, seed), probe_entries(asking, bands, tables, used, share, seed)
     # one row for each bucket: tables times axes times bands
     own, ask = (df.groupBy("bucket", "d").agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in ((entries, part_rows, "own"), (probes, part_queries, "ask")))
     split = written(own.join(ask, ["bucket", "d"]).filter("own > 1 or ask > 1"), "split")
-    parts = F.broadcast(split)
+    parts = _small(split)
     salt = lambda n: F.pmod(F.xxhash64("cid"), F.coalesce(n, F.lit(1)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     key = F.xxhash64("bucket", "d", F.col("own_salt").cast("int"), F.col("ask_salt").cast("int"))
@@ -339,7 +346,8 @@ def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scou
     """``query_id, rank, vec_id, score`` for the rows of ``vec_id, embedding`` whose id ``every`` divides. ``share``: None chooses it by the data."""
     rows = written(rows_of_vectors(df), "vectors")
     by_class = Window.partitionBy("cid", "vec").orderBy("vec_id")
-    classes = rows.withColumn("k", F.row_number().over(by_class)).filter(F.col("k") <= top + 1).groupBy("cid", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    each = rows.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.least("times", F.lit(top + 1)).cast("int"))))  # more copies fit no answer
+    classes = each.withColumn("k", F.row_number().over(by_class)).filter(F.col("k") <= top + 1).groupBy("cid", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     classes = written(classes.withColumn("least", F.get("members", F.lit(0))), "classes")
     asking = rows.filter(F.col("vec_id") % every == 0)
     bands, most = bands_of(classes), top + 1
@@ -354,9 +362,9 @@ def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scou
     bounded = free.drop("bound").join(last.select(F.col("query").alias("cid"), F.col("score").alias("bound")), "cid", "left").fillna({"bound": float("-inf")})
     met = _search(classes, written(bounded, "bounds"), bands, tables, tables, share, most, seed).distinct()
     ranked = written(met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r"), "met")
-    sizes = classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("there"))
+    sizes = written(classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("there")), "sizes")
     counts = ranked.groupBy(F.col("query").alias("cid")).agg(F.count("*").alias("n"))
-    short = free.withColumn("d", F.size("vec")).join(F.broadcast(sizes), "d").join(counts, "cid", "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(most), "there"))
+    short = free.withColumn("d", F.size("vec")).join(_small(sizes), "d").join(counts, "cid", "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(most), "there"))
     short = written(short.select("cid", "vec", "bound"), "short")
     if not short.isEmpty():
         again = _search(classes, short, bands, tables, 1, 1.0, most, seed).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r")
@@ -365,5 +373,6 @@ def nearest(df: DataFrame, every: int = 20, top: int = 20, tables: int = 8, scou
     place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = members.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= top + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "cid", "score"))).alias("near"))
     answered = asking.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query")).join(lists, "query")
-    others = F.slice(F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["cid"] != F.col("query"))), 1, top)
-    return answered.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
+    own = F.array_position(F.transform("near", lambda x: (x["vec_id"] == F.col("query_id")) & (x["cid"] == F.col("query"))), True) - 1  # one row, not its copies
+    others = F.slice(F.filter("near", lambda x, i: i != F.col("own")), 1, top)
+    return answered.withColumn("own", own).select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

@@ -7,11 +7,11 @@ from lockstep.llm.queries import QUERIES
 
 
 def exact(rows, every=20, top=20):
-    good = sorted({(i, tuple(np.float64(v))) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.float64(v)).all() and np.any(np.float64(v))})
+    good = sorted((i, tuple(np.float64(v) + 0.0)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.float64(v)).all() and np.any(np.float64(v)))
     out = {}
-    for i, v in good:
+    for k, (i, v) in enumerate(good):
         if i % every == 0:
-            near = sorted((-float((np.array(w) * np.array(v)).sum()), j) for j, w in good if len(w) == len(v) and (j, w) != (i, v))[:top]
+            near = sorted((-float((np.array(w) * np.array(v)).sum()), j) for m, (j, w) in enumerate(good) if len(w) == len(v) and m != k)[:top]
             out[i, v] = [(j, -s) for s, j in near]
     return out
 
@@ -67,6 +67,20 @@ def test_recall_on_the_given_vectors(spark):
     assert np.mean([len(found[i] & {j for j, _ in near}) / 20 for (i, _), near in exact(rows).items()]) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [2, 5, 40])
+def test_each_repeated_row_is_a_candidate(spark, copies):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    rows += [rows[k] for k in (1, 20, 33) for _ in range(copies - 1)]
+    rows += [(61, rows[20][1])] * copies
+    found = {}
+    for r in edge.plain(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), share=1.0, tables=1, scouts=1)):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = {i: [j for j, _ in near] for (i, _), near in exact(rows).items()}
+    assert {i: [j for _, j in sorted(n)] for i, n in found.items()} == want
+    assert want[20].count(20) == min(copies - 1, 20) and all(len(n) == 20 for n in found.values())
+
+
 def test_large_and_tiny_norms(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.normal(size=6) * 10.0 ** e).tolist()) for i, e in enumerate([200] * 20 + [-200] * 20 + [0] * 20 + [-318] * 3)]
