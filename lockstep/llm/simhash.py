@@ -39,6 +39,7 @@ from lockstep.llm.rows import row_key, times
 from lockstep.sources.shared import dropped, written
 
 _PART = 1 << 16  # shingles whose bits are counted at once
+_SENT = 1 << 16  # links that a task gathers before it sends them
 
 
 def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
@@ -131,25 +132,39 @@ def _tables(fp: Column, blocks: int, agreeing: int) -> Column:
 
 
 def links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """``a, b``: links between distinct values of ``fp`` that give the components under the radius."""
+    """``a, b``: links between distinct values of ``fp`` that give the components under the radius. A task streams its buckets in order and holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        bucket, fp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("bucket", "fp"))
-        order = np.lexsort((fp, bucket))
-        bucket, fp = bucket[order], fp[order].view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(starts[1:], len(bucket))
-        out: list[tuple[int, int]] = []
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            out += stars(np.unique(fp[a:b]).tolist(), radius)
-        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        at, held, out = None, [], []  # the bucket that is open, its pieces, links to be sent
+
+        def sent() -> pa.RecordBatch:
+            pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def closed() -> None:
+            if sum(map(len, held)) > 1:
+                out.extend(stars(np.unique(np.concatenate(held)).tolist(), radius))
+            held.clear()
+
+        for batch in batches:
+            bucket, fp = batch.column("bucket").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+            sizes = np.diff(starts, append=len(bucket))
+            ends = (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)
+            for k in np.flatnonzero((sizes > 1) | ends).tolist():  # a bucket of one row in the midst of a batch has no link
+                a = int(starts[k])
+                if bucket[a] != at:
+                    closed()
+                    at = bucket[a]
+                held.append(fp[a : a + int(sizes[k])])
+                if len(out) >= _SENT:
+                    yield sent()
+        closed()
+        yield sent()
 
     keyed = nodes.select("fp", F.explode(_tables(F.col("fp"), blocks, blocks - radius)).alias("bucket"))
-    return keyed.repartition("bucket").mapInArrow(run, "a long, b long")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import edge
 import numpy as np
@@ -66,6 +67,32 @@ def test_components(spark):
     assert edge.plain(components(spark.createDataFrame([], "a long, b long"))) == []
 
 
+@pytest.mark.parametrize("rows, most", [(1, 1), (3, 5), (10_000, 1 << 16)])
+def test_links_stream_buckets_over_batches(spark, monkeypatch, rows, most):
+    monkeypatch.setattr(simhash, "_SENT", most)
+    rng = random.Random(12)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(6):
+        centre = rng.getrandbits(64)
+        fps |= {centre ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 5))) for _ in range(30)}
+    union = Union()
+    for a, b in combinations(sorted(fps), 2):
+        if (a ^ b).bit_count() <= 4:
+            union.link(a, b)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        found = edge.plain(simhash.links(nodes))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    linked = Union()
+    for r in found:
+        linked.link(r["a"] % (1 << 64), r["b"] % (1 << 64))
+    assert {x: linked.root(x) for x in fps} == {x: union.root(x) for x in fps}
+    assert edge.plain(simhash.links(nodes.filter("false"))) == []
+
+
 def test_near_duplicates_against_brute_force(spark, docs):
     rng = random.Random(8)
     base, more = edge.prose(rng, 400).split(), []
