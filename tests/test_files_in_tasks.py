@@ -1,0 +1,36 @@
+"""Long lists of local files: asked for, read and written by tasks."""
+
+import gzip
+
+from pyspark.sql import functions as F
+
+from lockstep.sources import fasta, files
+
+
+def test_long_lists_are_asked_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    names = ["a/1.fasta", "a/b c/2 é%25+ [z]{q}*.fasta", "a/_3", "b/4.fasta.gz", "b/long.fasta", "b/empty", "b/\u20285"]
+    texts = {n: f">s{k} |x\nAC{'G' * k}\r\nTé\n" for k, n in enumerate(names)} | {"b/long.fasta": ">s4\n" + "ACGTTCA\n" * 90, "b/empty": ""}
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (gzip.open if n.endswith(".gz") else open)(tmp_path / n, "wb").write(texts[n].encode())
+    gone = [f"{tmp_path}/gone/{k}" for k in range(5)] + [f"{tmp_path}/a/1.fasta/x", f"{tmp_path}/{'x' * 300}"]
+    made = spark.createDataFrame([(k, p, "1", "L-1") for k, p in enumerate([*(f"{tmp_path}/{n}" for n in names), *gone])], "seq_index long, path string, start_pos string, end_pos string")
+    few = sorted(map(tuple, files.existing_files(spark, made).collect()))
+    assert {p for p, *_ in few} == {f"{tmp_path}/{n}" for n in names}
+    asked, real = [], files._one_by_one
+    monkeypatch.setattr(files, "_one_by_one", lambda s, p: asked.extend(r["path"] for r in p.collect()) or real(s, p))
+    for module in (files, fasta):
+        monkeypatch.setattr(module, "LISTED", 2)
+    monkeypatch.setattr(files, "SMALL", 100)
+    found = sorted((p, u.replace("file:///", "file:/"), n) for p, u, n in files.existing_files(spark, made).collect())
+    assert found == [(p, u.replace("file:///", "file:/"), n) for p, u, n in few] and not asked
+    want = {k: "".join(x.rstrip() for x in texts[n].split("\n")[1:])[1:] for k, n in enumerate(names)}
+    good = made.filter(F.col("seq_index") < len(names))
+    assert {r["seq_index"]: r["seq"] for r in fasta.read_sequences(spark, good).collect()} == want
+
+
+def test_written_texts_are_files_of_their_own(spark, tmp_path):
+    rows = [(1, "x\r\ny"), (1, "x\r\ny"), (1, "z"), (2, None), (None, "é")]
+    made = files.write_texts(spark.createDataFrame(rows, "seq_index long, text string"), f"file://{tmp_path}/a b+c%25").collect()
+    read = [(r["seq_index"], open(r["path"].removeprefix("file://"), newline="").read()) for r in made]
+    assert sorted(read, key=str) == sorted(((k, t or "") for k, t in rows), key=str) and len({r["path"] for r in made}) == len(rows)
