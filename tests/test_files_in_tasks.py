@@ -34,3 +34,19 @@ def test_written_texts_are_files_of_their_own(spark, tmp_path):
     made = files.write_texts(spark.createDataFrame(rows, "seq_index long, text string"), f"file://{tmp_path}/a b+c%25").collect()
     read = [(r["seq_index"], open(r["path"].removeprefix("file://"), newline="").read()) for r in made]
     assert sorted(read, key=str) == sorted(((k, t or "") for k, t in rows), key=str) and len({r["path"] for r in made}) == len(rows)
+
+
+def test_blocks_of_long_lists_are_cut_in_tasks(spark, tmp_path, monkeypatch):
+    texts = [f">s{k} |x\r\n" + f"ACé{k}G\n" * (100 * k) for k in range(5)]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.fasta").write_bytes(text.encode())
+    made = spark.createDataFrame([(k, f"{tmp_path}/{k}.fasta", "2", "L-1") for k in range(5)], "seq_index long, path string, start_pos string, end_pos string")
+    taken, real = [], fasta.body_lines
+    monkeypatch.setattr(fasta, "body_lines", lambda s, paths, wanted: taken.append(paths) or real(s, paths, wanted))
+    for module in (files, fasta):
+        monkeypatch.setattr(module, "LISTED", 2)
+    monkeypatch.setattr(files, "SMALL", 2000)
+    want = {k: (f"ACé{k}G" * (100 * k))[2:] for k in range(5)}
+    parts = {(r["seq_index"], r["block"]): r["part"] for r in fasta.read_blocks(spark, made).collect()}
+    assert parts == {(k, b): s[256 * b : 256 * b + 256] for k, s in want.items() for b in range(-(-len(s) // 256))}
+    assert [sorted(p.rpartition("/")[2] for p in x) for x in taken] == [["3.fasta", "4.fasta"]]
