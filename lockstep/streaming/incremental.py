@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.operators.diff import BLOCK, BROADCAST_BLOCKS, PAIR_COLUMNS, opened_pairs
+from lockstep.operators.diff import BLOCK, BROADCAST_BLOCKS, BROADCAST_ROWS, PAIR_COLUMNS, opened_pairs
 from lockstep.operators.packed import blocks
 from lockstep.operators.positions import explode_positions
+from lockstep.sources.files import dealt
 
 INDEX = "seq_index long, block int, part string, batch long"
+AGAINST = ("new_index", "known_index", "Index", "new_letter", "known_letter")
+
+
+def _joined(old: DataFrame, new: DataFrame, place: str, on: Column, most: int) -> DataFrame:
+    """The rows ``a`` of ``old`` and ``b`` of ``new`` that are at one ``place`` and fit ``on``. The old ones are dealt out evenly, however few bytes they have, as their
+    pairs are many: while the new ones are at most ``most`` they are sent to all; else each lot of the old ones meets a copy of the new ones."""
+    on = (F.col(f"a.{place}") == F.col(f"b.{place}")) & on
+    if not new.isStreaming and new.limit(most + 1).count() <= most:
+        return old.alias("a").join(F.broadcast(new).alias("b"), on)
+    lots = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = old.withColumn("lot", F.pmod(F.xxhash64("seq_index"), F.lit(lots)).cast("int"))
+    right = new.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    return left.alias("a").join(right.alias("b"), on & (F.col("a.lot") == F.col("b.lot")))
+
+
+def _met(old: DataFrame, new: DataFrame, on: Column) -> DataFrame:
+    """``i, j, block, x, y``: unequal blocks at one place."""
+    met = _joined(dealt(old, "seq_index", "block"), new, "block", on & (F.col("a.part") != F.col("b.part")), BROADCAST_BLOCKS)
+    return met.select(F.col("a.seq_index").alias("i"), F.col("b.seq_index").alias("j"), "a.block", F.col("a.part").alias("x"), F.col("b.part").alias("y"))
 
 
 def diff_against(arriving: DataFrame, at_hand: DataFrame) -> DataFrame:
     """``new_index, known_index, Index, new_letter, known_letter``. ``arriving`` may be a stream: the join is stateless."""
-    new, known = explode_positions(arriving).alias("n"), explode_positions(at_hand).alias("k")
-    met = new.join(known, (F.col("n.Index") == F.col("k.Index")) & (F.col("n.letter") != F.col("k.letter")))
-    return met.select(F.col("n.seq_index").alias("new_index"), F.col("k.seq_index").alias("known_index"), "n.Index", F.col("n.letter").alias("new_letter"), F.col("k.letter").alias("known_letter"))
+    new, known = explode_positions(arriving), explode_positions(dealt(at_hand, "seq_index"))
+    met = _joined(known, new, "Index", F.col("a.letter") != F.col("b.letter"), BROADCAST_ROWS)
+    return met.select(F.col("b.seq_index").alias("new_index"), F.col("a.seq_index").alias("known_index"), "a.Index", F.col("b.letter").alias("new_letter"), F.col("a.letter").alias("known_letter"))
+
+
+def write_differences(stream: DataFrame, at_hand: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """:func:`diff_against` for what has arrived so far, batch by batch; a later call goes on from there. A batch writes its own folder below ``out`` in place of
+    what is there, so a batch that is processed again writes nothing twice. Returns what was found so far."""
+    spark = at_hand.sparkSession
+    shape = ", ".join(f"{c} {t}" for c, t in zip(AGAINST, ("long", "long", "long", "string", "string"), strict=True))
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    process = lambda arrived, batch: diff_against(arrived, at_hand).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(*AGAINST)
 
 
 def write_available(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -31,7 +62,7 @@ def compare_arrivals(stream: DataFrame, known: DataFrame, index: str, out: str,
 
     Below ``index`` the sequences are kept in blocks, one folder a batch (``batch=-1``: the known ones). A batch writes its blocks, and below ``out`` its
     differences, into folders of its number in place of what is there, so a batch that is processed again writes nothing twice. Only its own
-    blocks are sent to the known ones, as long as they are few; the known ones are read where they lie."""
+    blocks are sent to the known ones, as long as they are few; the known ones are dealt out to all tasks."""
     spark = known.sparkSession
     blocks(known, size=BLOCK).write.mode("overwrite").parquet(f"{index}/batch=-1")
 
@@ -39,10 +70,7 @@ def compare_arrivals(stream: DataFrame, known: DataFrame, index: str, out: str,
         blocks(arrived, size=BLOCK).write.mode("overwrite").parquet(f"{index}/batch={batch}")
         here = spark.read.schema(INDEX).parquet(index)
         new, old = here.filter(F.col("batch") == batch).drop("batch"), here.filter(F.col("batch") < batch).drop("batch")
-        few = F.broadcast(new) if new.count() <= BROADCAST_BLOCKS else new
-        apart = (F.col("a.block") == F.col("b.block")) & (F.col("a.part") != F.col("b.part"))
-        pairs = lambda left, on: left.alias("a").join(few.alias("b"), on).select(F.col("a.seq_index").alias("i"), F.col("b.seq_index").alias("j"), "a.block", F.col("a.part").alias("x"), F.col("b.part").alias("y"))
-        both = pairs(old, apart).unionByName(pairs(new, apart & (F.col("a.seq_index") < F.col("b.seq_index"))))
+        both = _met(old, new, F.lit(True)).unionByName(_met(new, new, F.col("a.seq_index") < F.col("b.seq_index")))
         opened_pairs(both, BLOCK).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in zip(PAIR_COLUMNS, ("long", "long", "long", "string", "string"), strict=True))).write.mode("overwrite").parquet(f"{out}/batch=-1")
