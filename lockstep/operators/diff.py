@@ -74,9 +74,11 @@ def _by_allele(sequences: DataFrame) -> DataFrame:
 
 
 def _opened(met: DataFrame, size: int) -> DataFrame:
-    """The differing letters of pairs of blocks: ``first_index, second_index, block, x, y``."""
-    both = met.select("first_index", "second_index", "block", F.posexplode(F.arrays_zip(letters(F.col("x")).alias("x"), letters(F.col("y")).alias("y"))).alias("at", "z")).filter(F.col("z.x") != F.col("z.y"))
-    return both.select("first_index", "second_index", (F.col("block").cast("long") * size + F.col("at")).alias("Index"), F.col("z.x").alias("first_letter"), F.col("z.y").alias("second_letter"))
+    """The differing letters of pairs of blocks: ``first_index, second_index, block, x, y``. A pair costs the letters that both have, however long one of them is."""
+    both = F.least(F.length("x"), F.length("y"))
+    cut = lambda c: letters(F.substring(F.col(c), F.lit(1), both))
+    each = met.select("first_index", "second_index", "block", F.posexplode(F.arrays_zip(cut("x").alias("x"), cut("y").alias("y"))).alias("at", "z")).filter(F.col("z.x") != F.col("z.y"))
+    return each.select("first_index", "second_index", (F.col("block").cast("long") * size + F.col("at")).alias("Index"), F.col("z.x").alias("first_letter"), F.col("z.y").alias("second_letter"))
 
 
 def opened_pairs(met: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -31,3 +31,14 @@ def test_differences_of_one_place_are_made_in_many_tasks(spark, tmp_path, monkey
     want = sorted((j, -1 - i, k, x, y) for j, b in enumerate(new) for i, a in enumerate(old) for k, x, y in unlike(b, a))
     for _ in range(2):  # nothing new arrives before the second call
         assert sorted(map(tuple, incremental.write_differences(stream, many(spark, old), out, progress).collect())) == want
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_pairs_of_short_sequences_are_made_in_many_tasks(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(incremental, "BROADCAST_BLOCKS", most)
+    real, tasks = incremental.opened_pairs, []
+    monkeypatch.setattr(incremental, "opened_pairs", lambda met, size: tasks.append(met.filter("i < 0").select(F.spark_partition_id()).distinct().count()) or real(met, size))
+    texts = {-1 - k: "ACé"[k % 3] * (k % 5) for k in range(60)} | dict(enumerate(["A", "CG" * 300, "", "Aé" * 200]))
+    stream, paths = arrivals(spark, tmp_path, [texts[k] for k in range(4)])
+    found = incremental.compare_arrivals(stream, many(spark, [texts[-1 - k] for k in range(60)]), *paths)
+    assert sorted(map(tuple, found.collect())) == sorted((i, j, k, x, y) for i, a in texts.items() for j, b in texts.items() if i < j and j >= 0 for k, x, y in unlike(a, b)) and min(tasks) > 1
